@@ -82,7 +82,8 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id", tex
         "shard-rows",
     )
     groups = stage(base.groupBy("gid").agg(F.sum("size").alias("g_bytes")), "shard-groups")
-    plan = shard_plan(groups, n_shards)
+    plan = shard_plan(groups, n_shards).first()  # one row of at most n_shards numbers
+    cap, cuts = (plan.cap, plan.cuts) if plan else (0, [])
     # rank of a group = groups of larger sizes + groups of its size in lower digest buckets + rank in its bucket
     by_size = groups.groupBy("g_bytes").agg(F.count("*").alias("n"))
     # one row for each distinct size: bounded by the largest text, not by the rows
@@ -96,11 +97,11 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id", tex
         groups.withColumn("gb", bucket)
         .withColumn("r", F.row_number().over(W.partitionBy("g_bytes", "gb").orderBy("gid")))
         .join(in_size, ["g_bytes", "gb"])
-        .select("gid", "g_bytes", (F.col("ahead") + F.col("within") + F.col("r") - 1).alias("rk"), F.lit(1).alias("one"))
+        .select("gid", "g_bytes", (F.col("ahead") + F.col("within") + F.col("r") - 1).alias("rk"))
     )
-    # the plan is a single row of at most n_shards numbers
-    placed = ranked.join(F.broadcast(plan.withColumn("one", F.lit(1))), "one").select(
-        "gid", "g_bytes", "cap", F.expr("size(filter(cuts, c -> c <= rk))").alias("shard")
+    placed = ranked.select(
+        "gid", "g_bytes", F.lit(cap).cast("long").alias("cap"),
+        sum((F.when(F.col("rk") >= c, 1).otherwise(0) for c in cuts), F.lit(0)).alias("shard"),
     )
     rows = stage(
         base.join(placed, "gid").select(
