@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import sharding
+from tessera.llm import quality, sharding
 
 QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
     "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLES = {
+    "op1_quality_rules": quality.ORACLE,
     "op10_sharding": sharding.ORACLE,
 }
