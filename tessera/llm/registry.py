@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality, sharding
+from tessera.llm import minhash, quality, sharding
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op9_minhash": minhash.op9_minhash,
     "op10_sharding": sharding.op10_sharding,
 }
 
