@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.llm import minhash, quality, sharding
+from tessera.llm import decontam, minhash, quality, sharding
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op8_decontamination": decontam.op8_decontamination,
     "op9_minhash": minhash.op9_minhash,
     "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLES = {
     "op1_quality_rules": quality.ORACLE,
+    "op8_decontamination": decontam.ORACLE,
     "op10_sharding": sharding.ORACLE,
 }
