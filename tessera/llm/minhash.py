@@ -9,11 +9,11 @@ Links are found in steps, each confirmed on full shingle sets:
 1. In every bucket, each member against the bucket's smallest member.  Connected components of the
    confirmed links settle nearly all buckets.
 2. In buckets that still hold more than one component, members against members of other components,
-   in blocks of at most ``BLOCK`` by ``BLOCK``: first the few most similar by signature, then more,
-   then all whose signatures allow the threshold.  Pairs whose ends have met meanwhile are skipped,
-   since no further link could change the result.
+   in blocks of about ``BLOCK`` by ``BLOCK``.  A pair is looked at in the first bucket that its ends
+   share, if its signatures allow the threshold; full sets are sent only of members that have such a
+   pair.  A block yields a spanning forest of its links, so its output is smaller than its input.
 
-So no bucket is ever expanded into all pairs, none is capped, and only the chance of banding
+So no bucket is ever expanded into rows of pairs, none is capped, and only the chance of banding
 (``(1 - t ** ROWS) ** BANDS``, 1.5e-5 at the threshold itself) separates the result from all links.
 
 Edge cases: a null, empty or blank text has no shingles and is linked with nothing; a text of fewer
@@ -42,12 +42,10 @@ COORDS = BANDS * ROWS
 #: Signatures that agree in less than threshold minus this need no exact check (4.4 standard errors).
 SLACK = 0.15
 #: Members of a bucket are compared in blocks of so many by so many.
-BLOCK = 1024
-#: Partners a member may name in a block in each round; the last round has all of them.
-ROUNDS = (2, 32, BLOCK)
+BLOCK = 512
 #: Links of one document that are verified together.
 CHUNK = 256
-#: Ids up to this many are broadcast to find their texts (16 bytes each), more are joined by shuffle.
+#: Pairs up to this many (under 100 bytes each) are broadcast to find their texts, more are joined by shuffle.
 BROADCAST_IDS = 400_000
 
 U32 = np.uint32
@@ -175,12 +173,11 @@ def confirm(texts: DataFrame, pairs: DataFrame, width: int, threshold: int) -> D
     """
     cut = pairs.withColumn("chunk", F.expr("pmod(xxhash64(v), greatest(1L, 1L + n div %d))" % CHUNK))
     wanted = (
-        cut.select("u", "chunk", F.lit(0).alias("role"), F.col("u").alias("doc")).distinct()
+        cut.select("u", "chunk", F.lit(0).alias("role"), F.col("u").alias("doc"))
         .unionByName(cut.select("u", "chunk", F.lit(1).alias("role"), F.col("v").alias("doc")))
-        .groupBy("doc").agg(F.collect_list(F.struct("u", "chunk", "role")).alias("roles"))
+        .groupBy("doc").agg(F.collect_set(F.struct("u", "chunk", "role")).alias("roles"))
     )
-    wanted = stage(wanted, "verify-wanted")
-    few = wanted.count() <= BROADCAST_IDS and pairs.count() <= 4 * BROADCAST_IDS
+    few = pairs.count() <= BROADCAST_IDS
     found = texts.join(F.broadcast(wanted) if few else wanted, "doc").select("doc", "text", "roles")
     sets = found.mapInArrow(_sets(width), "u long, chunk long, role int, doc long, set binary")
     return (
@@ -202,32 +199,152 @@ def _agreeing(least: int):
     return run
 
 
-def _block_pairs(least: int, lo: int, hi: int):
-    """Arrow function over block rows: partners of rank lo <= rank < hi among those of other components at the start."""
+_BLOCK_ROW = "key long, i long, j long, doc long, was long, block long, sketch binary, bands array<bigint>"
+
+
+def _open_pairs(group: pa.Table, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (x, y) of the pairs that this block has to decide."""
+    was, block = group.column("was").to_numpy(), group.column("block").to_numpy()
+    key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
+    sk = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDS)
+    bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    band = int(np.flatnonzero(bands[0] == key)[0])
+    for at in range(0, len(x), 32):
+        xs = x[at : at + 32]
+        ask = was[xs][:, None] != was[y][None, :]
+        if i == j:
+            ask &= xs[:, None] < y[None, :]
+        for r in range(band):
+            ask &= bands[xs, r][:, None] != bands[y, r][None, :]
+        p, q = np.nonzero(ask)
+        for k in range(0, len(p), 1 << 16):
+            a, b = xs[p[k : k + (1 << 16)]], y[q[k : k + (1 << 16)]]
+            near = (sk[a] == sk[b]).sum(1) >= least
+            yield a[near], b[near]
+
+
+def _undecided(least: int):
+    """Arrow function over block rows: those members that have a pair to decide in their block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_key(batches, ["key", "i", "j"]):
-            doc, was, now, block = (group.column(c).to_numpy() for c in ("doc", "was", "now", "block"))
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            sk = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDS)
-            us, vs = [], []
-            for x_in, y_in in ({(i, j), (j, i)}):
-                x, y = np.flatnonzero(block == x_in), np.flatnonzero(block == y_in)
-                for at in range(0, len(x), 32):
-                    xs = x[at : at + 32]
-                    same = (sk[xs][:, None, :] == sk[y][None, :, :]).sum(2).astype(np.int32)
-                    same[was[xs][:, None] == was[y][None, :]] = 0
-                    rank = np.argsort(np.lexsort((np.broadcast_to(doc[y], same.shape), -same), axis=1), axis=1)
-                    p, q = np.nonzero((same >= least) & (rank >= lo) & (rank < hi) & (now[xs][:, None] != now[y][None, :]))
-                    us.append(doc[xs[p]])
-                    vs.append(doc[y[q]])
-            u, v = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+            need = np.zeros(group.num_rows, bool)
+            for a, b in _open_pairs(group, least):
+                need[a] = need[b] = True
+            if need.any():
+                yield from group.filter(pa.array(need)).combine_chunks().to_batches()
+
+    return run
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of blocks of the incidence matrix."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(n), size)
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    new = np.concatenate([[True], every[1:] != every[:-1]])
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(every)))
+    column = np.repeat(np.where(count > 1, np.cumsum(count > 1) - 1, -1), count)
+    owner, column = owner[column >= 0], column[column >= 0]
+    out = np.zeros((n, n), np.float32)
+    wide = max(64, (1 << 22) // n)
+    edges = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + wide, wide))
+    for k in range(len(edges) - 1):
+        m = np.zeros((n, wide), np.float32)
+        part = slice(edges[k], edges[k + 1])
+        m[owner[part], column[part] - k * wide] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
+def _forest(least: int, threshold: int):
+    """Arrow function over block rows with sets: a spanning forest of the links that hold in each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_key(batches, ["key", "i", "j"]):
+            sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
+            both, size, doc = _overlaps(sets), np.array([len(x) for x in sets]), group.column("doc").to_pylist()
+            up = list(range(len(doc)))
+
+            def top(k: int) -> int:
+                while up[k] != k:
+                    up[k] = up[up[k]]
+                    k = up[k]
+                return k
+
+            u, v = [], []
+            for a, b in _open_pairs(group, least):
+                o = both[a, b]
+                yes = 100 * o >= threshold * (size[a] + size[b] - o)
+                for x, y in zip(a[yes].tolist(), b[yes].tolist()):
+                    p, q = top(x), top(y)
+                    if p != q:
+                        up[p] = q
+                        u.append(doc[x])
+                        v.append(doc[y])
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
 
+def _send_sets(width: int):
+    """Arrow function: (doc, text, was, sketch, bands, roles) -> a block row with the set for each role."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table_ = pa.Table.from_batches([batch])
+            for a, b, data, off in text_slices(batch, "text"):
+                sets, first = shingles(*words(data, off), width)
+                blobs = [sets[first[k] : first[k + 1]].tobytes() for k in range(b - a)]
+                part = table_.slice(a, b - a)
+                roles = part.column("roles").to_pylist()
+                at = np.repeat(np.arange(b - a), [len(r) for r in roles])
+                flat = [r for x in roles for r in x]
+                for k in range(0, len(flat), 256):
+                    own, some = at[k : k + 256], flat[k : k + 256]
+                    rest = part.select(["doc", "was", "sketch", "bands"]).take(pa.array(own)).combine_chunks()
+                    yield from pa.table({
+                        **{c: pa.array([r[c] for r in some], pa.int64()) for c in ("key", "i", "j")}, "doc": rest.column("doc"), "was": rest.column("was"),
+                        "block": pa.array([r["block"] for r in some], pa.int64()), "sketch": rest.column("sketch"), "bands": rest.column("bands"),
+                        "set": pa.array([blobs[x] for x in own.tolist()], pa.binary()),
+                    }).combine_chunks().to_batches()
+
+    return run
+
+
+def _settle(texts: DataFrame, members: DataFrame, reps: DataFrame, labels: DataFrame, width: int, threshold: int, least: int) -> DataFrame | None:
+    """Links between components that buckets of *members* still hold; None if there is nothing to decide."""
+    labelled = stage(_relabel(members, labels, "was"), "labelled")
+    open_keys = labelled.groupBy("key").agg(F.min("was").alias("x"), F.max("was").alias("y")).where("x <> y").select("key")
+    blocks = (
+        labelled.join(open_keys, "key", "left_semi")
+        .select("key", "doc", "was", F.expr(f"(m + {BLOCK - 1}) div {BLOCK}").alias("g"))
+        .withColumn("block", F.expr("pmod(xxhash64(doc), g)"))
+        .join(reps, "doc").withColumn("o", F.explode(F.expr("sequence(0L, g - 1L)")))
+        .select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "doc", "was", "block", "sketch", "bands")
+        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    )
+    rows = stage(blocks.mapInArrow(_undecided(least), _BLOCK_ROW), "undecided")
+    wanted = rows.groupBy("doc").agg(
+        F.first("was").alias("was"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.collect_list(F.struct("key", "i", "j", "block")).alias("roles")
+    )
+    n = rows.count()
+    if not n:
+        return None
+    found = texts.join(F.broadcast(wanted) if n <= BROADCAST_IDS // 20 else wanted, "doc").select("doc", "text", "was", "sketch", "bands", "roles")
+    return (
+        found.mapInArrow(_send_sets(width), _BLOCK_ROW + ", set binary")
+        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        .mapInArrow(_forest(least, threshold), "u long, v long").distinct()
+    )
+
+
 def _relabel(rows: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     return rows.join(labels.select(F.col("node").alias("doc"), F.col("component").alias("_c")), "doc", "left").select(
         *rows.columns, F.coalesce("_c", "doc").alias(name)
@@ -267,39 +384,13 @@ def near_duplicates(
         .join(sketches.withColumnRenamed("doc", "v").withColumnRenamed("sketch", "sv"), "v")
         .select("u", "v", "su", "sv").mapInArrow(_agreeing(least), "u long, v long")
     )
-    links = stage(confirm(texts(), _counted(star), width, threshold).distinct(), "links")
+    links = confirm(texts(), _counted(star), width, threshold)
     labels = components(links)
     # step 2: buckets that still hold several components
-    first = stage(_relabel(members, labels, "was"), "labelled")
-    open_keys = first.groupBy("key").agg(F.min("was").alias("x"), F.max("was").alias("y")).where("x <> y").select("key")
-    left = first.join(open_keys, "key", "left_semi").select(
-        "key", "doc", "was", F.expr(f"(m + {BLOCK - 1}) div {BLOCK}").alias("g")
-    ).withColumn("block", F.expr("pmod(xxhash64(doc), g)"))
-    left = stage(left.join(sketches, "doc"), "open")
-    if left.isEmpty():
-        rounds: tuple[int, ...] = ()
-    else:
-        rounds = ROUNDS
-    lo = 0
-    for hi in rounds:
-        # the hash deals members unevenly, so the last round has no upper end
-        top = hi if hi < BLOCK else 1 << 30
-        tasks = (
-            _relabel(left, labels, "now")
-            .withColumn("o", F.explode(F.expr("sequence(0L, g - 1L)")))
-            .select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "doc", "was", "now", "block", "sketch")
-        )
-        found = (
-            tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc")
-            .mapInArrow(_block_pairs(least, lo, top), "u long, v long").distinct()
-        )
-        pairs = _counted(found)
-        if pairs.isEmpty() and lo == 0:
-            break
-        links = stage(confirm(texts(), pairs, width, threshold).distinct(), "links")
+    more = _settle(texts(), members, reps, labels, width, threshold, least)
+    if more is not None:
         # earlier components are stars already
-        labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
-        lo = hi
+        labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     merged = stage(
         classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("component_id")),
         "merged",
