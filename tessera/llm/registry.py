@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontam, minhash, quality, sharding
+from tessera.llm import decontam, minhash, mixing, quality, sharding
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op7_mixing": mixing.op7_mixing,
     "op8_decontamination": decontam.op8_decontamination,
     "op9_minhash": minhash.op9_minhash,
     "op10_sharding": sharding.op10_sharding,
