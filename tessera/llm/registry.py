@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontam, minhash, mixing, quality, sharding, token_file
+from tessera.llm import decontam, html, langid, minhash, mixing, quality, sharding, token_file
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op3_html": html.op3_html,
     "op4_token_file": token_file.op4_token_file,
+    "op6_language": langid.op6_language,
     "op7_mixing": mixing.op7_mixing,
     "op8_decontamination": decontam.op8_decontamination,
     "op9_minhash": minhash.op9_minhash,
