@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontam, html, langid, minhash, mixing, quality, sharding, token_file
+from tessera.llm import decontam, html, langid, minhash, mixing, quality, sharding, token_file, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_warc": warc.op2_warc,
     "op3_html": html.op3_html,
     "op4_token_file": token_file.op4_token_file,
     "op6_language": langid.op6_language,
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_quality_rules": quality.ORACLE,
+    "op2_warc": warc.ORACLE,
     "op8_decontamination": decontam.ORACLE,
     "op10_sharding": sharding.ORACLE,
 }
