@@ -123,6 +123,14 @@ def profiles(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
     )
 
 
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    return int((large[at] == small).sum())
+
+
 def _verify(width: int, threshold: int):
     """Arrow function over rows (g, role, doc, set), sorted: the centre of each g against its members."""
 
@@ -133,10 +141,7 @@ def _verify(width: int, threshold: int):
             centre = sets[0]  # role 0 sorts first
             u, v = [], []
             for d, s in zip(docs[1:], sets[1:]):
-                small, large = (centre, s) if len(centre) < len(s) else (s, centre)
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int((large[at] == small).sum())
+                both = _overlap(centre, s)
                 if 100 * both >= threshold * (len(centre) + len(s) - both):
                     u.append(docs[0])
                     v.append(d)
@@ -268,7 +273,8 @@ def _forest(least: int, threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_key(batches, ["key", "i", "j"]):
             sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
-            both, size, doc = _overlaps(sets), np.array([len(x) for x in sets]), group.column("doc").to_pylist()
+            size, doc = np.array([len(x) for x in sets]), group.column("doc").to_pylist()
+            both = None  # all intersections at once pay off only where many pairs are open
             up = list(range(len(doc)))
 
             def top(k: int) -> int:
@@ -279,7 +285,9 @@ def _forest(least: int, threshold: int):
 
             u, v = [], []
             for a, b in _open_pairs(group, least):
-                o = both[a, b]
+                if both is None and len(a) > 4 * len(doc):
+                    both = _overlaps(sets)
+                o = both[a, b] if both is not None else np.array([_overlap(sets[x], sets[y]) for x, y in zip(a.tolist(), b.tolist())], np.int64)
                 yes = 100 * o >= threshold * (size[a] + size[b] - o)
                 for x, y in zip(a[yes].tolist(), b[yes].tolist()):
                     p, q = top(x), top(y)
@@ -334,10 +342,9 @@ def _settle(texts: DataFrame, members: DataFrame, reps: DataFrame, labels: DataF
     wanted = rows.groupBy("doc").agg(
         F.first("was").alias("was"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.collect_list(F.struct("key", "i", "j", "block")).alias("roles")
     )
-    n = rows.count()
-    if not n:
+    if rows.isEmpty():
         return None
-    found = texts.join(F.broadcast(wanted) if n <= BROADCAST_IDS // 20 else wanted, "doc").select("doc", "text", "was", "sketch", "bands", "roles")
+    found = texts.join(wanted, "doc").select("doc", "text", "was", "sketch", "bands", "roles")
     return (
         found.mapInArrow(_send_sets(width), _BLOCK_ROW + ", set binary")
         .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
