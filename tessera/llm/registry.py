@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontam, html, langid, minhash, mixing, quality, sharding, token_file, warc
+from tessera.llm import decontam, html, langid, minhash, mixing, quality, repeats, sharding, token_file, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_warc": warc.op2_warc,
     "op3_html": html.op3_html,
     "op4_token_file": token_file.op4_token_file,
+    "op5_repeats": repeats.op5_repeats,
     "op6_language": langid.op6_language,
     "op7_mixing": mixing.op7_mixing,
     "op8_decontamination": decontam.op8_decontamination,
