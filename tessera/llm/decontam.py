@@ -5,21 +5,22 @@ answered from it:
 
 1. The frequencies of the benchmark's terms are counted over all documents.
 2. Each window of consecutive item words takes its ``ANCHORS`` rarest terms as its query terms.
-3. The postings of those terms are stored.  Each list, moved back by the term's place in the window,
-   is a list of places where the window may start; the lists of a window are intersected.
-4. Places that all lists name are confirmed against the words that a posting of the rarest term
-   carries with it, which gives exact phrase matches.
+3. The postings of those terms are stored.  Each list, moved back by the term's place in the item,
+   is a list of places where the item may be aligned; the lists are intersected by alignment, and an
+   alignment stays if all query terms of some window meet there.
+4. Windows that stay are confirmed word for word in the documents, which gives exact phrase matches.
 
 :func:`proximity_matches` answers from the same postings: items whose terms all lie within a span.
 
-Documents are never shuffled: the texts are scanned to count, to store the postings, and to count
-words.  What is shuffled are postings of rare terms.  The benchmark's side is broadcast only while
-its windows are fewer than ``BROADCAST_WINDOWS``; beyond that the joins shuffle by term.
+The texts are scanned three times (to count, to store postings, to confirm) and shuffled only where
+more than ``BROADCAST_ROWS`` alignments stay.  What is shuffled otherwise are postings of rare terms.
+The benchmark's side is broadcast only while it is below that bound; beyond it the joins shuffle.
 
 Edge cases: null and empty texts have no words and match nothing; an item without words is no query;
-an item shorter than the window is one window; repeated items count once for each item id; repeated
-documents are told apart by their text, and repeated rows get equal results; null ids are results
-like any other; empty tables give zero matches; extra columns are ignored or pass through.
+an item shorter than the window is one window; repeated items count once for each item id, and items
+of one id count together; repeated documents are told apart by their text, and repeated rows get
+equal results; null ids are results like any other; empty tables give zero matches; extra columns
+are ignored or pass through.
 """
 
 from __future__ import annotations
@@ -32,99 +33,80 @@ from tessera.llm.store import stage, table
 
 WINDOW = 13
 ANCHORS = 3
-#: Windows (about 400 bytes each) up to this many are sent to every executor.
-BROADCAST_WINDOWS = 100_000
+#: Query terms and alignments (under 500 bytes each) up to this many are sent to every executor.
+BROADCAST_ROWS = 100_000
 #: a document is contaminated if it has a hit and MIN_SHARE times its hits reach its words
 MIN_SHARE = 20
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_WORD = r"[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-_ANY_CASE = r"[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: Runs of ASCII letters and digits and of anything beyond ASCII.
+_WORD = r"[0-9A-Za-z\\x{80}-\\x{10FFFF}]+"
 
 
-def _lowered(text: Column) -> Column:
-    """A-Z lower-cased and nothing else; plain ASCII takes the fast way."""
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
+def _lowered(term: str) -> str:
+    """SQL: A-Z lower-cased and nothing else; plain ASCII takes the fast way."""
+    return f"if(octet_length({term}) = length({term}), lower({term}), translate({term}, '{_UPPER}', '{_UPPER.lower()}'))"
 
 
 def tokens(df: DataFrame, key: list[Column], text_col: str) -> DataFrame:
-    """*key* columns and ``w``, the words of the text."""
-    return df.select(*key, _lowered(F.coalesce(F.col(text_col), F.lit(""))).alias("_t")).withColumn(
-        "w", F.expr(f"regexp_extract_all(_t, '{_WORD}', 0)")
-    ).drop("_t")
+    """*key* columns and ``r``, the words of the text as written."""
+    return df.select(*key, F.expr(f"regexp_extract_all(coalesce(`{text_col}`, ''), '{_WORD}', 0)").alias("r"))
 
 
-def windows(items: DataFrame, id_col: str, text_col: str, width: int = WINDOW) -> DataFrame:
-    """(item_id, q, words): the distinct windows of each item; equal windows of all items share q."""
-    words = tokens(items, [F.col(id_col).alias("item_id")], text_col).where("size(w) > 0")
-    return words.select(
-        "item_id", F.explode(F.expr(f"transform(sequence(1, greatest(1, size(w) - {width - 1})), i -> slice(w, i, {width}))")).alias("words")
-    ).distinct().withColumn("q", F.sha2(F.array_join("words", " "), 256))
+def _item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(item, item_id, w): the lower-cased words of each distinct item that has any; item numbers its text."""
+    rows = tokens(items, [F.col(id_col).alias("item_id")], text_col).where("size(r) > 0")
+    rows = rows.select("item_id", F.expr(f"transform(r, x -> {_lowered('x')})").alias("w")).distinct()
+    return rows.select(F.xxhash64("item_id", F.array_join("w", " ")).alias("item"), "item_id", "w")
 
 
-def postings(docs: DataFrame, terms: DataFrame, context: int = 0) -> DataFrame:
-    """The stored index: (term, key, pos) for every place in *docs* (key, w) of a term in *terms*.
+def _small(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
 
-    With *context*, a posting of a term marked ``carry`` has the words around it as well, from
-    *context* words before to *context* words after.
-    """
-    spread = docs.select("key", "w", F.posexplode("w").alias("pos", "term"))
-    around = F.when(F.col("carry"), F.expr(f"slice(w, greatest(1, pos + 1 - {context}), least(pos, {context}) + 1 + {context})")) if context else F.lit(None).cast("array<string>")
-    return stage(spread.join(terms, "term").select("term", "key", "pos", around.alias("around")), "postings")
-
-
-def anchored(found: DataFrame, docs: DataFrame, anchors: int = ANCHORS) -> DataFrame:
-    """The *anchors* rarest places of each distinct window in *found* (q, words), with frequencies from *docs*."""
-    places = found.select("q", "words").distinct().select("q", "words", F.posexplode("words").alias("at", "term"))
-    vocabulary = places.select("term").distinct()
-    small = F.broadcast(vocabulary) if found.count() <= BROADCAST_WINDOWS else vocabulary
-    counted = docs.select(F.explode("w").alias("term")).join(small, "term").groupBy("term").agg(F.count("*").alias("n"))
-    ranked = places.join(counted, "term", "left").groupBy("q", "words").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term"))), 1, anchors).alias("best")
+
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The stored index: (term, key, pos) for every place in *docs* (key, r) of a term in *terms*."""
+    spread = docs.select("key", F.posexplode("r").alias("pos", "x")).select("key", "pos", F.expr(_lowered("x")).alias("term"))
+    return stage(spread.join(terms, "term").select("term", "key", "pos"), "postings")
+
+
+def plan(items: DataFrame, docs: DataFrame, width: int = WINDOW, anchors: int = ANCHORS) -> tuple[DataFrame, bool]:
+    """((item, item_id, w, wins), few): windows (j, n, places) of each item with their rarest places in *docs*."""
+    vocabulary = stage(items.select(F.explode("w").alias("term")).distinct(), "vocabulary")
+    few = vocabulary.count() <= BROADCAST_ROWS and items.count() <= BROADCAST_ROWS
+    counted = docs.select(F.explode("r").alias("x")).select(F.expr(_lowered("x")).alias("term")).join(_small(vocabulary, few), "term").groupBy("term").agg(F.count("*").alias("n"))
+    known = items.select("item", F.posexplode("w").alias("at", "term")).join(counted, "term", "left").groupBy("item").agg(
+        F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))).alias("f")
     )
     # a window with a term that no document has cannot occur
-    return stage(ranked.where("best[0].n > 0").select("q", "words", F.size("best").alias("lists"), F.posexplode("best").alias("list", "b")).select(
-        "q", "words", "lists", "list", "b.at", "b.term"
-    ), "anchors")
-
-
-def phrase_matches(docs: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """(key, item_id, start, length): every place of a window of an item in *docs* (key, w)."""
-    found = stage(windows(items, id_col, text_col, width), "windows")
-    anchors = anchored(found, docs)
-    few = found.count() <= BROADCAST_WINDOWS
-
-    def side(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if few else df
-
-    terms = anchors.groupBy("term").agg(F.bool_or(F.col("list") == 0).alias("carry"))
-    index = postings(docs, side(terms), width)
-    # the places where each list lets a window start
-    starts = index.join(side(anchors.select("term", "q", "at", "list", "lists")), "term").select(
-        "key", "q", (F.col("pos") - F.col("at")).alias("start"), "list", "lists", "at",
-        F.when(F.col("list") == 0, F.col("around")).alias("around"), F.least("pos", F.lit(width)).alias("before"),
-    ).where("start >= 0")
-    met = starts.groupBy("key", "q", "start").agg(
-        F.count("*").alias("n"), F.max("lists").alias("lists"), F.max(F.when(F.col("list") == 0, F.struct("at", "before", "around"))).alias("x")
-    ).where("n = lists")
-    exact = met.join(side(found.select("q", "words").distinct()), "q").where(
-        F.expr("slice(x.around, x.before - x.at + 1, size(words)) = words")
-    ).select("key", "q", "start", F.size("words").alias("length"))
-    return exact.join(side(found.select("q", "item_id")), "q").select("key", "item_id", "start", "length")
+    rarest = f"transform(slice(array_sort(transform(slice(f, j, least({width}, size(w))), x -> struct(x.n AS n, x.at AS at))), 1, {anchors}), x -> x)"
+    wins = f"""filter(transform(sequence(1, greatest(1, size(w) - {width - 1})), j -> struct(j - 1 AS j, least({width}, size(w)) AS n, {rarest} AS best)), x -> x.best[0].n > 0)"""
+    out = items.join(known, "item").select("item", "item_id", "w", F.expr(f"transform({wins}, x -> struct(x.j AS j, x.n AS n, transform(x.best, b -> b.at) AS places))").alias("wins"))
+    return stage(out.where("size(wins) > 0"), "item-plan"), few
+
+
+def alignments(docs: DataFrame, planned: DataFrame, few: bool) -> DataFrame:
+    """(key, item, diag, wins): where the query terms of some windows of an item all meet."""
+    lists = stage(planned.select("item", "w", F.explode(F.array_distinct(F.flatten("wins.places"))).alias("at")).select("item", "at", F.expr("w[at]").alias("term")), "lists")
+    few = few and lists.count() <= BROADCAST_ROWS
+    index = postings(docs, _small(lists.select("term").distinct(), few))
+    met = index.join(_small(lists, few), "term").select("key", "item", (F.col("pos") - F.col("at")).alias("diag"), "at")
+    met = met.groupBy("key", "item", "diag").agg(F.collect_list("at").alias("have"))
+    return met.join(_small(planned.select("item", "wins"), few), "item").select(
+        "key", "item", "diag", F.expr("filter(wins, x -> diag + x.j >= 0 AND size(array_except(x.places, have)) = 0)").alias("wins")
+    ).where("size(wins) > 0")
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, span: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(key, item_id, start, stop): places in *docs* (key, w) where all distinct terms of an item lie within *span* words.
+    """(key, item_id, start, stop): places in *docs* (key, r) where all distinct terms of an item lie within *span* words.
 
     Answered from stored postings: a window over each document's postings of the item's terms looks
     *span* words ahead.  ``start`` has a posting of the item, and ``stop`` is its last term's place.
     """
-    wanted = tokens(items, [F.col(id_col).alias("item_id")], text_col).where("size(w) > 0").select(
-        "item_id", F.explode(F.array_distinct("w")).alias("term"), F.size(F.array_distinct("w")).alias("need")
-    )
-    wanted = stage(wanted, "near-terms")
-    index = postings(docs, wanted.select("term", F.lit(False).alias("carry")).distinct())
-    ahead = W.partitionBy("key", "item_id").orderBy("pos").rangeBetween(0, span - 1)
+    words = _item_words(items, id_col, text_col)
+    wanted = stage(words.select("item", "item_id", F.explode(F.array_distinct("w")).alias("term"), F.size(F.array_distinct("w")).alias("need")), "near-terms")
+    index = postings(docs, wanted.select("term").distinct())
+    ahead = W.partitionBy("key", "item").orderBy("pos").rangeBetween(0, span - 1)
     hits = index.join(wanted, "term").select(
         "key", "item_id", F.col("pos").alias("start"), "need",
         F.collect_set("term").over(ahead).alias("seen"), F.max("pos").over(ahead).alias("stop"),
@@ -132,38 +114,41 @@ def proximity_matches(docs: DataFrame, items: DataFrame, span: int, id_col: str
     return hits.where("size(seen) = need").select("key", "item_id", "start", "stop")
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, w): the words of every document under a key of its id and text."""
-    return tokens(docs, [_key(id_col, text_col).alias("key")], text_col)
-
-
 def _key(id_col: str, text_col: str) -> Column:
     return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """(key, n_hit, items): for documents with a hit, the words hit and the ids of the items found."""
-    matches = phrase_matches(keyed(docs, id_col, text_col), items, width=width)
-    return matches.groupBy("key").agg(
-        F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(start, start + length - 1)")))).alias("hit"),
-        F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
-    ).select("key", F.size("hit").cast("long").alias("n_hit"), "items")
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, r): the words of every document under a key of its id and text."""
+    return tokens(docs, [_key(id_col, text_col).alias("key")], text_col)
+
+
+def phrase_matches(docs: DataFrame, items: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
+    """Columns *keep* of every row of *docs*, n_words, and ``matches``: (item_id, start, length) of every window found."""
+    words = stage(_item_words(items, "item_id", "text"), "items")
+    planned, few = plan(words, keyed(docs, id_col, text_col), width)
+    met = alignments(keyed(docs, id_col, text_col), planned, few).join(_small(planned.select("item", "item_id", "w"), few), "item")
+    found = stage(met.groupBy("key").agg(F.collect_list(F.struct("item_id", "diag", "w", "wins")).alias("maybe")), "alignments")
+    found = _small(found.withColumnRenamed("key", "_k"), found.count() <= BROADCAST_ROWS)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], _key(id_col, text_col).alias("_key"), F.col(text_col).alias("_t"))
+    rows = tokens(rows.join(found, F.col("_key").eqNullSafe(F.col("_k")), "left"), [*[F.col(f"`{c}`") for c in keep], F.col("maybe")], "_t")
+    # only documents with an alignment are lower-cased and compared
+    rows = rows.withColumn("_low", F.expr(f"if(maybe IS NULL, NULL, transform(r, x -> {_lowered('x')}))"))
+    # _low is named twice so that it stays a column of its own and is not worked out for each window
+    matches = """if(_low IS NULL, NULL, flatten(transform(maybe, m -> transform(
+      filter(m.wins, x -> slice(_low, m.diag + x.j + 1, x.n) = slice(m.w, x.j + 1, x.n)),
+      x -> struct(m.item_id AS item_id, m.diag + x.j AS start, x.n AS length)))))"""
+    return rows.select(*[F.col(f"`{c}`") for c in keep], F.size("r").cast("long").alias("n_words"), F.expr(matches).alias("matches"))
 
 
 def judged(docs: DataFrame, items: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns *keep* of every row of *docs*, with n_words, n_hit, items and contaminated."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], _key(id_col, text_col).alias("key"), text.alias("_t"))
-    # upper-case letters stay in their words, so this needs no lower-casing
-    rows = rows.withColumn("n_words", F.size(F.expr(f"regexp_extract_all(_t, '{_ANY_CASE}', 0)")).cast("long")).drop("_t")
-    hits = stage(contamination(docs, items, id_col, text_col), "contaminated")
-    few = hits.count() <= BROADCAST_WINDOWS
+    hit = "coalesce(size(array_distinct(flatten(transform(matches, m -> sequence(m.start, m.start + m.length - 1))))), 0)"
     return (
-        rows.join((F.broadcast(hits) if few else hits).withColumnRenamed("key", "_k"), F.col("key").eqNullSafe(F.col("_k")), "left")
-        .withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long"))
-        .withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+        phrase_matches(docs, items, keep, id_col, text_col)
+        .withColumn("n_hit", F.expr(f"cast({hit} AS bigint)"))
+        .withColumn("items", F.expr("coalesce(array_sort(array_distinct(transform(matches, m -> cast(m.item_id AS string)))), cast(array() AS array<string>))"))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (MIN_SHARE * F.col("n_hit") >= F.col("n_words")))
-        .drop("key", "_k")
     )
 
 
