@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tessera.llm import decontam, html, langid, minhash, mixing, quality, repeats, sharding, token_file, warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_warc": warc.op2_warc,
     "op3_html": html.op3_html,
@@ -23,3 +25,6 @@ ORACLES = {
     "op8_decontamination": decontam.ORACLE,
     "op10_sharding": sharding.ORACLE,
 }
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
