@@ -48,7 +48,7 @@ GRAM = 32
 #: Texts are worked on in pieces of at most so many bytes; the low bits of a hash hold the place in it.
 PIECE, PLACE_BITS = 1 << 20, 22
 #: Bytes of windows that a part works on at a time, if they are of more than one anchor.
-WORK_BYTES = 6 << 20
+WORK_BYTES = 3 << 19
 
 _BYTE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 U = np.uint64
@@ -130,22 +130,37 @@ def _send_anchors(least: int, parts: int):
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of one partition that occur twice or more, by document."""
-    held = [(b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy()) for b in batches if b.num_rows]
+def _repeated(parts: int):
+    """Arrow function: anchors of one partition that occur twice or more, sent on by document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy()) for b in batches if b.num_rows]
+        if not held:
+            return
+        h, key, place = (np.concatenate(x) for x in zip(*held))
+        del held
+        order = np.argsort(h, kind="stable")
+        s = h[order]
+        same = s[1:] == s[:-1]
+        pick = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        key, place = key[pick], place[pick]
+        part = (key.view(U) % U(parts)).astype(np.int32)
+        group, cols = _lists(np.argsort(part, kind="stable"), part, key, place)
+        for k in range(0, len(group), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(group[k : k + 256]), *(c.slice(k, 256) for c in cols)], names=["part", "key", "place"])
+
+    return run
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeated anchors of one partition's documents, as one row for each document."""
+    held = [(b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()) for b in batches if b.num_rows]
     if not held:
         return
-    h, key, place = (np.concatenate(x) for x in zip(*held))
-    del held
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    same = s[1:] == s[:-1]
-    often = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    pick = order[often]
-    key, place = key[pick], place[pick]
-    group, (lists,) = _lists(np.argsort(key, kind="stable"), key, place)
-    for k in range(0, len(group), 8192):
-        yield pa.RecordBatch.from_arrays([pa.array(group[k : k + 8192]), lists.slice(k, 8192)], names=["key", "places"])
+    key, place = (np.concatenate(x) for x in zip(*held))
+    group, (places,) = _lists(np.argsort(key, kind="stable"), key, place)
+    for k in range(0, len(group), 4096):
+        yield pa.RecordBatch.from_arrays([pa.array(group[k : k + 4096]), places.slice(k, 4096)], names=["key", "places"])
 
 
 def _send_windows(least: int, parts: int):
@@ -367,8 +382,8 @@ def _windows(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFra
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), _key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).where(F.octet_length("text") >= least)
     sent = rows.select("key", "text").mapInArrow(_send_anchors(least, parts), "part int, h array<bigint>, key array<bigint>, place array<bigint>")
-    known = sent.repartition(parts // 4, "part").mapInArrow(_repeated, "key long, places array<bigint>")
-    known = known.groupBy("key").agg(F.flatten(F.collect_list("places")).alias("places"))
+    known = sent.repartition(parts // 4, "part").mapInArrow(_repeated(parts), "part int, key array<bigint>, place array<bigint>")
+    known = known.repartition(parts // 4, "part").mapInArrow(_by_document, "key long, places array<bigint>")
     return (
         rows.join(known, "key").select("id", "key", "text", "places")
         .mapInArrow(_send_windows(least, parts), "part int, h array<bigint>, id array<bigint>, key array<bigint>, at array<bigint>, before array<smallint>, size array<int>, bytes binary")
