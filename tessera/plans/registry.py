@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tessera.plans import relational
+
+_MODULES = (relational,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.queries().items()}
 
 
 def oracles() -> dict:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.oracles().items()}
