@@ -373,6 +373,11 @@ def _key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, text); every join by key starts from this, so that Spark shuffles the texts once."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), _key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+
+
 def _windows(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
     """Windows around repeated anchors, by part."""
     if least < 2 * GRAM:
@@ -380,7 +385,7 @@ def _windows(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFra
     spark = docs.sparkSession
     small_batches(spark)
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), _key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).where(F.octet_length("text") >= least)
+    rows = _rows(docs, id_col, text_col)
     sent = rows.select("key", "text").mapInArrow(_send_anchors(least, parts), "part int, h array<bigint>, key array<bigint>, place array<bigint>")
     known = sent.repartition(parts // 4, "part").mapInArrow(_repeated(parts), "part int, key array<bigint>, place array<bigint>")
     known = known.repartition(parts // 4, "part").mapInArrow(_by_document, "key long, places array<bigint>")
@@ -443,8 +448,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    spans = stage(earlier_spans(docs), "spans")
-    rows = docs.select("doc_id", _key("doc_id", "text").alias("key"), "text")
-    return rows.join(spans, "key", "left").select("doc_id", "text", "starts", "lengths").mapInArrow(
+    # not staged: in one plan, both joins read the same shuffle of the texts
+    return _rows(docs, "doc_id", "text").join(earlier_spans(docs), "key", "left").select("id", "text", "starts", "lengths").mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
