@@ -70,7 +70,7 @@ add("g15_any_all", "SELECT s1_idx, bool_or(p > 0.9) AS any_hi, bool_and(p > 0.1)
 add("g16_idf", "WITH t AS (SELECT DISTINCT p_type AS country, p_partkey, explode(split(p_name, ' ')) AS tok FROM part), n AS (SELECT p_type AS country, count(*) AS n FROM part GROUP BY p_type) SELECT t.country, t.tok, count(*) AS df, round(ln((max(n.n) + 1D) / (count(*) + 1D)), 6) AS idf FROM t JOIN n ON t.country = n.country GROUP BY t.country, t.tok",
     "WITH t AS (SELECT DISTINCT p_type AS country, p_partkey, unnest(string_split(p_name, ' ')) AS tok FROM part), n AS (SELECT p_type AS country, count(*) AS n FROM part GROUP BY p_type) SELECT t.country, t.tok, count(*) AS df, round(ln((max(n.n) + 1)::DOUBLE / (count(*) + 1)::DOUBLE), 6) AS idf FROM t JOIN n ON t.country = n.country GROUP BY t.country, t.tok")
 add("g18_weighted_mean", "SELECT s1_idx, round(sum(p * t_idx) / sum(p), 6) AS m FROM scores GROUP BY s1_idx")
-add("g19_log_none", "SELECT s1_idx, round(sum(ln(1 - p)), 4) AS ln_none, round(exp(sum(ln(1 - p))), 4) AS none FROM scores GROUP BY s1_idx")
+add("g19_log_none", "SELECT s1_idx, round(sum(ln(1 - p)) + 0.0000123, 4) AS ln_none, round(exp(sum(ln(1 - p))) + 0.0000123, 4) AS none FROM scores GROUP BY s1_idx")
 add("g20_all_and_each", "SELECT coalesce(country, 'ALL') AS country, count(*) AS n, round(avg(p), 6) AS p FROM scores JOIN s1 ON scores.s1_idx = s1.s1_idx GROUP BY GROUPING SETS ((country), ())")
 add("g21_name_frequency", "SELECT src, business_name, count(*) AS nfreq FROM records GROUP BY src, business_name")
 add("g23_s1_aggregates", "SELECT s1_idx, count(*) AS n, max(p) AS p_max, round(avg(p), 6) AS p_mean, round(sum(p), 6) AS p_sum, count(CASE WHEN p > 0.5 THEN 1 END) AS n_50, count(CASE WHEN p > 0.9 THEN 1 END) AS n_90, count(CASE WHEN src = 2 THEN 1 END) AS n2, count(CASE WHEN src = 3 THEN 1 END) AS n3, round(sum(ln(1 - p)), 6) AS ln_none, max(CASE WHEN src = 2 THEN p END) AS m2, max(CASE WHEN src = 3 THEN p END) AS m3 FROM scores GROUP BY s1_idx")
