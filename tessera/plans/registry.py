@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.plans import relational
+from tessera.plans import decisions, relational
 
-_MODULES = (relational,)
+_MODULES = (relational, decisions)
+
+flagship = decisions.flagship
 
 
 def queries() -> dict:
