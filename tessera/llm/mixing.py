@@ -91,7 +91,8 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str, tex
     if len(seen) < 2 or not names:
         return [math.log((sizes.get(d, 0) + 0.5) / (total + 0.5 * len(domains))) for d in domains], []
     known_names = F.array(*[F.lit(x) for x in names])
-    rows = sample.select("domain", F.array_intersect("_x", known_names).alias("_x")).select(
+    # staged: inside the lambda below, the intersection would be worked out for each name
+    rows = stage(sample.select("domain", F.array_intersect("_x", known_names).alias("_x")), "labelled-known").select(
         array_to_vector(F.transform(known_names, lambda x: F.array_contains("_x", x).cast("double"))).alias("features"),
         F.coalesce(*[F.when(F.col("domain") == d, float(k)) for k, d in enumerate(seen)]).alias("label"),
     )
