@@ -10,12 +10,12 @@ A file holds a contiguous range of documents in ascending id order::
 So one document is read with two short reads: its index entry and its frame.  The folder also holds
 the dictionary and a manifest that places the files on the common token axis.
 
-The dictionary is trained on the ids of at most ``MAX_SAMPLES`` documents, those of the least hash,
-at most ``SAMPLE_BYTES`` of each; both bounds hold at every input size, and every document is encoded
-whole.  The word pattern of byte-level BPE never reaches across a single blank but to take it into
+The dictionary is trained on the ids of about ``MAX_SAMPLES`` documents chosen by hash (never more than
+twice as many), at most ``SAMPLE_BYTES`` of each; the bounds hold at every input size, and every document
+is encoded whole.  The word pattern of byte-level BPE never reaches across a single blank but to take it into
 the word behind it, so a text of plain Latin letters is the sequence of its pieces between blanks;
-each distinct piece is encoded once while a worker remembers it.  All other texts go through the
-tokenizer whole.
+each distinct piece is encoded once while a worker remembers it, by its words.  All other texts go
+through the tokenizer whole.
 
 Edge cases: a null or empty text is the end id alone; repeated rows are separate documents next to
 each other; null ids come first; an empty table writes no file and gives an empty result; extra
@@ -32,6 +32,7 @@ import struct
 import uuid
 import zlib
 from array import array
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,13 +48,28 @@ END_ID = 2
 MAX_SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 16_384, 65_536
 #: Texts of about so many bytes make a file.
 FILE_BYTES = 48 << 20
-#: Pieces a worker remembers (about 200 bytes each).
-CACHE_WORDS = 700_000
-LEVEL = 3
+#: Words and pieces a worker remembers (about 200 bytes each).
+CACHE_WORDS = 600_000
+LEVEL = 1
 
 #: What a text must not have to be encoded by pieces: anything but Latin letters, marks, single blanks and line ends.
 _OTHER = re.compile("[^\\t\\n\\r -~¡-ɏ]|<\\||  ")
 
+# fixed values: the word pattern of byte-level BPE for texts that pass _OTHER, letters and digits spelt out
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \\t\\n\\r"
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary spells each character up to U+024F: visible bytes stand for themselves, others follow U+0100."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    letter = {b: chr(b) for b in visible} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
+    return {c: "".join(letter[b] for b in chr(c).encode("utf-8")) for c in range(0x250)}
+
+
+_BYTES = _byte_letters()
+
 _coders: dict[str, Coder] = {}
 
 
@@ -63,15 +79,53 @@ class Coder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        # in a byte-level vocabulary, a letter of a token is a byte of text
+        self.lengths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.lengths[k] = len(token)
+        # the same model over words that are split and spelt in byte letters already
+        self.by_line = Tokenizer.from_file(path)
+        self.by_line.pre_tokenizer = CharDelimiterSplit("\n")
         self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.end = np.array([END_ID], self.dtype).tobytes()
 
+    def _ids(self, encoding) -> bytes:
+        return array("H" if self.dtype.itemsize == 2 else "I", encoding.ids).tobytes()
+
     def _whole(self, texts: list[str]) -> list[bytes]:
-        kind = "H" if self.dtype.itemsize == 2 else "I"
-        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [self._ids(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words: they go to the model as one text, a word a line, and are cut by their lengths."""
+        spelt = "\n".join(new).translate(_BYTES).split(_BYTES[10])
+        raw = self._ids(self.by_line.encode_batch_fast(["\n".join(spelt)], add_special_tokens=False)[0])
+        ends = np.cumsum(self.lengths[np.frombuffer(raw, self.dtype)])
+        cut = ((np.searchsorted(ends, np.cumsum(list(map(len, spelt)))) + 1) * self.dtype.itemsize).tolist()
+        return dict(zip(new, [raw[i:j] for i, j in zip([0, *cut], cut)]))
+
+    def _pieces(self, new: list[str]) -> list[bytes]:
+        """Ids of pieces by their words.  Words and pieces are remembered until there are CACHE_WORDS of them."""
+        split = [_WORDS.findall(" " + x) for x in new]
+        words = self.words
+        unknown = {w for ws in split for w in ws if w not in words}
+        # line ends are words of their own; they cannot be spelt a word a line
+        odd = {w for w in unknown if "\n" in w}
+        made = self._words(list(unknown - odd)) if unknown - odd else {}
+        made.update((w, self._whole([w])[0]) for w in odd)
+        if len(words) < CACHE_WORDS:
+            words.update(made)
+            made = words
+        else:
+            made = ChainMap(made, words)
+        out = [b"".join([made[w] for w in ws]) for ws in split]
+        if len(self.pieces) < CACHE_WORDS:
+            self.pieces.update(zip(new, out))
+        return out
 
     def __call__(self, text: str) -> bytes:
         if not text:
@@ -80,14 +134,12 @@ class Coder:
             return self._whole([text])[0] + self.end
         first, *pieces = text.split(" ")
         head = self._whole([first])[0] if first else b""
-        try:
-            return b"".join([head, *map(self.words.__getitem__, pieces), self.end])
-        except KeyError:
-            if len(self.words) > CACHE_WORDS:
-                self.words.clear()
-            new = list(set(pieces).difference(self.words))
-            self.words.update(zip(new, self._whole([f" {x}" for x in new])))
-            return b"".join([head, *map(self.words.__getitem__, pieces), self.end])
+        found = list(map(self.pieces.get, pieces))
+        if None in found:
+            new = list({x for x, ids in zip(pieces, found) if ids is None})
+            made = dict(zip(new, self._pieces(new)))
+            found = [made[x] if ids is None else ids for x, ids in zip(pieces, found)]
+        return b"".join([head, *found, self.end])
 
 
 def coder(path: str) -> Coder:
@@ -117,11 +169,12 @@ def _write(uri: str, data: bytes) -> None:
     fs.move(part, path)
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> bytes:
-    """Dictionary for serialized id arrays; empty where the samples are too few to train one."""
+def train_dictionary(docs: DataFrame, rows: int, tokenizer: str, id_col: str, text_col: str) -> bytes:
+    """Dictionary for serialized id arrays, from about MAX_SAMPLES of *rows*; empty where they are too few to train one."""
     import zstandard
 
-    sample = docs.where(F.length(text_col) > 0).orderBy(F.xxhash64(id_col, text_col)).select(F.expr(f"left(`{text_col}`, {SAMPLE_BYTES})").alias("t")).limit(MAX_SAMPLES)
+    step = max(1, rows // MAX_SAMPLES)
+    sample = docs.where(F.pmod(F.xxhash64(id_col), F.lit(step)) == 0).select(F.expr(f"left(`{text_col}`, {SAMPLE_BYTES})").alias("t")).where("t <> ''").limit(2 * MAX_SAMPLES)
     encode = coder(tokenizer)
     samples = [encode(r.t)[:SAMPLE_BYTES] for r in sample.toLocalIterator()]
     try:
@@ -210,7 +263,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
     # file edges: quantiles of the ids, as many as there are files
     bounds = docs.select(F.percentile_approx("doc_id", [k / files for k in range(1, files)], 100 * files).alias("q")).first().q if files > 1 and size.n else []
     bounds = sorted(set(bounds))
-    dictionary = train_dictionary(docs, tokenizer, "doc_id", "text")
+    dictionary = train_dictionary(docs, size.n, tokenizer, "doc_id", "text")
     dictionary_uri = f"{folder}/dictionary.zdict"
     fs, path = _filesystem(folder)
     fs.create_dir(path, recursive=True)
