@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +47,9 @@ from tessera.llm.store import stage, table
 MIN_BYTES = 100
 GRAM = 32
 #: Texts are worked on in pieces of at most so many bytes; the low bits of a hash hold the place in it.
-PIECE, PLACE_BITS = 1 << 20, 22
+PIECE, PLACE_BITS = 1 << 19, 22
 #: Bytes of windows that a part works on at a time, if they are of more than one anchor.
-WORK_BYTES = 3 << 19
+WORK_BYTES = 3 << 18
 
 _BYTE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 U = np.uint64
@@ -167,6 +168,7 @@ def _send_windows(least: int, parts: int):
     """Documents with their repeated anchors -> by part: hash, document, place, byte before, length and bytes of the windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             ids = batch.column(0).fill_null(-(1 << 63)).to_numpy()
             keys = batch.column(1).to_numpy()
@@ -197,7 +199,7 @@ def _send_windows(least: int, parts: int):
                 take = np.repeat(lo[order] - (ends - own), own) + np.arange(ends[-1])
                 blob = data[take].tobytes()
                 cut = np.concatenate([[0], ends[np.append(np.flatnonzero(np.diff(part[order])), len(order) - 1)]])
-                blobs = pa.array([blob[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())], pa.binary())
+                blobs = pa.array([pack(blob[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(group), *cols, blobs], names=["part", "h", "id", "key", "at", "before", "size", "bytes"])
 
     return run
@@ -297,7 +299,8 @@ def _work(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     if not held:
         return
     h, ids, keys, at, before, size = (np.concatenate([b.column(k).flatten().to_numpy() for b in held]) for k in range(1, 7))
-    data = np.concatenate([np.frombuffer(x, np.uint8) for b in held for x in b.column(7).to_pylist()])
+    unpack = zstandard.ZstdDecompressor().decompress
+    data = np.concatenate([np.frombuffer(unpack(x), np.uint8) for b in held for x in b.column(7).to_pylist()])
     del held
     begin = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
     order = np.lexsort((at, keys, ids, h))
