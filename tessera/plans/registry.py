@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import decisions, relational
+from tessera.plans import decisions, linkage, relational
 
-_MODULES = (relational, decisions)
+_MODULES = (relational, decisions, linkage)
 
 flagship = decisions.flagship
 

@@ -43,7 +43,7 @@ add("j07_composite", "SELECT s.s1_idx, s.src, s.t_idx, s.p AS p1, round(b.p, 6)
 add("j08_ordered_left", "SELECT o.o_orderkey, n.nations FROM orders o LEFT JOIN (SELECT c_custkey, c_nationkey AS nations FROM customer) n ON o.o_custkey = n.c_custkey ORDER BY o.o_orderkey")
 add("j11_cooccurrence", "WITH parts AS (SELECT DISTINCT l_orderkey AS rec, l_returnflag AS part FROM lineitem UNION SELECT DISTINCT l_orderkey, l_linestatus FROM lineitem), n AS (SELECT part, count(*) AS n FROM parts GROUP BY part) SELECT a.part AS x, b.part AS y, count(*) AS both_n, round(count(*) / max(CAST(n.n AS DOUBLE)), 6) AS implied FROM parts a JOIN parts b ON a.rec = b.rec AND a.part <> b.part JOIN n ON n.part = a.part GROUP BY a.part, b.part")
 add("j12_other_anchor", "WITH r AS (SELECT s1_idx, src, t_idx, p, row_number() OVER (PARTITION BY s1_idx ORDER BY p DESC, src, t_idx) AS k FROM scores), top AS (SELECT s1_idx, max(CASE WHEN k = 1 THEN t_idx END) AS t0, max(CASE WHEN k = 1 THEN src END) AS s0, max(CASE WHEN k = 2 THEN t_idx END) AS t1 FROM r WHERE k <= 2 GROUP BY s1_idx) SELECT r.s1_idx, r.src, r.t_idx, CASE WHEN r.t_idx = top.t0 AND r.src = top.s0 THEN coalesce(top.t1, -1) ELSE top.t0 END AS anchor FROM r JOIN top ON r.s1_idx = top.s1_idx")
-add("j13_twins", "SELECT a.idx, b.idx AS twin FROM records a JOIN records b ON a.hno = b.hno AND a.brand = b.brand AND a.country = b.country AND a.idx <> b.idx WHERE a.src = 1 AND b.src = 1")
+add("j13_twins", "SELECT a.idx, b.idx AS twin FROM records a JOIN records b ON a.number = b.number AND a.brand = b.brand AND a.country = b.country AND a.idx <> b.idx WHERE a.src = 1 AND b.src = 1")
 add("j14_target_pairs", "WITH r AS (SELECT s1_idx, src, t_idx, p, row_number() OVER (PARTITION BY s1_idx ORDER BY p DESC, src, t_idx) AS k FROM scores) SELECT a.s1_idx, a.src, a.t_idx, b.src AS src_j, b.t_idx AS t_j, b.p AS p_j FROM r a JOIN r b ON a.s1_idx = b.s1_idx AND b.k <= 8 AND NOT (a.src = b.src AND a.t_idx = b.t_idx)")
 add("j15_horizontal", "SELECT a.s1_idx, a.country, b.n FROM s1 a JOIN (SELECT s1_idx, count(*) AS n FROM scores GROUP BY s1_idx) b ON a.s1_idx = b.s1_idx")
 add("j16_join_cost", "WITH k AS (SELECT p_type AS country, p_brand AS key, count(CASE WHEN p_partkey % 3 = 0 THEN 1 END) AS n1, count(CASE WHEN p_partkey % 3 > 0 THEN 1 END) AS n2 FROM part GROUP BY p_type, p_brand), c AS (SELECT country, key, n1 * n2 AS cost FROM k) SELECT country, key, cost, CAST(sum(cost) OVER (PARTITION BY country ORDER BY key) AS BIGINT) AS running, CAST(floor((sum(cost) OVER (PARTITION BY country ORDER BY key) - 1) / 200.0) AS BIGINT) AS chunk FROM c")

@@ -22,7 +22,7 @@ ROLES = {
     "s1": "SELECT CAST(o_orderkey AS BIGINT) AS s1_idx, o_orderpriority AS country FROM orders",
     # name and address records; src 1 is the reference table
     "records": """SELECT p_partkey AS idx, CAST(1 + p_partkey % 3 AS INT) AS src, p_type AS country, p_name AS business_name,
-        concat(CAST(p_size AS VARCHAR(10)), ' ', p_brand, ' street, ', p_type, ' city') AS business_address, CAST(p_size AS VARCHAR(10)) AS hno, p_brand AS brand FROM part""",
+        concat(CAST(p_size AS VARCHAR(10)), ' ', p_brand, ' street, ', p_type, ' city') AS business_address, CAST(p_size AS VARCHAR(10)) AS number, p_brand AS brand FROM part""",
     # a second scoring of the same pairs, for stacking and comparison
     "scores2": """SELECT CAST(l_orderkey AS BIGINT) AS s1_idx, CAST(2 + l_linenumber % 2 AS INT) AS src, CAST(l_partkey AS BIGINT) AS t_idx,
         greatest(CAST(0.01 AS DOUBLE), least(CAST(0.99 AS DOUBLE), max(round(l_discount * 5 + l_tax * 6, 2)))) AS p

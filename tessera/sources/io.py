@@ -33,7 +33,7 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def explode_ids(df: DataFrame, column: str) -> DataFrame:
-    ids = F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), ","), F.trim), lambda x: x != "")
+    ids = F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return df.withColumn("id", F.explode(ids)).drop(column)
 
 
@@ -59,12 +59,20 @@ def load(spark: SparkSession, root: str, split: str, src: int | None = None, cou
 def save_stage(df: DataFrame, root: str, name: str) -> None:
     """Stage table partitioned by country and source; only the partitions written are replaced."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("country", "src").parquet(f"{root}/{name}")
+    # dynamic overwrite commits partitions by themselves and leaves no marker of its own
+    fs, marker = _hadoop(df.sparkSession, f"{root}/{name}/_SUCCESS")
+    fs.create(marker, True).close()
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def stage_done(spark: SparkSession, path: str) -> bool:
     """Whether a stage table was committed."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, marker = _hadoop(spark, f"{path}/_SUCCESS")
+    return fs.exists(marker)
 
 
 def scan_drifted(spark: SparkSession, paths: Iterable[str], schema: T.StructType) -> DataFrame:
