@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -164,7 +165,20 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(group[k : k + 4096]), places.slice(k, 4096)], names=["key", "places"])
 
 
-def _send_windows(least: int, parts: int):
+def _collapse(h, ids, keys, at, size, total, start) -> tuple[np.ndarray, np.ndarray]:
+    """(first, others): of anchors with equal windows around them, the earliest, and those that follow it.
+
+    Every window of the others begins earlier too, so they are covered whole and need no suffixes.
+    """
+    _, down = powers(len(total))
+    same = mix((total[start + size] - total[start]) * down[start])
+    order = np.lexsort((at, keys, ids, size, same, h))
+    a, b = order[1:], order[:-1]
+    new = np.concatenate([[True], (h[a] != h[b]) | (same[a] != same[b]) | (size[a] != size[b])])
+    return np.sort(order[new]), order[~new]
+
+
+def _send_windows(least: int, parts: int, collapse: bool):
     """Documents with their repeated anchors -> by part: hash, document, place, byte before, length and bytes of the windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,9 +205,21 @@ def _send_windows(least: int, parts: int):
                 before = np.where(at > 0, data[np.maximum(lo - 1, 0)].astype(np.int16), np.int16(-1))
                 before = np.where((at > 0) & (lo == off[doc]), np.int16(-2), before)  # the byte before is in the piece before
                 size = (hi + least - lo).astype(np.int32)
+                own_ids, own_keys = ids[rows[doc]], keys[rows[doc]]
+                if collapse:
+                    one, more = _collapse(h, own_ids, own_keys, at, size, _prefix(data), lo)
+                    if len(more):
+                        part = (h[more] % U(parts)).astype(np.int32)
+                        group, cols = _lists(np.argsort(part, kind="stable"), part, own_keys[more], at[more], size[more])
+                        none = pa.nulls(len(group))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(group), none.cast(pa.list_(pa.int64())), none.cast(pa.list_(pa.int64())), cols[0], cols[1], none.cast(pa.list_(pa.int16())), cols[2], none.cast(pa.binary())],
+                            names=["part", "h", "id", "key", "at", "before", "size", "bytes"],
+                        )
+                    h, lo, at, before, size, own_ids, own_keys = (x[one] for x in (h, lo, at, before, size, own_ids, own_keys))
                 part = (h % U(parts)).astype(np.int32)
                 order = np.argsort(part, kind="stable")
-                group, cols = _lists(order, part, h.view(np.int64), ids[rows[doc]], keys[rows[doc]], at, before, size)
+                group, cols = _lists(order, part, h.view(np.int64), own_ids, own_keys, at, before, size)
                 own = size[order].astype(np.int64)
                 ends = np.cumsum(own)
                 take = np.repeat(lo[order] - (ends - own), own) + np.arange(ends[-1])
@@ -293,9 +319,20 @@ def _suffix_array(h, ids, keys, at, before, size, data, least: int):
     return ids[o], keys[o], place, rank, prev, lcp, into[order] == 0, rest
 
 
-def _work(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Whole anchors of one partition, in pieces of about WORK_BYTES: arrays for :func:`_suffix_array`."""
-    held = [b for b in batches if b.num_rows]
+def _work(batches: Iterator[pa.RecordBatch], covered: list | None = None) -> Iterator[tuple]:
+    """Whole anchors of one partition, in pieces of about WORK_BYTES: arrays for :func:`_suffix_array`.
+
+    With *covered*, anchors whose windows are all earlier as well go there as (key, at, size) instead.
+    """
+    held = []
+    for b in batches:
+        if covered is not None and b.num_rows:
+            whole = b.column(7).is_null()
+            for r in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+                covered.append(tuple(b.column(c)[r].values.to_numpy() for c in (3, 4, 6)))
+            b = b.filter(pc.invert(whole))
+        if b.num_rows:
+            held.append(b)
     if not held:
         return
     h, ids, keys, at, before, size = (np.concatenate([b.column(k).flatten().to_numpy() for b in held]) for k in range(1, 7))
@@ -303,7 +340,19 @@ def _work(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     data = np.concatenate([np.frombuffer(unpack(x), np.uint8) for b in held for x in b.column(7).to_pylist()])
     del held
     begin = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-    order = np.lexsort((at, keys, ids, h))
+    if covered is not None:
+        one, more = _collapse(h, ids, keys, at, size, _prefix(data), begin[:-1])
+        # rows that repeat id and text send the same windows: those are not earlier ones
+        follows = np.ones(len(more), bool)
+        if len(more):
+            lead = np.lexsort((at, keys, ids, h))
+            twin = np.zeros(len(h), bool)
+            twin[lead[1:]] = (h[lead[1:]] == h[lead[:-1]]) & (keys[lead[1:]] == keys[lead[:-1]]) & (ids[lead[1:]] == ids[lead[:-1]]) & (at[lead[1:]] == at[lead[:-1]])
+            follows = ~twin[more]
+        covered.append((keys[more[follows]], at[more[follows]], size[more[follows]]))
+        order = one[np.lexsort((at[one], keys[one], ids[one], h[one]))]
+    else:
+        order = np.lexsort((at, keys, ids, h))
     # rows that repeat id and text send the same windows; one of each is enough
     same = (h[order][1:] == h[order][:-1]) & (keys[order][1:] == keys[order][:-1]) & (ids[order][1:] == ids[order][:-1]) & (at[order][1:] == at[order][:-1])
     order = order[np.concatenate([[True], ~same])]
@@ -325,8 +374,14 @@ def _work(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def _spans(least: int):
     """Arrow function: by document, starts and lengths of passages that begin earlier as well."""
 
+    def rows(keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+        group, lists = _lists(np.argsort(keys, kind="stable"), keys, starts, lengths.astype(np.int64))
+        for k in range(0, len(group), 8192):
+            yield pa.RecordBatch.from_arrays([pa.array(group[k : k + 8192]), *(x.slice(k, 8192) for x in lists)], names=["key", "starts", "lengths"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for work in _work(batches):
+        covered: list[tuple] = []
+        for work in _work(batches, covered):
             built = _suffix_array(*work, least)
             if built is None:
                 continue
@@ -334,12 +389,11 @@ def _spans(least: int):
             _, cover = scan_tree(lcp.tolist(), rank.tolist(), left.tolist())
             cover_ = np.array(cover, np.int64)
             hit = np.flatnonzero(cover_)
-            if not len(hit):
-                continue
-            keys = keys[hit]
-            group, lists = _lists(np.argsort(keys, kind="stable"), keys, place[hit], cover_[hit])
-            for k in range(0, len(group), 8192):
-                yield pa.RecordBatch.from_arrays([pa.array(group[k : k + 8192]), *(x.slice(k, 8192) for x in lists)], names=["key", "starts", "lengths"])
+            if len(hit):
+                yield from rows(keys[hit], place[hit], cover_[hit])
+        covered = [c for c in covered if len(c[0])]
+        if covered:
+            yield from rows(*(np.concatenate(x) for x in zip(*covered)))
 
     return run
 
@@ -381,8 +435,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), _key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
 
 
-def _windows(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
-    """Windows around repeated anchors, by part."""
+def _windows(docs: DataFrame, least: int, id_col: str, text_col: str, collapse: bool) -> DataFrame:
+    """Windows around repeated anchors, by part; with *collapse*, equal windows of a batch are sent once."""
     if least < 2 * GRAM:
         raise ValueError(f"passages must have {2 * GRAM} bytes at least")
     spark = docs.sparkSession
@@ -394,7 +448,7 @@ def _windows(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFra
     known = known.repartition(parts // 4, "part").mapInArrow(_by_document, "key long, places array<bigint>")
     return (
         rows.join(known, "key").select("id", "key", "text", "places")
-        .mapInArrow(_send_windows(least, parts), "part int, h array<bigint>, id array<bigint>, key array<bigint>, at array<bigint>, before array<smallint>, size array<int>, bytes binary")
+        .mapInArrow(_send_windows(least, parts, collapse), "part int, h array<bigint>, id array<bigint>, key array<bigint>, at array<bigint>, before array<smallint>, size array<int>, bytes binary")
         .repartition(parts // 4, "part")
     )
 
@@ -404,7 +458,7 @@ def repeat_groups(docs: DataFrame, least: int = MIN_BYTES, id_col: str = "doc_id
 
     All occurrences of a group are the suffixes of its tree with ranks from ``first`` to ``last``.
     """
-    both = stage(_windows(docs, least, id_col, text_col).mapInArrow(
+    both = stage(_windows(docs, least, id_col, text_col, False).mapInArrow(
         _tree(least, 0), "tree long, first long, last long, length long, open_left boolean, open_right boolean, doc_id long, start long"
     ), "repeat-trees")
     return (
@@ -415,7 +469,7 @@ def repeat_groups(docs: DataFrame, least: int = MIN_BYTES, id_col: str = "doc_id
 
 def earlier_spans(docs: DataFrame, least: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, starts, lengths): passages of at least *least* bytes that begin earlier too, by document."""
-    spans = _windows(docs, least, id_col, text_col).mapInArrow(_spans(least), "key long, starts array<bigint>, lengths array<bigint>")
+    spans = _windows(docs, least, id_col, text_col, True).mapInArrow(_spans(least), "key long, starts array<bigint>, lengths array<bigint>")
     return spans.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("lengths")).alias("lengths"))
 
 
