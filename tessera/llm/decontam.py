@@ -147,7 +147,7 @@ def judged(docs: DataFrame, items: DataFrame, keep: list[str], id_col: str = "do
     return (
         phrase_matches(docs, items, keep, id_col, text_col)
         .withColumn("n_hit", F.expr(f"cast({hit} AS bigint)"))
-        .withColumn("items", F.expr("coalesce(array_sort(array_distinct(transform(matches, m -> cast(m.item_id AS string)))), cast(array() AS array<string>))"))
+        .withColumn("items", F.expr("coalesce(array_sort(array_compact(array_distinct(transform(matches, m -> cast(m.item_id AS string))))), cast(array() AS array<string>))"))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (MIN_SHARE * F.col("n_hit") >= F.col("n_words")))
     )
 
