@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -162,8 +163,6 @@ def members_mean(df: DataFrame, members: list[str], name: str = "ce") -> DataFra
 
 def score_pairs(df: DataFrame, scorer, a: str = "a", b: str = "b", name: str = "ce") -> DataFrame:
     """Hook for any batch scorer of text pairs: *scorer* takes two lists of strings, sorted by length, and returns numbers."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         order = (x.str.len().fillna(0) + y.str.len().fillna(0)).sort_values(kind="stable").index

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import decisions, linkage, relational
+from tessera.plans import decisions, extra, linkage, relational
 
-_MODULES = (relational, decisions, linkage)
+_MODULES = (relational, decisions, linkage, extra)
 
 flagship = decisions.flagship
 
