@@ -423,3 +423,18 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each near-duplicate group stays."""
     return drop_near_duplicates(docs)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*)::BIGINT AS n FROM sh GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM both_ JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * i >= 80 * (p.n + q.n - i)),
+edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(node, far) AS (SELECT doc_id, doc_id FROM w UNION SELECT node, y FROM reach JOIN edge ON x = far),
+comp AS (SELECT node, min(far) AS c FROM reach GROUP BY node)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, w.doc_id = c AS kept FROM w JOIN comp ON node = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""

@@ -22,7 +22,9 @@ QUERIES = {
 ORACLES = {
     "op1_quality_rules": quality.ORACLE,
     "op2_warc": warc.ORACLE,
+    "op5_repeats": repeats.ORACLE,
     "op8_decontamination": decontam.ORACLE,
+    "op9_minhash": minhash.ORACLE,
     "op10_sharding": sharding.ORACLE,
 }
 

@@ -509,3 +509,17 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(docs, "doc_id", "text").join(earlier_spans(docs), "key", "left").select("id", "text", "starts", "lengths").mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+win AS (SELECT doc_id, p, md5(substr(h, (2 * p + 1)::BIGINT, {2 * MIN_BYTES})) AS g FROM (SELECT doc_id, h, unnest(range(0, n - {MIN_BYTES - 1})) AS p FROM d WHERE n >= {MIN_BYTES})),
+dup AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS k FROM win) WHERE k > 1),
+isle AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS i FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {MIN_BYTES} THEN 0 ELSE 1 END AS new FROM dup)),
+run AS (SELECT doc_id, min(p) AS a, max(p) + {MIN_BYTES} AS b FROM isle GROUP BY doc_id, i),
+gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM run UNION ALL SELECT doc_id, max(b), NULL FROM run GROUP BY doc_id),
+kept AS (SELECT gap.doc_id, string_agg(substr(h, (2 * x + 1)::BIGINT, (2 * (coalesce(y, n) - x))::BIGINT), '' ORDER BY x) AS k FROM gap JOIN d ON d.doc_id = gap.doc_id GROUP BY gap.doc_id),
+s AS (SELECT doc_id, sum(b - a)::BIGINT AS r, count(*)::BIGINT AS c FROM run GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(r, 0)::BIGINT AS n_removed, coalesce(c, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
