@@ -165,13 +165,25 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(group[k : k + 4096]), places.slice(k, 4096)], names=["key", "places"])
 
 
-def _collapse(h, ids, keys, at, size, total, start) -> tuple[np.ndarray, np.ndarray]:
-    """(first, others): of anchors with equal windows around them, the earliest, and those that follow it.
+def _ranges(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges of *data* in ascending order of start, a piece of about PIECE bytes at a time."""
+    out = np.empty(len(start), U)
+    stop = start + size
+    k = 0
+    while k < len(start):
+        m = max(k + 1, int(np.searchsorted(start, start[k] + PIECE, "right")))
+        first, last = int(start[k]), int(stop[k:m].max())
+        total = _prefix(data[first:last])
+        out[k:m] = mix((total[stop[k:m] - first] - total[start[k:m] - first]) * powers(len(total))[1][start[k:m] - first])
+        k = m
+    return out
+
+
+def _collapse(h, ids, keys, at, size, same) -> tuple[np.ndarray, np.ndarray]:
+    """(first, others): of anchors with equal windows around them (hashes *same*), the earliest, and those that follow it.
 
     Every window of the others begins earlier too, so they are covered whole and need no suffixes.
     """
-    _, down = powers(len(total))
-    same = mix((total[start + size] - total[start]) * down[start])
     order = np.lexsort((at, keys, ids, size, same, h))
     a, b = order[1:], order[:-1]
     new = np.concatenate([[True], (h[a] != h[b]) | (same[a] != same[b]) | (size[a] != size[b])])
@@ -207,7 +219,7 @@ def _send_windows(least: int, parts: int, collapse: bool):
                 size = (hi + least - lo).astype(np.int32)
                 own_ids, own_keys = ids[rows[doc]], keys[rows[doc]]
                 if collapse:
-                    one, more = _collapse(h, own_ids, own_keys, at, size, _prefix(data), lo)
+                    one, more = _collapse(h, own_ids, own_keys, at, size, _ranges(data, lo, size))
                     if len(more):
                         part = (h[more] % U(parts)).astype(np.int32)
                         group, cols = _lists(np.argsort(part, kind="stable"), part, own_keys[more], at[more], size[more])
@@ -341,7 +353,7 @@ def _work(batches: Iterator[pa.RecordBatch], covered: list | None = None) -> Ite
     del held
     begin = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
     if covered is not None:
-        one, more = _collapse(h, ids, keys, at, size, _prefix(data), begin[:-1])
+        one, more = _collapse(h, ids, keys, at, size, _ranges(data, begin[:-1], size))
         # rows that repeat id and text send the same windows: those are not earlier ones
         follows = np.ones(len(more), bool)
         if len(more):
