@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.store import stage, table
+from tessera.llm.store import packed, stage, table
 
 WINDOW = 13
 ANCHORS = 3
@@ -124,25 +124,25 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """Columns *keep* of every row of *docs*, n_words, and ``matches``: (item_id, start, length) of every window found."""
+    """For every row of *docs*: ``row__`` (its columns *keep*), n_words, and ``matches``: (item_id, start, length) of every window found."""
     words = stage(_item_words(items, "item_id", "text"), "items")
     planned, few = plan(words, keyed(docs, id_col, text_col), width)
     met = alignments(keyed(docs, id_col, text_col), planned, few).join(_small(planned.select("item", "item_id", "w"), few), "item")
     found = stage(met.groupBy("key").agg(F.collect_list(F.struct("item_id", "diag", "w", "wins")).alias("maybe")), "alignments")
     found = _small(found.withColumnRenamed("key", "_k"), found.count() <= BROADCAST_ROWS)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], _key(id_col, text_col).alias("_key"), F.col(text_col).alias("_t"))
-    rows = tokens(rows.join(found, F.col("_key").eqNullSafe(F.col("_k")), "left"), [*[F.col(f"`{c}`") for c in keep], F.col("maybe")], "_t")
+    rows = docs.select(packed(docs, keep), _key(id_col, text_col).alias("_key"), F.col(f"`{text_col}`").alias("_t"))
+    rows = tokens(rows.join(found, F.col("_key").eqNullSafe(F.col("_k")), "left"), [F.col("row__"), F.col("maybe")], "_t")
     # only documents with an alignment are lower-cased and compared
     rows = rows.withColumn("_low", F.expr(f"if(maybe IS NULL, NULL, transform(r, x -> {_lowered('x')}))"))
     # _low is named twice so that it stays a column of its own and is not worked out for each window
     matches = """if(_low IS NULL, NULL, flatten(transform(maybe, m -> transform(
       filter(m.wins, x -> slice(_low, m.diag + x.j + 1, x.n) = slice(m.w, x.j + 1, x.n)),
       x -> struct(m.item_id AS item_id, m.diag + x.j AS start, x.n AS length)))))"""
-    return rows.select(*[F.col(f"`{c}`") for c in keep], F.size("r").cast("long").alias("n_words"), F.expr(matches).alias("matches"))
+    return rows.select("row__", F.size("r").cast("long").alias("n_words"), F.expr(matches).alias("matches"))
 
 
 def judged(docs: DataFrame, items: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns *keep* of every row of *docs*, with n_words, n_hit, items and contaminated."""
+    """For every row of *docs*: ``row__`` (its columns *keep*), n_words, n_hit, items and contaminated."""
     hit = "coalesce(size(array_distinct(flatten(transform(matches, m -> sequence(m.start, m.start + m.length - 1))))), 0)"
     return (
         phrase_matches(docs, items, keep, id_col, text_col)
@@ -155,14 +155,14 @@ def judged(docs: DataFrame, items: DataFrame, keep: list[str], id_col: str = "do
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     return rows.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        "row__.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated documents go."""
-    return judged(docs, table(spark, sf_dir, "benchmark"), docs.columns).where("NOT contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged(docs, table(spark, sf_dir, "benchmark"), docs.columns).where("NOT contaminated").select("row__.*")
 
 
 ORACLE = rf"""

@@ -25,6 +25,7 @@ a row with a null id is never linked and kept; extra columns are ignored, or pas
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -417,7 +418,8 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of *docs* that stand for their group, with their own columns."""
     gone = near_duplicates(docs, **options).where("NOT kept").select("doc_id").distinct()
     id_col = options.get("id_col", "doc_id")
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    name = next(n for n in map("gone{}".format, itertools.count()) if n not in docs.columns)
+    return docs.join(gone.withColumnRenamed("doc_id", name), F.col(f"`{id_col}`") == F.col(name), "left_anti")
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.store import stage, table
+from tessera.llm.store import packed, stage, table
 
 #: Labelled documents that fit the classifier, at most.
 MAX_LABELLED = 20_000
@@ -184,7 +184,7 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns *keep* (all by default) with n_tokens, p, rate and copies for every row of *docs*.
+    """For every row of *docs*: ``row__`` (its columns *keep*, all by default), n_tokens, p, rate and copies.
 
     *labels* has (doc_id, domain).  ``copies`` rounds the rate up or down by a hash of id and text,
     so that it is the rate on average.
@@ -192,9 +192,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     targets = TARGETS if targets is None else targets
     domains = list(targets)
     prior, vocabulary = fit(docs, labels, domains, id_col, text_col)
-    kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
+    row = packed(docs, docs.columns if keep is None else keep)
     chance = (F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.lit(1 << 20)) / float(1 << 20)).alias("_u")
-    scored = stage(posteriors(docs, prior, vocabulary, [*kept, chance], text_col), "posteriors")
+    scored = stage(posteriors(docs, prior, vocabulary, [row, chance], text_col), "posteriors")
     rate, _, _ = fit_rates(scored, list(targets.values()))
     return scored.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + F.col("_u")).cast("int")).drop("_u")
 
@@ -205,10 +205,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"), _labels(spark, sf_dir), keep=["doc_id"])
-    return mixed.select("doc_id", "n_tokens", *[F.round(F.col("p")[j], 6).alias(f"p_{d}") for j, d in enumerate(TARGETS)], F.round("rate", 6).alias("rate"), "copies")
+    return mixed.select("row__.doc_id", "n_tokens", *[F.round(F.col("p")[j], 6).alias(f"p_{d}") for j, d in enumerate(TARGETS)], F.round("rate", 6).alias("rate"), "copies")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document appears as often as its copies say, which may be never."""
     mixed = mix(docs, _labels(spark, sf_dir)).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row__.*")

@@ -21,7 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.store import stage, table
+from tessera.llm.store import packed, stage, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -61,15 +61,14 @@ _COVERED = "cast(if(size(rp) = 0, 0, size(array_distinct(flatten(array(rp, trans
 
 
 def features(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns *keep* of *docs* (all by default) and a struct ``_f`` of the quality features."""
+    """``row__``, the columns *keep* of *docs* (all by default), and ``_f``, the quality features."""
     keep = docs.columns if keep is None else keep
     words = F.expr(r"regexp_extract_all(_t, '[^\\x20\\x09-\\x0D]+', 0)")
     lines = F.expr(r"filter(split(_t, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')")
-    q = [F.col(f"`{c}`") for c in keep]
     return (
-        docs.select(*q, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+        docs.select(packed(docs, keep), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
         .select(
-            *q,
+            "row__",
             words.alias("_w"), lines.alias("_l"),
             F.length(F.regexp_replace("_t", r"[\x20\x09-\x0D]+", "")).cast("long").alias("_wc"),
             _kept_length(r"[^#*$%&|<>]+").alias("_sy"), _kept_length(r"\P{Lu}+").alias("_up"),
@@ -79,7 +78,7 @@ def features(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
         .select("*", F.expr(_SORTED).alias("ws"))
         .select("*", F.expr(_REPEATED).alias("rp"))
         .select(
-            *q,
+            "row__",
             F.struct(
                 F.size("_w").cast("long").alias("n_words"), F.col("_wc").alias("word_chars"), F.col("_sy").alias("n_symbols"),
                 F.size("_l").cast("long").alias("n_lines"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
@@ -139,7 +138,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     staged = stage(vote(features(docs, keep=["doc_id"])), "quality")
     return judge(staged).select(
-        "doc_id", *[F.col(f"_f.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        "row__.doc_id", *[F.col(f"_f.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         "base_failed", "kept", F.round("p_good", 6).alias("p_good"),
     )
 
@@ -147,7 +146,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of *docs* that pass, with their own columns."""
     staged = stage(vote(features(docs, text_col)), "quality-docs")
-    return judge(staged).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judge(staged).where("kept").select("row__.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Only used where the session names no shared folder, which is allowed on a local master alone.
 LOCAL_FALLBACK = "/tmp/checkpoints"
@@ -47,3 +48,8 @@ def forget(spark: SparkSession, path: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def packed(df: DataFrame, keep: list[str]) -> Column:
+    """The columns *keep* of *df* as one struct ``row__``, so that their names meet none of an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row__")

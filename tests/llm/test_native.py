@@ -33,7 +33,7 @@ def test_quality_features(spark):
     texts = [None, "", " \n\t", "a b c a b c a", "x\nx\n\n \ny é#|", "the one line\nthe one line\nother", "w " * 60, "one two " * 5 + "İstanbul ÉÀ!!"]
     rows = quality.judge(quality.vote(quality.features(docs(spark, texts), keep=["doc_id"]))).collect()
     for r in rows:
-        assert (r._f.n_words, r._f.word_chars, r._f.n_symbols, r._f.n_dup_lines, r._f.n_repeat_words) == base(texts[r.doc_id])
+        assert (r._f.n_words, r._f.word_chars, r._f.n_symbols, r._f.n_dup_lines, r._f.n_repeat_words) == base(texts[r.row__.doc_id])
         assert r.base_failed and not r.kept
 
 
@@ -49,9 +49,17 @@ def test_quality_keeps_clean_and_drops_junk(spark, sf):
 
 
 def test_clashing_columns_pass(spark):
-    d = docs(spark, ["word " * 3, None]).withColumn("_f", F.lit(1)).withColumn("n_words", F.lit(7))
-    assert set(quality.filter_documents(d.drop("_f")).columns) == set(d.drop("_f").columns)
-    assert decontam.decontamination_stage.__doc__
+    d = docs(spark, ["word " * 60, None, "short"])
+    for c in ("_f", "_t", "_v", "_w", "r", "w", "n_words", "p", "key", "maybe", "matches", "copies", "row__", "kept", "item_id", "gone0"):
+        d = d.withColumn(c, F.lit(1))
+    from tessera.llm import minhash
+
+    assert quality.filter_documents(d).columns == d.columns
+    judged_ = decontam.judged(d, spark.createDataFrame([(1, "word word")], "item_id long, text string"), d.columns)
+    assert judged_.where("contaminated").select("row__.*").columns == d.columns
+    mixed = mixing.mix(d, spark.createDataFrame([(0, "clean")], "doc_id long, domain string"), {"clean": 0.5, "toxic": 0.5})
+    assert mixed.count() == 3 and mixed.select("row__.*").columns == d.columns
+    assert minhash.drop_near_duplicates(d).columns == d.columns and sharding.shard(d).count() == 3
 
 
 def windows(item):
@@ -84,9 +92,10 @@ def test_decontamination(spark):
     assert len(got) == len(texts) + 2
     want_items = [(str(i) if i is not None else None, t) for i, t in items]
     for r in got:
-        n, hit, found = brute(r.text, [x for x in want_items if x[0] is not None])
-        nh = brute(r.text, want_items)[1]
-        assert (r.n_words, r.n_hit, list(r["items"])) == (n, nh, found), r.text
+        text = r.row__.text
+        n, hit, found = brute(text, [x for x in want_items if x[0] is not None])
+        nh = brute(text, want_items)[1]
+        assert (r.n_words, r.n_hit, list(r["items"])) == (n, nh, found), text
         assert r.contaminated == (nh > 0 and 20 * nh >= n)
 
 
@@ -150,8 +159,8 @@ def test_mixing_meets_targets(spark):
     assert len(rows) == 122 and all(0 <= r.rate <= mixing.MAX_RATE and r.copies >= 0 for r in rows)
     for r in rows:
         assert sum(r.p) == pytest.approx(1)
-        if r.doc_id < 120:
-            assert max(range(2), key=lambda k: r.p[k]) == (0 if r.doc_id % 3 else 1)
+        if r.row__.doc_id < 120:
+            assert max(range(2), key=lambda k: r.p[k]) == (0 if r.row__.doc_id % 3 else 1)
     total = [sum(r.rate * r.n_tokens * r.p[k] for r in rows) for k in range(2)]
     assert total[0] / sum(total) == pytest.approx(0.8, abs=1e-3)
     # at the optimum the least-squares gradient vanishes for documents between the bounds

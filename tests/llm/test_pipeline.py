@@ -31,7 +31,7 @@ def test_stages(spark, sf):
             assert not any(like(a, b) for a in ids for b in ids if a < b and sets[a])
         if name == "benchmark decontamination":
             hit = decontam.judged(docs, table(spark, sf, "benchmark"), ["doc_id"]).where("contaminated").collect()
-            assert gone == {r.doc_id for r in hit}
+            assert gone == {r.row__.doc_id for r in hit}
         if name == "mixing to target weights":
             labels = {r.doc_id: r for r in table(spark, sf, "labels").collect()}
             clean = [d for d in before if d in labels and labels[d].quality == 1 and labels[d].toxic == 0]
