@@ -49,8 +49,10 @@ MAX_SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 16_384, 65_536
 #: Texts of about so many bytes make a file.
 FILE_BYTES = 48 << 20
 #: Words and pieces a worker remembers (about 200 bytes each).
-CACHE_WORDS = 600_000
+CACHE_WORDS = 850_000
 LEVEL = 1
+#: Documents whose new words are encoded together.
+TOGETHER = 32
 
 #: What a text must not have to be encoded by pieces: anything but Latin letters, marks, single blanks and line ends.
 _OTHER = re.compile("[^\\t\\n\\r -~¡-ɏ]|<\\||  ")
@@ -92,6 +94,7 @@ class Coder:
         self.by_line.pre_tokenizer = CharDelimiterSplit("\n")
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
         self.end = np.array([END_ID], self.dtype).tobytes()
 
     def _ids(self, encoding) -> bytes:
@@ -128,18 +131,36 @@ class Coder:
         return out
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return self.end
-        if _OTHER.search(text):
-            return self._whole([text])[0] + self.end
-        first, *pieces = text.split(" ")
-        head = self._whole([first])[0] if first else b""
-        found = list(map(self.pieces.get, pieces))
-        if None in found:
-            new = list({x for x, ids in zip(pieces, found) if ids is None})
-            made = dict(zip(new, self._pieces(new)))
-            found = [made[x] if ids is None else ids for x, ids in zip(pieces, found)]
-        return b"".join([head, *found, self.end])
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, each with the end id; pieces that are new to any of them are encoded together."""
+        out: list[bytes] = [self.end] * len(texts)
+        todo = []
+        new: set[str] = set()
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if _OTHER.search(text):
+                out[k] = self._whole([text])[0] + self.end
+                continue
+            first, *pieces = text.split(" ")
+            head = self.heads.get(first)
+            if head is None:
+                head = self._whole([first])[0] if first else b""
+                if len(self.heads) < CACHE_WORDS // 10:
+                    self.heads[first] = head
+            found = list(map(self.pieces.get, pieces))
+            short = None in found
+            if short:
+                new.update([x for x, ids in zip(pieces, found) if ids is None])
+            todo.append((k, head, pieces if short else None, found))
+        made = dict(zip(new, self._pieces(list(new)))) if new else {}
+        for k, head, pieces, found in todo:
+            if pieces:
+                found = [made[x] if ids is None else ids for x, ids in zip(pieces, found)]
+            out[k] = b"".join([head, *found, self.end])
+        return out
 
 
 def coder(path: str) -> Coder:
@@ -206,8 +227,10 @@ def _encode(tokenizer: str, dictionary_uri: str, bounds: list[int]):
             ids = batch.column(0)
             rows, sizes, frames = [], [], []
             held = 0
-            for k, text in enumerate(batch.column(1)):
-                raw = encode(text.as_py() or "")
+            for k in range(batch.num_rows):
+                if k % TOGETHER == 0:
+                    coded = encode.batch([t or "" for t in batch.column(1).slice(k, TOGETHER).to_pylist()])
+                raw = coded[k % TOGETHER]
                 rows.append(k)
                 sizes.append(len(raw) // width)
                 frames.append(compress(raw))
