@@ -257,6 +257,12 @@ ORACLES = {
     "d04_threshold": f"WITH {_THRESH.format(x=0.5)} SELECT s1_idx, src, t_idx FROM th",
     "d05_prefix_distribution": f"WITH {_SUBSETS} SELECT s1_idx, " + ", ".join(f"round(coalesce(sum(CASE WHEN bit_count(m) = {k} THEN w END), 0) + 0.000000123, 5) AS p{k}" for k in range(3)) + " FROM sub GROUP BY s1_idx",
     "d06_expected_f": f"WITH {_SUBSETS} SELECT s1_idx, " + ", ".join(f"{_ef_sql(k)} AS ef{k}" for k in range(4)) + " FROM sub GROUP BY s1_idx",
+    "d07_select_exact": f"""WITH {select_sql('scores')}, o AS (SELECT *, row_number() OVER (PARTITION BY s1_idx ORDER BY ok DESC, p DESC, src, t_idx) AS n FROM ex), o6 AS (SELECT * FROM o WHERE n <= 6),
+      st AS (SELECT s1_idx, list(p ORDER BY n) AS ps, count(CASE WHEN ok THEN 1 END) AS n_ok FROM o6 GROUP BY s1_idx),
+      sb AS (SELECT s1_idx, n_ok, m, list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(len(ps)), lambda i: CASE WHEN (m >> i::INTEGER) & 1 = 1 THEN ps[i + 1] ELSE 1 - ps[i + 1] END)), lambda a, b: a * b) AS w FROM (SELECT *, unnest(range((1 << len(ps)::INTEGER)::BIGINT)) AS m FROM st)),
+      ef AS (SELECT s1_idx, kk, round(CASE WHEN kk = 0 THEN sum(CASE WHEN m = 0 THEN w ELSE 0 END) * exp(-0.5) * 1.5 ELSE sum(w * 1.25::DOUBLE * bit_count(m & ((1 << kk::INTEGER) - 1)::BIGINT) / (kk + 0.25::DOUBLE * (bit_count(m) + 0.5))) END, 9) AS v FROM sb, (SELECT unnest(range(7)) AS kk) WHERE kk <= n_ok GROUP BY s1_idx, kk),
+      bk AS (SELECT s1_idx, kk FROM (SELECT *, row_number() OVER (PARTITION BY s1_idx ORDER BY v DESC, kk) AS r FROM ef) WHERE r = 1)
+      SELECT o6.s1_idx, src, t_idx FROM o6 JOIN bk ON bk.s1_idx = o6.s1_idx WHERE n <= kk AND ok""",
     "d08_select_q": f"WITH e0 AS ({_Q0}), sq AS (SELECT s.*, q0 FROM scores s LEFT JOIN e0 ON e0.s1_idx = s.s1_idx), {select_sql('sq', m0='0.5', bias='2.5', empty='q0')} {PAIRS}",
     "d09_grid": f"WITH {_GRID_REC} SELECT point, margin, m0, empty_bias, round(avg(f), 6) AS f05 FROM r GROUP BY ALL",
     "d10_by_country": f"WITH {_COUNTRY}, {select_sql('cs', 'margin', 'floor', 'm0', 'empty_bias')} {PAIRS}",
