@@ -77,17 +77,18 @@ def target_aggregates(pairs: DataFrame, score: str, extra: tuple[str, ...] = ())
 
 
 def competition(pairs: DataFrame, score: str, extra: tuple[str, ...] = (), tag: str = "") -> DataFrame:
-    """tx_*: standing of a pair among all records that compete for its target."""
-    s = F.col(score)
-    g = pairs.join(target_aggregates(pairs, score, extra), ["src", "t_idx"])
+    """tx_*: standing of a pair among all records that compete for its target; one shuffle by target."""
+    s, every = F.col(score), W.partitionBy("src", "t_idx")
+    order = every.orderBy(F.desc(score), "s1_idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    g = pairs.withColumns({"_n": F.count("*").over(every), "_m1": F.max(score).over(every), **{f"_mx_{c}": F.max(c).over(every) for c in extra}})
+    g = g.withColumn("_m2", F.coalesce(F.nth_value(score, 2).over(order), F.col("_m1")))
     best = s >= F.col("_m1")
-    other = F.when(best, F.when(F.col("tx_n") <= 1, 0.0).otherwise(F.col("_m2"))).otherwise(F.col("_m1"))
+    other = F.when(best, F.when(F.col("_n") <= 1, 0.0).otherwise(F.col("_m2"))).otherwise(F.col("_m1"))
     new = {
-        f"tx_rank{tag}": F.when(best, 1).when(s >= F.col("_m2"), 2).otherwise(3), f"tx_gap{tag}": s - F.col("_m1"),
+        f"tx_n{tag}": F.col("_n"), f"tx_rank{tag}": F.when(best, 1).when(s >= F.col("_m2"), 2).otherwise(3), f"tx_gap{tag}": s - F.col("_m1"),
         f"tx_rel{tag}": F.try_divide(s, F.col("_m1")), f"tx_margin{tag}": s - other, **{f"tx_gap_{c[0]}{tag}": F.col(c) - F.col(f"_mx_{c}") for c in extra},
     }
-    out = g.withColumns(new).drop("_m1", "_m2", *[f"_mx_{c}" for c in extra])
-    return out.withColumnRenamed("tx_n", f"tx_n{tag}") if tag else out
+    return g.withColumns(new).drop("_n", "_m1", "_m2", *[f"_mx_{c}" for c in extra])
 
 
 def general_context(pairs: DataFrame, score: str = "bs") -> DataFrame:
@@ -124,11 +125,17 @@ def anchors(pairs: DataFrame, score: str = "p1") -> DataFrame:
 
 
 def anchor_pairs(pairs: DataFrame, score: str = "p1") -> DataFrame:
-    """*pairs* with the anchors of their own and the other source; a pair that is its own anchor has none."""
-    best = anchors(pairs, score)
-    same = best.select("s1_idx", "src", F.col("a_idx").alias("same_idx"), F.col("a_p1").alias("coh_p_same"))
-    other = best.select("s1_idx", (5 - F.col("src")).alias("src"), F.col("a_idx").alias("oth_idx"), F.col("a_p1").alias("coh_p_oth"))
-    out = pairs.join(same, ["s1_idx", "src"], "left").join(other, ["s1_idx", "src"], "left")
+    """*pairs* with the anchors of their own and the other source (2 and 3); a pair that is its own anchor has none.
+
+    Both anchors of a record are window maxima of (score, -id), so the pairs are shuffled once.
+    """
+    every = W.partitionBy("s1_idx")
+    best = {k: F.max(F.when(F.col("src") == k, F.struct(F.col(score).alias("p"), (-F.col("t_idx")).alias("i")))).over(every) for k in (2, 3)}
+    out = pairs.withColumns({"_b2": best[2], "_b3": best[3]})
+    own, other = (F.when(F.col("src") == 2, F.col(f"_b{k}")).otherwise(F.col(f"_b{5 - k}")) for k in (2, 3))
+    out = out.withColumns({"_own": own, "_oth": other})
+    new = {"same_idx": -F.col("_own.i"), "oth_idx": -F.col("_oth.i"), "coh_p_same": F.col("_own.p"), "coh_p_oth": F.col("_oth.p")}
+    out = out.withColumns(new).drop("_b2", "_b3", "_own", "_oth")
     return out.withColumn("same_idx", F.when(F.col("same_idx") != F.col("t_idx"), F.col("same_idx"))).fillna(-1.0, ["coh_p_same", "coh_p_oth"])
 
 
