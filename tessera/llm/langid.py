@@ -6,9 +6,9 @@ compared with each language's by out-of-place distance: the difference of the ra
 where a language does not have the n-gram.  The nearest language is the prediction, and the score is
 how much nearer it is than the second, ``1 - nearest / second``.
 
-Profiles are learned from at most ``PER_LANGUAGE`` documents of a language, those of the least hash
-of their id, whole; the bound holds at every input size.  Only the profiles reach the driver
-(``PROFILE`` rows for each language).
+Profiles are learned from about ``PER_LANGUAGE`` whole documents of a language (fewer than twice as
+many), chosen by a hash of their id; the bound holds at every input size.  Only counts of languages
+and the profiles (``PROFILE`` rows for each language) reach the driver.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; a null lang or a null id is
 never learned from, and a null id is not held out; ties go to the language whose name sorts first;
@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow import small_batches
-from tessera.llm.store import stage, table
+from tessera.llm.store import table
 
 PROFILE = 400
 PER_LANGUAGE = 3000
@@ -74,14 +74,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = PROFILE) -> dict[str, list[int]]:
     """Profiles by language from the rows (id, text, lang) of *docs*."""
     small_batches(docs.sparkSession)
-    first = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    sample = (
-        docs.where("lang IS NOT NULL AND id IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
-        .select("lang", "id", F.row_number().over(first).alias("r")).where(F.col("r") <= per_language).select("id").distinct()
-    )
-    sample = stage(sample, "language-sample")
-    # per_language ids for each language
-    texts = docs.where("lang IS NOT NULL").join(F.broadcast(sample), "id").select("lang", "text").where("text IS NOT NULL")
+    known = docs.where("lang IS NOT NULL AND id IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
+    # one row for each language; a language of many documents keeps one of every so many, by hash
+    steps = {r.lang: max(1, r.n // per_language) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not steps:
+        return {}
+    step = F.element_at(F.create_map(*[x for k, m in steps.items() for x in (F.lit(k), F.lit(m))]), F.col("lang"))
+    texts = known.where(F.pmod(F.xxhash64("id"), step) == 0).select("lang", "text")
     counts = texts.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     top = counts.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("r") <= most)
     out: dict[str, list[tuple[int, int]]] = {}
