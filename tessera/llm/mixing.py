@@ -9,8 +9,8 @@ settles every total that the bounds do not hold back.  Each round is one aggrega
 table (id, tokens, posteriors): a sum for each domain and each pair of domains.  The rates are an
 expression of those sums.  Nothing else leaves the executors.
 
-The classifier is fitted on at most ``MAX_LABELLED`` labelled documents, those of the least hash of
-their id, and keeps the ``VOCABULARY`` most telling features; both bounds hold at every input size.
+The classifier is fitted on about ``MAX_LABELLED`` labelled documents (all, if they are fewer), chosen by
+a hash of their id, and keeps the ``VOCABULARY`` most telling features; both bounds hold at every input size.
 Everything else (scores, totals, gradients) covers all documents.
 
 Edge cases: labels that are null in the id or in either label are ignored; without any label every
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.store import packed, stage, table
 
-#: Labelled documents that fit the classifier, at most.
+#: Labelled documents that fit the classifier, about, where there are more.
 MAX_LABELLED = 20_000
 #: Features the classifier keeps, the labelled documents that must have one, and the nats of evidence each needs.
 VOCABULARY, LEAST_DOCS, LEAST_NATS = 400, 5, 20.0
@@ -68,12 +68,11 @@ def _features(docs: DataFrame, keep: list[Column], text_col: str) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str, text_col: str) -> tuple[list[float], list]:
     """(log odds of each domain for a document without any feature, rows (x, w)): at most VOCABULARY rows."""
-    known = (
-        labels.where("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    )
+    known = stage(labels.where("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy("doc_id").agg(F.min("domain").alias("domain")), "labels")
+    step = max(1, -(-known.count() // MAX_LABELLED))
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
     known = stage(known.select(F.col("doc_id").alias("_id"), "domain"), "labelled")
-    # at most MAX_LABELLED rows of an id and a name
+    # about MAX_LABELLED rows of an id and a name
     sample = stage(_features(docs.join(F.broadcast(known), F.col(f"`{id_col}`") == F.col("_id")), [F.col("domain")], text_col), "labelled-features")
     sizes = {r.domain: r.n for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
