@@ -182,12 +182,14 @@ def _ranges(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
 def _collapse(h, ids, keys, at, size, same) -> tuple[np.ndarray, np.ndarray]:
     """(first, others): of anchors with equal windows around them (hashes *same*), the earliest, and those that follow it.
 
-    Every window of the others begins earlier too, so they are covered whole and need no suffixes.
+    Every window of the others begins earlier too, so they are covered whole and need no suffixes.  Rows that
+    repeat id and text have the same anchors: those are not earlier ones, and one of each is enough.
     """
     order = np.lexsort((at, keys, ids, size, same, h))
     a, b = order[1:], order[:-1]
     new = np.concatenate([[True], (h[a] != h[b]) | (same[a] != same[b]) | (size[a] != size[b])])
-    return np.sort(order[new]), order[~new]
+    twin = np.concatenate([[False], (ids[a] == ids[b]) & (keys[a] == keys[b]) & (at[a] == at[b])])
+    return np.sort(order[new]), order[~new & ~twin]
 
 
 def _send_windows(least: int, parts: int, collapse: bool):
@@ -354,14 +356,7 @@ def _work(batches: Iterator[pa.RecordBatch], covered: list | None = None) -> Ite
     begin = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
     if covered is not None:
         one, more = _collapse(h, ids, keys, at, size, _ranges(data, begin[:-1], size))
-        # rows that repeat id and text send the same windows: those are not earlier ones
-        follows = np.ones(len(more), bool)
-        if len(more):
-            lead = np.lexsort((at, keys, ids, h))
-            twin = np.zeros(len(h), bool)
-            twin[lead[1:]] = (h[lead[1:]] == h[lead[:-1]]) & (keys[lead[1:]] == keys[lead[:-1]]) & (ids[lead[1:]] == ids[lead[:-1]]) & (at[lead[1:]] == at[lead[:-1]])
-            follows = ~twin[more]
-        covered.append((keys[more[follows]], at[more[follows]], size[more[follows]]))
+        covered.append((keys[more], at[more], size[more]))
         order = one[np.lexsort((at[one], keys[one], ids[one], h[one]))]
     else:
         order = np.lexsort((at, keys, ids, h))

@@ -157,6 +157,17 @@ def test_earlier_spans(spark):
     assert [got[k] for k in range(len(texts))] == brute_repeats(texts)
 
 
+def test_repeated_rows_are_one_document(spark):
+    texts = repeat_texts()
+    d = docs(spark, texts)
+    d = d.union(d).union(d.where("doc_id % 3 = 2")).coalesce(1)
+    spans = repeats.earlier_spans(d)
+    rows = repeats._rows(d, "doc_id", "text").join(spans, "key", "left").select("id", "text", "starts", "lengths").mapInArrow(repeats._cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect()
+    want = brute_repeats(texts)
+    assert len(rows) == 2 * len(texts) + len(texts) // 3
+    assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] for r in rows)
+
+
 def test_long_texts_in_pieces(spark, monkeypatch):
     r = random.Random(9)
     text = "".join(r.choice("abcdefgh ") for _ in range(30_000))
