@@ -46,7 +46,9 @@ TARGETS = {"clean": 0.95, "toxic": 0.03, "low": 0.015, "low_toxic": 0.005}
 #: The budget makes clean documents, as they stand, this many times their tokens.
 CLEAN_RATE = 1.1
 
-#: A capital before a capital, a run of letters, or a mark other than a stop and a comma.
+#: A token of the totals: a word between ASCII white space, as the other operators count them.
+_WORD = r"[^\\x20\\x09-\\x0D]+"
+#: A feature: a capital before a capital, a run of letters, or a mark other than a stop and a comma.
 _TOKEN = r"\\p{Lu}(?=\\p{Lu})|\\p{L}+|[^\\p{L}\\p{N}\\s.,]"
 
 
@@ -56,11 +58,10 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 
 
 def _features(docs: DataFrame, keep: list[Column], text_col: str) -> DataFrame:
-    """*keep*, n_tokens, and the distinct features: tokens, the size class, and the share of distinct tokens."""
+    """*keep*, n_tokens (words of the whole text), and the distinct features: marks of _TOKEN, their size class, and the share of distinct ones."""
     return (
-        docs.select(*keep, F.expr(f"regexp_extract_all(coalesce(`{text_col}`, ''), '{_TOKEN}', 0)").alias("_w"))
+        docs.select(*keep, F.expr(f"regexp_extract_all(coalesce(`{text_col}`, ''), '{_TOKEN}', 0)").alias("_w"), F.expr(f"cast(regexp_count(coalesce(`{text_col}`, ''), '{_WORD}') AS bigint)").alias("n_tokens"))
         .select("*", F.array_distinct("_w").alias("_d"))
-        .withColumn("n_tokens", F.size("_w").cast("long"))
         .withColumn("_x", F.expr("concat(_d, array(concat('<n', int(log2(1 + size(_w))), '>'), concat('<r', int(10D * size(_d) / greatest(1, size(_w))), '>')))"))
         .drop("_w", "_d")
     )

@@ -168,6 +168,12 @@ def test_mixing_meets_targets(spark):
     assert total == pytest.approx(want, rel=1e-3)
 
 
+def test_mixing_counts_words(spark):
+    texts = ["plain words here", "ALL CAPS, AND: 3.14 (or 2,5)!", "12 345\t6,789\n0", "$$$ ### !!!", " \x0b\f\r\n ", "", None, "a\u00a0b \u3000 é"]
+    rows = mixing.mix(docs(spark, texts), labelled(spark)[1], {"clean": 0.8, "toxic": 0.2}).collect()
+    assert {r.row__.doc_id: r.n_tokens for r in rows} == {k: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for k, t in enumerate(texts)}
+
+
 def test_mixing_without_labels_or_rows(spark):
     d, lab = labelled(spark)
     rows = mixing.mix(d, lab.limit(0), {"clean": 0.5, "toxic": 0.5}).collect()
