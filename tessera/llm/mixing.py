@@ -15,7 +15,7 @@ Everything else (scores, totals, gradients) covers all documents.
 
 Edge cases: labels that are null in the id or in either label are ignored; without any label every
 posterior is uniform; a null or empty text has no tokens, its prior as posterior, and no weight in
-the totals; a domain without mass is left out of the fit; an empty table gives an empty result;
+the totals; a domain without mass is left out of the fit, and a total that misses its target is warned of; an empty table gives an empty result;
 repeated rows get equal rates; repeated labels of one id count once (the least); null document ids
 pass through; extra columns are ignored, or pass through in :func:`mix`.
 """
@@ -23,6 +23,7 @@ pass through; extra columns are ignored, or pass through in :func:`mix`.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -39,8 +40,10 @@ VOCABULARY, LEAST_DOCS, LEAST_NATS = 400, 5, 20.0
 FIT_ROUNDS, RIDGE = 60, 1e-3
 #: Rounds of the rates, at most; they end when every total is this near to its target, as a share of the budget.
 ROUNDS, TOLERANCE = 30, 1e-5
-#: Upper end of the projection: no document is drawn more often on average.
-MAX_RATE = 4.0
+#: A total further than this from its target, as a share of the budget, is warned of.
+MISS = 1e-3
+#: Upper end of the projection: rates are only nonnegative, so that a domain of little mass meets its target too.
+MAX_RATE = math.inf
 #: Target share of tokens by domain (quality, toxic).
 TARGETS = {"clean": 0.95, "toxic": 0.03, "low": 0.015, "low_toxic": 0.005}
 #: The budget makes clean documents, as they stand, this many times their tokens.
@@ -138,7 +141,7 @@ def fit_rates(scored: DataFrame, targets: list[float], budget: float | None = No
 
     def sums(rate: Column) -> tuple[list[float], list[list[float]]]:
         """Totals at *rate*, and the Gram matrix of the documents that it leaves between the bounds."""
-        free = F.when((F.col("_r") > 0) & (F.col("_r") < MAX_RATE), t)
+        free = F.when(F.col("_r") > 0, t)
         cells = [(i, j) for i in range(k) for j in range(i, k)]
         row = scored.select("p", "n_tokens", rate.alias("_r")).agg(
             *[F.sum(F.col("_r") * t * p[j]) for j in range(k)], *[F.sum(free * p[i] * p[j]) for i, j in cells]
@@ -159,7 +162,7 @@ def fit_rates(scored: DataFrame, targets: list[float], budget: float | None = No
         move = _solve(gram, [a - b for a, b in zip(now, want)])
         if not any(move):
             break
-        rate = F.least(F.lit(MAX_RATE), F.greatest(F.lit(0.0), rate - sum((p[j] * m for j, m in enumerate(move)), F.lit(0.0))))
+        rate = F.greatest(F.lit(0.0), rate - sum((p[j] * m for j, m in enumerate(move)), F.lit(0.0)))
         before = now
         now, gram = sums(rate)
         if all(abs(a - b) <= 1e-9 * budget for a, b in zip(now, before)):
@@ -195,7 +198,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     row = packed(docs, docs.columns if keep is None else keep)
     chance = (F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.lit(1 << 20)) / float(1 << 20)).alias("_u")
     scored = stage(posteriors(docs, prior, vocabulary, [row, chance], text_col), "posteriors")
-    rate, _, _ = fit_rates(scored, list(targets.values()))
+    rate, reached, wanted = fit_rates(scored, list(targets.values()))
+    missed = {d: (a, b) for d, a, b in zip(domains, reached, wanted) if abs(a - b) > MISS * sum(wanted)}
+    if missed:
+        warnings.warn(f"token totals (reached, wanted) that miss their targets: {missed}", stacklevel=2)
     return scored.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + F.col("_u")).cast("int")).drop("_u")
 
 

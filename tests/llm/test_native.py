@@ -174,6 +174,21 @@ def test_mixing_counts_words(spark):
     assert {r.row__.doc_id: r.n_tokens for r in rows} == {k: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for k, t in enumerate(texts)}
 
 
+def test_mixing_lifts_rare_domains(spark, recwarn):
+    texts = [f"idiot clown {k} with words" if k % 40 == 0 else f"fine prose number {k} with words" for k in range(400)]
+    lab = spark.createDataFrame([(k, "toxic" if k % 40 == 0 else "clean") for k in range(400)], "doc_id long, domain string")
+    rows = mixing.mix(docs(spark, texts), lab, {"clean": 0.6, "toxic": 0.4}).collect()
+    total = [sum(r.rate * r.n_tokens * r.p[k] for r in rows) for k in range(2)]
+    assert total[1] / sum(total) == pytest.approx(0.4, abs=1e-3) and max(r.rate for r in rows) > 4
+    assert not [w for w in recwarn if "miss their targets" in str(w.message)]
+
+
+def test_mixing_warns_of_missed_targets(spark):
+    d, lab = labelled(spark)
+    with pytest.warns(UserWarning, match="miss their targets.*'none'"):
+        mixing.mix(d, lab, {"clean": 0.6, "toxic": 0.2, "none": 0.2})
+
+
 def test_mixing_without_labels_or_rows(spark):
     d, lab = labelled(spark)
     rows = mixing.mix(d, lab.limit(0), {"clean": 0.5, "toxic": 0.5}).collect()
