@@ -72,8 +72,8 @@ def _pairs(df: DataFrame) -> DataFrame:
 
 
 def _sets(spark: SparkSession, sf: str) -> DataFrame:
-    """Records with their ten most probable pairs, as arrays."""
-    return run_sql(spark, sf, "WITH r AS (SELECT s1_idx, p, row_number() OVER (PARTITION BY s1_idx ORDER BY p DESC, src, t_idx) AS k FROM scores) SELECT s1_idx, transform(array_sort(collect_list(struct(k, p))), x -> x.p) AS ps FROM r WHERE k <= 6 GROUP BY s1_idx")
+    """Records with all their pairs, most probable first, as arrays."""
+    return run_sql(spark, sf, "WITH r AS (SELECT s1_idx, p, row_number() OVER (PARTITION BY s1_idx ORDER BY p DESC, src, t_idx) AS k FROM scores) SELECT s1_idx, transform(array_sort(collect_list(struct(k, p))), x -> x.p) AS ps FROM r GROUP BY s1_idx")
 
 
 def d05(spark: SparkSession, sf: str) -> DataFrame:

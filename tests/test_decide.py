@@ -82,3 +82,24 @@ def test_macro_f05(spark):
 def test_exclusivity_uses_one_shuffle_for_each_partitioning(spark):
     plan = decide.select(scores(spark, [(1, 2, 10, 0.9)]).repartition(4))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(src") == 1 and plan.count("hashpartitioning(s1_idx") == 1
+
+
+def test_queries_take_all_pairs(spark, sf):
+    """d05 and d06 over every pair of a record, against enumeration."""
+    import __spark_entry__ as entry
+    from tessera.plans.roles import role
+
+    by = {}
+    for r in role(spark, sf, "scores").collect():
+        by.setdefault(r.s1_idx, []).append(r.p)
+    by = {k: sorted(v, reverse=True) for k, v in by.items()}
+    some = sorted(by, key=lambda k: (abs(len(by[k]) - 8), k))[:20]
+    assert all(len(by[k]) > 6 for k in some)
+    d05 = {r.s1_idx: r for r in entry.queries()["d05_prefix_distribution"](spark, sf).collect()}
+    d06 = {r.s1_idx: r for r in entry.queries()["d06_expected_f"](spark, sf).collect()}
+    assert d05.keys() == by.keys() == d06.keys()
+    for k in some:
+        outs = list(itertools.product((0, 1), repeat=len(by[k])))
+        chance = [math.prod(p if o else 1 - p for p, o in zip(by[k], out)) for out in outs]
+        assert [d05[k][f"p{n}"] for n in range(3)] == pytest.approx([sum(c for c, out in zip(chance, outs) if sum(out) == n) for n in range(3)], abs=2e-5)
+        assert [d06[k][f"ef{n}"] for n in range(4)] == pytest.approx([enumerated(by[k], n, 0.5) for n in range(4)], abs=2e-5)
