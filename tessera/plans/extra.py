@@ -202,7 +202,7 @@ QUERIES = {
     "full_pair_features": lambda s, d: full_features(s, d).groupBy("src").agg(F.count("*").alias("n"), F.round(F.avg("n_wratio"), 3).alias("wratio"), F.round(F.avg("core_wjac"), 4).alias("wjac")),
     "t06_matrix_top_k": lambda s, d: dense.top_k(s.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 50 = 0"), s.read.parquet(f"{d}/embeddings.parquet"), 3).select("q_id", "t_id", F.col("rank").cast("int").alias("rank")),
     "b05_capped_weights": b05, "e22_recall_probe": e22,
-    "m11_pseudo_aliases": lambda s, d: mining.token_aliases(linkage.token_pairs(s, d).limit(100000), min_count=3, max_known=10**9),
+    "m11_pseudo_aliases": lambda s, d: mining.token_aliases(linkage.token_pairs(s, d), min_count=3, max_known=10**9),
     "ml03_out_of_fold": lambda s, d: linkage.ml02(s, d).groupBy("fold").agg(F.count("*").alias("n")),
     "ml05_stage2": ml05, "ml09_dense_stacker": ml09, "ml10_reranker": ml10, "ml14_adaptation": ml14,
     "ml17_score_hook": lambda s, d: learn.score_pairs(run_sql(s, d, NAME_PAIRS), lambda a, b: [float(len(x) + len(y)) for x, y in zip(a, b)]).select("ia", "ib", "ce"),

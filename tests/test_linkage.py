@@ -103,3 +103,13 @@ def test_pushdown(spark, tmp_path):
     df = files.load(spark, f"file://{tmp_path}", "s", 2, "US", ["idx"])
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert df.collect()[0].idx == 1 and "PartitionFilters: [isnotnull" in plan and "ReadSchema: struct<idx:int>" in plan
+
+
+def test_pseudo_aliases_count_every_pair(spark, sf, monkeypatch):
+    import __spark_entry__ as entry
+    from tessera.plans import linkage
+
+    n = 120_000
+    monkeypatch.setattr(linkage, "token_pairs", lambda s, d: s.range(n).selectExpr("array('blue', 'widget') AS a", "array('blue', 'widgett') AS b"))
+    got = entry.queries()["m11_pseudo_aliases"](spark, sf).collect()
+    assert [(r.tok, r.alias, r.n, r.total) for r in got] == [("widgett", "widget", n, n)]
