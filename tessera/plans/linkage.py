@@ -19,8 +19,8 @@ PAIRS = """SELECT CAST(l_orderkey AS BIGINT) AS s1_idx, CAST(2 + l_linenumber %
   FROM lineitem GROUP BY l_orderkey, 2 + l_linenumber % 2, l_partkey"""
 #: Pairs of names of records at the same number and brand.
 NAME_PAIRS = "SELECT a.idx AS ia, b.idx AS ib, a.business_name AS a, b.business_name AS b FROM records a JOIN records b ON a.brand = b.brand AND a.number = b.number AND a.idx < b.idx"
-CAPS = {"single": 40, "pair": 30, "full": 60}
-BUDGETS = {"bs": 5, "bs_addr": 2}
+CAPS = {"single": blocking.CAP_SINGLE, "pair": blocking.CAP_PAIR, "full": blocking.CAP_FULL}
+BUDGETS = blocking.BUDGETS
 SQL_FAMILIES = ("n", "np", "nl", "a1", "a2", "a4")
 
 

@@ -113,3 +113,13 @@ def test_pseudo_aliases_count_every_pair(spark, sf, monkeypatch):
     monkeypatch.setattr(linkage, "token_pairs", lambda s, d: s.range(n).selectExpr("array('blue', 'widget') AS a", "array('blue', 'widgett') AS b"))
     got = entry.queries()["m11_pseudo_aliases"](spark, sf).collect()
     assert [(r.tok, r.alias, r.n, r.total) for r in got] == [("widgett", "widget", n, n)]
+
+
+def test_queries_block_by_the_operators_caps(spark, sf, monkeypatch):
+    """A name token of 60 targets keeps its weight in the registered query."""
+    import __spark_entry__ as entry
+    from tessera.plans import extra
+
+    rows = spark.range(60).selectExpr("id AS idx", "2 AS src", "'X' AS country", "array('steel') AS core", "array('steel') AS skel", "array('x') AS loc", "array('x') AS street", "array('1') AS nums", "'1 x' AS raw_addr")
+    monkeypatch.setattr(extra, "records", lambda s, d: rows)
+    assert [r.df for r in entry.queries()["b05_capped_weights"](spark, sf).collect()] == [60]
