@@ -143,7 +143,8 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
     yield from close()
 
 
-def _first_pass(text: str, links: int, bad: bool, inside: bool) -> str:
+def _first_pass(text: str, links: int, bad: bool, inside: bool, listed: bool = True) -> str:
+    """The label of a block by itself; where the stop-words are of no listed language, by length and links alone."""
     if bad:
         return "bad"
     if links > LINKS * len(text):
@@ -154,6 +155,8 @@ def _first_pass(text: str, links: int, bad: bool, inside: bool) -> str:
         return "bad"
     if len(text) < SHORT:
         return "bad" if links else "short"
+    if not listed:
+        return "good" if len(text) > LONG else "open"
     words = [w.lower() for w in _WORD.findall(text)]
     stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if stop >= STOP_GOOD:
@@ -191,6 +194,8 @@ def extract(page: str | None) -> str:
     """The main text of a page."""
     found = list(blocks(page or ""))
     label = [_first_pass(*b) for b in found]
+    if "good" not in label:
+        label = [_first_pass(*b, False) for b in found]
     good = {k for k, x in enumerate(label) if x == "good"}
     # a boilerplate container speaks for its own blocks, not for those around it
     speaks = [x == "good" or x == "bad" and not bad for x, (_, _, bad, _) in zip(label, found)]

@@ -332,3 +332,10 @@ def test_no_letters_no_language(spark):
     got = {r.doc_id: r.lang_pred for r in langid.predict(d, profiles).collect()}
     assert got[1] == "en" and got[2] == "fr" and got[3] == got[4] == "und"
     assert {r.lang_pred for r in langid.predict(d, {}).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("text", ["Сегодня утром жители города собрались на площади. ", "Σήμερα το πρωί οι κάτοικοι συγκεντρώθηκαν στην πλατεία. ", "اجتمع سكان المدينة صباح اليوم في الساحة الرئيسية. ", "今天早上城市居民聚集在广场上讨论新的公园计划。"])
+def test_pages_of_unlisted_languages(text):
+    long = (text * 12).strip()
+    page = f"<body><div><a href=x>{text * 2}</a></div><div><p>{long}</p><p>{text}</p><p>{long}</p></div></body>"
+    assert html.extract(page) == f"{long} {text.strip()} {long}"
