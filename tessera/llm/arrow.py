@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,25 @@ from pyspark.sql import SparkSession
 BATCH_ROWS = 512
 
 
+_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set(_SETTING, str(BATCH_ROWS))
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, most: int = BATCH_ROWS) -> Iterator[None]:
+    """Jobs inside run with small batches; the session's own setting holds again behind them."""
+    before = spark.conf.get(_SETTING, None)
+    spark.conf.set(_SETTING, str(most))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_SETTING)
+        else:
+            spark.conf.set(_SETTING, before)
 
 
 def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

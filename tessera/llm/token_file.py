@@ -8,14 +8,20 @@ A file holds a contiguous range of documents in ascending id order::
     footer: n uint64 | offset of the index uint64 | magic
 
 So one document is read with two short reads: its index entry and its frame.  The folder also holds
-the dictionary and a manifest that places the files on the common token axis.
+the dictionary and a table of the files, whose token totals place them on the common token axis.
 
-The dictionary is trained on the ids of about ``MAX_SAMPLES`` documents chosen by hash (never more than
-twice as many), at most ``SAMPLE_BYTES`` of each; the bounds hold at every input size, and every document
-is encoded whole.  The word pattern of byte-level BPE never reaches across a single blank but to take it into
-the word behind it, so a text of plain Latin letters is the sequence of its pieces between blanks;
-each distinct piece is encoded once while a worker remembers it, by its words.  All other texts go
-through the tokenizer whole.
+The table is cut into id ranges by a sample of its ids; each range is sorted and written by one task, as
+files of about ``FILE_BYTES``.  A range sees its rows one by one, and an id that would fill several
+ranges is dealt over them by a checksum, so neither a file nor a hot id is held in memory.
+
+The dictionary is trained on the ids of about ``MAX_SAMPLES`` documents, a slice of at most
+``SAMPLE_CHARS`` at a random place of each; the bounds hold at every input size, and every document is
+encoded whole.  Where the sample is too small to train on, the dictionary is empty.
+
+With a byte-level BPE, no token reaches across a single blank but to begin with it, so a text of plain
+Latin letters is the sequence of its pieces between blanks: the pieces of some documents are made
+distinct, the new ones are encoded as one text and cut by the bytes of their tokens, and the ids are put
+together by place.  All other texts, and tokenizers of another kind, go through the library whole.
 
 Edge cases: a null or empty text is the end id alone; repeated rows are separate documents next to
 each other; null ids come first; an empty table writes no file and gives an empty result; extra
@@ -31,136 +37,143 @@ import re
 import struct
 import uuid
 import zlib
-from array import array
-from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import small_batches
+from tessera.llm.arrow import batch_rows
 from tessera.llm.store import fresh_path, table
 
 MAGIC = b"TSRTOK01"
 END_ID = 2
-MAX_SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 16_384, 65_536
-#: Texts of about so many bytes make a file.
+MAX_SAMPLES, SAMPLE_CHARS, DICTIONARY_BYTES = 2000, 16_384, 65_536
+#: Texts of about so many bytes make a range of ids; frames of so many bytes end a file.
 FILE_BYTES = 48 << 20
-#: Words and pieces a worker remembers (about 200 bytes each).
-CACHE_WORDS = 850_000
+#: Ranges at most, and ids sampled for each to find their bounds: the driver sees no more than the product.
+MAX_RANGES, IDS_A_RANGE = 20_000, 64
+#: Pieces a worker remembers (about 30 bytes each), and bytes of text whose pieces are made distinct together.
+CACHE_PIECES, TOGETHER_BYTES = 400_000, 12 << 20
+#: Pieces encoded as one text.
+PIECES_A_TEXT = 16_384
 LEVEL = 1
-#: Documents whose new words are encoded together.
-TOGETHER = 32
 
 #: What a text must not have to be encoded by pieces: anything but Latin letters, marks, single blanks and line ends.
-_OTHER = re.compile("[^\\t\\n\\r -~¡-ɏ]|<\\||  ")
-
-# fixed values: the word pattern of byte-level BPE for texts that pass _OTHER, letters and digits spelt out
-_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \\t\\n\\r"
-_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-
-
-def _byte_letters() -> dict[int, str]:
-    """How a byte-level vocabulary spells each character up to U+024F: visible bytes stand for themselves, others follow U+0100."""
-    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    hidden = [b for b in range(256) if b not in visible]
-    letter = {b: chr(b) for b in visible} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
-    return {c: "".join(letter[b] for b in chr(c).encode("utf-8")) for c in range(0x250)}
-
-
-_BYTES = _byte_letters()
+_OTHER = "[^\\t\\n\\r -~¡-ɏ]|<\\||  "
+#: A byte-level vocabulary spells line ends, tabs and blanks so; a token that joins a blank to another of them reaches across a piece.
+_JOINED = re.compile("[ĉĊč]Ġ|Ġ[ĉĊč]")
 
 _coders: dict[str, Coder] = {}
 
 
 class Coder:
-    """Text to ids as bytes, for one tokenizer file, in one process."""
+    """Texts to ids, for one tokenizer file, in one process."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        size = max(vocabulary.values(), default=0) + 1
+        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.by_pieces = _byte_level(json.loads(self.tokenizer.to_str()))
+        self.other = _OTHER + ("|[\\t\\n\\r] | [\\t\\n\\r]" if any(_JOINED.search(t) for t in vocabulary) else "")
         # in a byte-level vocabulary, a letter of a token is a byte of text
-        self.lengths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
-        for token, k in self.tokenizer.get_vocab().items():
+        self.lengths = np.zeros(size, np.int64)
+        for token, k in vocabulary.items():
             self.lengths[k] = len(token)
-        # the same model over words that are split and spelt in byte letters already
-        self.by_line = Tokenizer.from_file(path)
-        self.by_line.pre_tokenizer = CharDelimiterSplit("\n")
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-        self.end = np.array([END_ID], self.dtype).tobytes()
-
-    def _ids(self, encoding) -> bytes:
-        return array("H" if self.dtype.itemsize == 2 else "I", encoding.ids).tobytes()
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [self._ids(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words: they go to the model as one text, a word a line, and are cut by their lengths."""
-        spelt = "\n".join(new).translate(_BYTES).split(_BYTES[10])
-        raw = self._ids(self.by_line.encode_batch_fast(["\n".join(spelt)], add_special_tokens=False)[0])
-        ends = np.cumsum(self.lengths[np.frombuffer(raw, self.dtype)])
-        cut = ((np.searchsorted(ends, np.cumsum(list(map(len, spelt)))) + 1) * self.dtype.itemsize).tolist()
-        return dict(zip(new, [raw[i:j] for i, j in zip([0, *cut], cut)]))
-
-    def _pieces(self, new: list[str]) -> list[bytes]:
-        """Ids of pieces by their words.  Words and pieces are remembered until there are CACHE_WORDS of them."""
-        split = [_WORDS.findall(" " + x) for x in new]
-        words = self.words
-        unknown = {w for ws in split for w in ws if w not in words}
-        # line ends are words of their own; they cannot be spelt a word a line
-        odd = {w for w in unknown if "\n" in w}
-        made = self._words(list(unknown - odd)) if unknown - odd else {}
-        made.update((w, self._whole([w])[0]) for w in odd)
-        if len(words) < CACHE_WORDS:
-            words.update(made)
-            made = words
-        else:
-            made = ChainMap(made, words)
-        out = [b"".join([made[w] for w in ws]) for ws in split]
-        if len(self.pieces) < CACHE_WORDS:
-            self.pieces.update(zip(new, out))
+        self.heads: dict[str, np.ndarray] = {"": np.zeros(0, self.dtype)}
+        # the piece "" is a blank that ends a text
+        self.known = pa.array([""], pa.large_string())
+        self.ids = self.whole(" ")
+        self.sizes = np.array([len(self.ids)], np.int64)
+
+    def whole(self, text: str) -> np.ndarray:
+        """Ids of *text* by the library."""
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all *pieces*, each behind a blank; how many each has)."""
+        every, sizes = [], []
+        for k in range(0, len(pieces), PIECES_A_TEXT):
+            text = " " + " ".join(pieces[k : k + PIECES_A_TEXT])
+            raw = np.frombuffer(text.encode("utf-8"), np.uint8)
+            stops = np.append(np.flatnonzero(raw == 0x20)[1:], len(raw))
+            ids = self.whole(text)
+            ends = np.cumsum(self.lengths[ids])
+            cut = np.searchsorted(ends, stops)
+            if not np.array_equal(ends[cut], stops):
+                raise ValueError("a token reaches across a blank: this vocabulary is not cut by pieces")
+            every.append(ids)
+            sizes.append(np.diff(cut + 1, prepend=0))
+        return (np.concatenate(every), np.concatenate(sizes)) if every else (np.zeros(0, self.dtype), np.zeros(0, np.int64))
+
+    def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all *texts*, the end id behind each; where each ends)."""
+        split = pc.split_pattern(texts, " ")
+        offsets = split.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        every = split.flatten()
+        heads = every.take(pa.array(offsets[:-1])).to_pylist()
+        pieces = pc.dictionary_encode(every)
+        distinct = pieces.dictionary.cast(pa.large_string())
+        # entries: known pieces, new ones, first pieces, the end
+        place = pc.index_in(distinct, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        fresh = distinct.filter(pa.array(place < 0))
+        ids, sizes = self._new(fresh.to_pylist())
+        place[place < 0] = len(self.known) + np.arange(len(fresh))
+        for h in {*heads} - self.heads.keys():
+            self.heads[h] = self.whole(h)
+        first = list(dict.fromkeys(heads))
+        flat = np.concatenate([self.ids, ids, *(self.heads[h] for h in first), np.array([END_ID], self.dtype)])
+        size = np.concatenate([self.sizes, sizes, [len(self.heads[h]) for h in first], [1]]).astype(np.int64)
+        begin = np.cumsum(size) - size
+        base = len(self.known) + len(fresh)
+        row = place[pieces.indices.to_numpy()]
+        at = dict(zip(first, range(base, base + len(first))))
+        row[offsets[:-1]] = [at[h] for h in heads]
+        row = np.insert(row, offsets[1:], base + len(first))
+        own = size[row]
+        stop = np.cumsum(own)
+        out = flat[np.repeat(begin[row] - (stop - own), own) + np.arange(stop[-1] if len(stop) else 0)]
+        if len(self.known) < CACHE_PIECES:
+            self.known = pa.concat_arrays([self.known, fresh])
+            self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        if len(self.heads) > CACHE_PIECES // 10:
+            self.heads = {"": self.heads[""]}
+        return out, stop[offsets[1:] + np.arange(len(texts))]
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of *texts* (strings without nulls), each with the end id."""
+        out: list[np.ndarray] = [None] * len(texts)
+        plain = ~pc.match_substring_regex(texts, self.other).to_numpy(zero_copy_only=False) if self.by_pieces else np.zeros(len(texts), bool)
+        where = np.flatnonzero(plain)
+        if len(where):
+            ids, ends = self._by_pieces(texts.filter(pa.array(plain)))
+            for k, a, b in zip(where.tolist(), [0, *ends.tolist()], ends.tolist()):
+                out[k] = ids[a:b]
+        for k in np.flatnonzero(~plain).tolist():
+            out[k] = np.append(self.whole(texts[k].as_py()), self.dtype.type(END_ID))
         return out
 
-    def __call__(self, text: str) -> bytes:
-        return self.batch([text])[0]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts, each with the end id; pieces that are new to any of them are encoded together."""
-        out: list[bytes] = [self.end] * len(texts)
-        todo = []
-        new: set[str] = set()
-        for k, text in enumerate(texts):
-            if not text:
-                continue
-            if _OTHER.search(text):
-                out[k] = self._whole([text])[0] + self.end
-                continue
-            first, *pieces = text.split(" ")
-            head = self.heads.get(first)
-            if head is None:
-                head = self._whole([first])[0] if first else b""
-                if len(self.heads) < CACHE_WORDS // 10:
-                    self.heads[first] = head
-            found = list(map(self.pieces.get, pieces))
-            short = None in found
-            if short:
-                new.update([x for x, ids in zip(pieces, found) if ids is None])
-            todo.append((k, head, pieces if short else None, found))
-        made = dict(zip(new, self._pieces(list(new)))) if new else {}
-        for k, head, pieces, found in todo:
-            if pieces:
-                found = [made[x] if ids is None else ids for x, ids in zip(pieces, found)]
-            out[k] = b"".join([head, *found, self.end])
-        return out
+    def __call__(self, text: str) -> np.ndarray:
+        return self.batch(pa.array([text], pa.string()))[0]
+
+
+def _byte_level(spec: dict) -> bool:
+    """Whether a tokenizer file is plain byte-level BPE, which :class:`Coder` may cut at blanks."""
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    return (
+        before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec.get("normalizer")
+        and not spec.get("truncation") and not spec.get("padding") and model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+        and all(t["content"].startswith("<|") for t in spec.get("added_tokens", []))
+    )
 
 
 def coder(path: str) -> Coder:
@@ -190,17 +203,19 @@ def _write(uri: str, data: bytes) -> None:
     fs.move(part, path)
 
 
-def train_dictionary(docs: DataFrame, rows: int, tokenizer: str, id_col: str, text_col: str) -> bytes:
-    """Dictionary for serialized id arrays, from about MAX_SAMPLES of *rows*; empty where they are too few to train one."""
+def _share(docs: DataFrame, wanted: int, rows: int) -> DataFrame:
+    """About *wanted* of the *rows* of *docs*."""
+    return docs if rows <= wanted else docs.sample(fraction=wanted / rows, seed=17)
+
+
+def train_dictionary(slices: list[str], tokenizer: str) -> bytes:
+    """Dictionary for serialized id arrays, from the ids of text slices; empty where they are too few to train one."""
     import zstandard
 
-    step = max(1, rows // MAX_SAMPLES)
-    sample = docs.where(F.pmod(F.xxhash64(id_col), F.lit(step)) == 0).select(F.expr(f"left(`{text_col}`, {SAMPLE_BYTES})").alias("t")).where("t <> ''").limit(2 * MAX_SAMPLES)
-    encode = coder(tokenizer)
-    samples = [encode(r.t)[:SAMPLE_BYTES] for r in sample.toLocalIterator()]
+    samples = [x.tobytes() for x in coder(tokenizer).batch(pa.array([t for t in slices if t], pa.string()))]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:
+    except (zstandard.ZstdError, ValueError):
         return b""
 
 
@@ -218,93 +233,121 @@ def _decompressor(dictionary: bytes):
     return zstandard.ZstdDecompressor(dict_data=d)
 
 
+def _range_of(bounds: np.ndarray, ids: pa.Array, sums: np.ndarray) -> np.ndarray:
+    """The range of each id: a bound begins a range, and a bound that is listed m times has its rows dealt over m ranges."""
+    own = ids.fill_null(-(1 << 63)).to_numpy()
+    low, high = np.searchsorted(bounds, own, "left"), np.searchsorted(bounds, own, "right")
+    return np.where(high > low + 1, low + 1 + (sums * (high - low) >> 32), high)
+
+
 def _encode(tokenizer: str, dictionary_uri: str, bounds: list[int]):
+    edges = np.array(bounds, np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, compress = coder(tokenizer), _compressor(_read(dictionary_uri)).compress
-        width = encode.dtype.itemsize
-        edges = np.array(bounds, np.int64)
+
+        def coded(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids = pa.concat_arrays([b.column(0) for b in held])
+            found = encode.batch(pa.concat_arrays([b.column(1) for b in held]).fill_null(""))
+            first = 0
+            while first < len(found):
+                frames, sums, size = [], [], 0
+                while first + len(frames) < len(found) and size < 4 << 20:
+                    raw = found[first + len(frames)].tobytes()
+                    frames.append(compress(raw))
+                    sums.append(zlib.crc32(raw))
+                    size += len(frames[-1])
+                own = ids.slice(first, len(frames))
+                sizes = [len(x) for x in found[first : first + len(frames)]]
+                yield pa.RecordBatch.from_arrays(
+                    [own, pa.array(_range_of(edges, own, np.array(sums, np.int64)).astype(np.int32)), pa.array(sizes, pa.int64()), pa.array(frames, pa.binary())],
+                    names=["doc_id", "part", "n_tokens", "frame"],
+                )
+                first += len(frames)
+
+        held, size = [], 0
         for batch in batches:
-            ids = batch.column(0)
-            rows, sizes, frames = [], [], []
-            held = 0
-            for k in range(batch.num_rows):
-                if k % TOGETHER == 0:
-                    coded = encode.batch([t or "" for t in batch.column(1).slice(k, TOGETHER).to_pylist()])
-                raw = coded[k % TOGETHER]
-                rows.append(k)
-                sizes.append(len(raw) // width)
-                frames.append(compress(raw))
-                held += len(frames[-1])
-                if held > 4 << 20 or k == batch.num_rows - 1:
-                    own = ids.take(pa.array(rows))
-                    part = np.searchsorted(edges, own.fill_null(-(1 << 63)).to_numpy(), "right")
-                    yield pa.RecordBatch.from_arrays([own, pa.array(part.astype(np.int32)), pa.array(sizes, pa.int64()), pa.array(frames, pa.binary())], names=["doc_id", "part", "n_tokens", "frame"])
-                    rows, sizes, frames, held = [], [], [], 0
+            held.append(batch)
+            size += batch.column(1).nbytes
+            if size >= TOGETHER_BYTES:
+                yield from coded(held)
+                held, size = [], 0
+        if held:
+            yield from coded(held)
 
     return run
 
 
-def _pack(folder: str, digest: bytes, width: int):
-    """Arrow function over sorted rows: writes a file for each part, and says what it holds."""
-
-    def close(part: int, head: bytearray, ids: list, ends: list, sizes: list) -> pa.RecordBatch:
-        at = len(head)
-        n = len(ids)
-        head += np.array([x or 0 for x in ids], "<i8").tobytes()
-        head += np.array([len(MAGIC) + 33, *ends], "<u8").tobytes()
-        head += np.array(sizes, "<u8").tobytes()
-        head += np.array([x is None for x in ids], np.uint8).tobytes()
-        head += struct.pack("<QQ", n, at) + MAGIC
-        name = f"part-{part:06d}.tok"
-        _write(f"{folder}/{name}", bytes(head))
-        return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "n_docs": [n], "n_tokens": [sum(sizes)]})
+def _pack(folder: str, digest: bytes, width: int, file_bytes: int):
+    """Arrow function over sorted rows: writes the files of each range, and says what they hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None
+        part, seq, head, ids, ends, sizes = None, 0, bytearray(), [], [], []
+
+        def close() -> pa.RecordBatch:
+            at = len(head)
+            body = (
+                np.array([x or 0 for x in ids], "<i8").tobytes() + np.array([len(MAGIC) + 33, *ends], "<u8").tobytes() + np.array(sizes, "<u8").tobytes()
+                + np.array([x is None for x in ids], np.uint8).tobytes() + struct.pack("<QQ", len(ids), at) + MAGIC
+            )
+            name = f"part-{part:06d}-{seq:06d}.tok"
+            _write(f"{folder}/{name}", bytes(head) + body)
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "name": [name], "n_docs": [len(ids)], "n_tokens": [sum(sizes)]})
+
         for batch in batches:
-            for doc, part, size, frame in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if part != now:
-                    if now is not None:
-                        yield close(now, head, ids, ends, sizes)
-                    now, head, ids, ends, sizes = part, bytearray(MAGIC + digest + bytes([width])), [], [], []
+            for doc, own, size, frame in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if ids and (own != part or len(head) >= file_bytes):
+                    yield close()
+                    seq, ids = seq + 1, []
+                if own != part:
+                    part, seq = own, 0
+                if not ids:
+                    head, ends, sizes = bytearray(MAGIC + digest + bytes([width])), [], []
                 head += frame
                 ids.append(doc)
                 ends.append(len(head))
                 sizes.append(size)
-        if now is not None:
-            yield close(now, head, ids, ends, sizes)
+        if ids:
+            yield close()
 
     return run
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> dict:
-    """Write *docs* as token files below *folder*; returns the manifest, which is also written there."""
-    small_batches(docs.sparkSession)
+def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> None:
+    """Write *docs* as token files below *folder*, with their dictionary and the table of :func:`files`."""
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("doc_id").alias("n")).first()
-    files = max(1, -(-(size.b or 0) // file_bytes))
-    # file edges: quantiles of the ids, as many as there are files
-    bounds = docs.select(F.percentile_approx("doc_id", [k / files for k in range(1, files)], 100 * files).alias("q")).first().q if files > 1 and size.n else []
-    bounds = sorted(set(bounds))
-    dictionary = train_dictionary(docs, size.n, tokenizer, "doc_id", "text")
+    rows = docs.count()
+    place = f"1 + cast(rand(5) * greatest(0, length(text) - {SAMPLE_CHARS}) AS int)"
+    sample = _share(docs, MAX_SAMPLES, rows).select(F.octet_length("text").alias("b"), F.expr(f"substring(text, {place}, {SAMPLE_CHARS})").alias("t")).collect()
+    # only the number of ranges depends on this estimate
+    size = sum(r.b or 0 for r in sample) * rows // max(1, len(sample))
+    ranges = min(MAX_RANGES, max(1, -(-size // file_bytes)))
+    ids = sorted(r.doc_id for r in _share(docs.select("doc_id"), IDS_A_RANGE * ranges, rows).where("doc_id IS NOT NULL").collect()) if ranges > 1 else []
+    bounds = [ids[k * len(ids) // ranges] for k in range(1, ranges)] if ids else []
+    dictionary = train_dictionary([r.t for r in sample], tokenizer)
     dictionary_uri = f"{folder}/dictionary.zdict"
     fs, path = _filesystem(folder)
     fs.create_dir(path, recursive=True)
     _write(dictionary_uri, dictionary)
     digest = hashlib.sha256(dictionary).digest()
-    packed = (
-        docs.mapInArrow(_encode(tokenizer, dictionary_uri, bounds), "doc_id long, part int, n_tokens long, frame binary")
-        .repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "frame")
-        .mapInArrow(_pack(folder, digest, coder(tokenizer).dtype.itemsize), "part int, name string, n_docs long, n_tokens long")
-    )
-    found = sorted((r.part, r.name, r.n_docs, r.n_tokens) for r in packed.collect())  # a row for each file
-    start, listed = 0, []
-    for _, name, n_docs, n_tokens in found:
-        listed.append({"name": name, "start": start, "n_docs": n_docs, "n_tokens": n_tokens})
-        start += n_tokens
-    manifest = {"dictionary_sha256": digest.hex(), "id_bytes": coder(tokenizer).dtype.itemsize, "n_tokens": start, "files": listed}
-    _write(f"{folder}/manifest.json", json.dumps(manifest).encode())
-    return manifest
+    with batch_rows(spark):
+        (
+            docs.mapInArrow(_encode(tokenizer, dictionary_uri, bounds), "doc_id long, part int, n_tokens long, frame binary")
+            .repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "frame")
+            .mapInArrow(_pack(folder, digest, coder(tokenizer).dtype.itemsize, file_bytes), "part int, seq int, name string, n_docs long, n_tokens long")
+            .write.parquet(f"{folder}/files")
+        )
+
+
+def files(spark: SparkSession, folder: str) -> DataFrame:
+    """``name, start, n_docs, n_tokens`` of every file below *folder*; start counts the ids of all files before it."""
+    listed = spark.read.parquet(f"{folder}/files")
+    # at most MAX_RANGES rows, and then the files of one range
+    total = listed.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = total.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    within = F.sum("n_tokens").over(W.partitionBy("part").orderBy("seq")) - F.col("n_tokens")
+    return listed.join(F.broadcast(before), "part").select("name", (F.col("before") + within).alias("start"), "n_docs", "n_tokens")
 
 
 class TokenFile:
@@ -366,9 +409,9 @@ def _scan(folder: str):
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document in the files below *folder*."""
-    files = [(f["name"], f["start"]) for f in json.loads(_read(f"{folder}/manifest.json"))["files"]]
-    listed = spark.createDataFrame(files, "name string, start long")
-    return listed.repartition(max(1, len(files)), "start").mapInArrow(_scan(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    listed = files(spark, folder).select("name", "start")
+    # a file a task, whatever their number
+    return listed.repartition(max(1, min(MAX_RANGES, listed.count())), "name").mapInArrow(_scan(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

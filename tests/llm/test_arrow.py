@@ -226,31 +226,62 @@ def test_token_files(spark):
     tok = tokenizers.Tokenizer.from_file(path)
     texts = [None, "", "Hello world.\nnew  line", "a <|endoftext|> b", "中文 тест\x1c a  \n\n b  ", " lead", "it's 12½ x", *[f"word{k} other thing" * (k % 9) for k in range(80)]]
     folder = fresh_path(spark, "test-tokens")
-    d = docs(spark, texts).unionByName(docs(spark, [texts[2]]).withColumn("doc_id", F.lit(None).cast("long")))
-    manifest = token_file.write(d, folder, path, file_bytes=1500)
-    assert len(manifest["files"]) > 2
-    rows = {r.doc_id: r for r in token_file.scan(spark, folder).collect()}
+    null = docs(spark, [texts[2]]).withColumn("doc_id", F.lit(None).cast("long"))
+    d = docs(spark, texts).unionByName(null).unionByName(null)
+    token_file.write(d, folder, path, file_bytes=1500)
+    found = token_file.files(spark, folder).orderBy("start").collect()
+    assert len(found) > 2 and sum(f.n_docs for f in found) == len(texts) + 2
+    by = collections.defaultdict(list)
+    for r in token_file.scan(spark, folder).collect():
+        by[r.doc_id].append(r)
     start = 0
-    for k in [None, *range(len(texts))]:
+    for k in [None, None, *range(len(texts))]:
         ids = np.array(tok.encode((texts[2] if k is None else texts[k]) or "", add_special_tokens=False).ids + [token_file.END_ID], "<u4")
-        r = rows[k]
+        r = min(by[k], key=lambda r: r.start)
+        by[k].remove(r)
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     dictionary = token_file._read(f"{folder}/dictionary.zdict")
-    file = token_file.TokenFile(f"{folder}/{manifest['files'][-1]['name']}", dictionary)
+    file = token_file.TokenFile(f"{folder}/{found[-1].name}", dictionary)
     assert file.find(len(texts) - 1) is not None and file.find(10**9) is None
     with pytest.raises(ValueError, match="another dictionary"):
-        token_file.TokenFile(f"{folder}/{manifest['files'][0]['name']}", b"other")
+        token_file.TokenFile(f"{folder}/{found[0].name}", b"other")
     empty = fresh_path(spark, "test-tokens")
-    assert token_file.write(d.limit(0), empty, path)["files"] == [] and token_file.scan(spark, empty).count() == 0
+    token_file.write(d.limit(0), empty, path)
+    assert token_file.files(spark, empty).count() == 0 and token_file.scan(spark, empty).count() == 0
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text("aB \n\t9é'½-!çs", max_size=25))
-def test_pieces_are_the_whole(text):
+def test_hot_ids_are_dealt_out(spark):
+    """A third of all rows has one id: its rows are dealt over ranges, and the order by id holds."""
     path = public.path("byte_bpe_50k.json")
+    rows = [(7 if k % 3 == 0 else k, f"text number {k} " * (1 + k % 5)) for k in range(600)]
+    folder = fresh_path(spark, "test-tokens")
+    token_file.write(spark.createDataFrame(rows, "doc_id long, text string"), folder, path, file_bytes=2000)
+    got = sorted(token_file.scan(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(k for k, _ in rows)
+    assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
     code = token_file.coder(path)
-    assert np.frombuffer(code(text), "<u2").tolist() == code.tokenizer.encode(text, add_special_tokens=False).ids + [token_file.END_ID]
+    want = collections.Counter((k, zlib.crc32(code(t).astype("<u4").tobytes())) for k, t in rows)
+    assert collections.Counter((r.doc_id, r.ids_crc32) for r in got) == want
+    parts = spark.read.parquet(f"{folder}/files").groupBy("part").agg(F.sum("n_docs").alias("n")).collect()
+    assert max(r.n for r in parts) < 100
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("aB \n\t9é'½-!çs<|", max_size=25), min_size=1, max_size=6))
+def test_pieces_are_the_whole(texts):
+    code = token_file.coder(public.path("byte_bpe_50k.json"))
+    assert code.by_pieces
+    import pyarrow as pa
+
+    got = [x.tolist() for x in code.batch(pa.array(texts, pa.string()))]
+    assert got == [code.tokenizer.encode(t, add_special_tokens=False).ids + [token_file.END_ID] for t in texts]
+
+
+def test_other_tokenizers_go_whole():
+    code = token_file.coder(public.path("word_bpe_49k.json"))
+    text = "Some WORDS here, and more.\nA line"
+    assert not code.by_pieces and code(text).tolist() == code.tokenizer.encode(text, add_special_tokens=False).ids + [token_file.END_ID]
 
 
 # --- archives ---------------------------------------------------------------------------------------
