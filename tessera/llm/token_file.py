@@ -334,20 +334,21 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
     with batch_rows(spark):
         (
             docs.mapInArrow(_encode(tokenizer, dictionary_uri, bounds), "doc_id long, part int, n_tokens long, frame binary")
-            .repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "frame")
+            .repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "frame")
             .mapInArrow(_pack(folder, digest, coder(tokenizer).dtype.itemsize, file_bytes), "part int, seq int, name string, n_docs long, n_tokens long")
             .write.parquet(f"{folder}/files")
         )
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
-    """``name, start, n_docs, n_tokens`` of every file below *folder*; start counts the ids of all files before it."""
+    """``nth, name, start, n_docs, n_tokens`` of every file below *folder*; start counts the ids of all files before it."""
     listed = spark.read.parquet(f"{folder}/files")
     # at most MAX_RANGES rows, and then the files of one range
-    total = listed.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = total.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    total = listed.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("m"))
+    by = W.orderBy("part")
+    before = total.select("part", (F.sum("n").over(by) - F.col("n")).alias("before"), (F.sum("m").over(by) - F.col("m")).alias("ahead"))
     within = F.sum("n_tokens").over(W.partitionBy("part").orderBy("seq")) - F.col("n_tokens")
-    return listed.join(F.broadcast(before), "part").select("name", (F.col("before") + within).alias("start"), "n_docs", "n_tokens")
+    return listed.join(F.broadcast(before), "part").select((F.col("ahead") + F.col("seq")).alias("nth"), "name", (F.col("before") + within).alias("start"), "n_docs", "n_tokens")
 
 
 class TokenFile:
@@ -409,9 +410,9 @@ def _scan(folder: str):
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document in the files below *folder*."""
-    listed = files(spark, folder).select("name", "start")
-    # a file a task, whatever their number
-    return listed.repartition(max(1, min(MAX_RANGES, listed.count())), "name").mapInArrow(_scan(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = max(1, min(MAX_RANGES, spark.read.parquet(f"{folder}/files").count()))
+    listed = files(spark, folder).select("name", "start", F.pmod("nth", F.lit(tasks)).cast("int").alias("task"))
+    return listed.repartitionById(tasks, "task").mapInArrow(_scan(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
