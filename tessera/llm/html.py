@@ -1,23 +1,31 @@
 """Main-text extraction by two-pass block rules.
 
-Pass one looks at each block alone.  Blocks in boilerplate containers, with many link characters, or
-long and without stop-words are bad; long blocks with stop-words are good; short ones, and those with
-few stop-words, stay open.  Inside an ``article`` or ``main`` element the container speaks for a block,
-so that only links or a boilerplate container inside make it bad.  Pass two gives each open block the
-label of its nearest decided neighbours in the same region.
+Pass one looks at each block alone, wherever it stands.  Blocks in boilerplate containers or with many
+link characters are bad; long blocks with many stop-words are good.  All others are ambiguous: short
+ones, those with few stop-words (``far``), and those in between (``near``).  Where no block of a page is
+good, the stop-words are of no listed language, and length stands in for them.
 
-The good blocks, in page order, are the text.  A page is read once, tag by tag, in linear time; open
-tags at the end of a cut page are dropped.
+Pass two gives each ambiguous block the label of its nearest decided neighbours.  Boilerplate
+containers speak for their own blocks alone.  An ``article`` or ``main`` element only breaks ties:
+neighbours on the other side of its edge do not count, and where no neighbour decides, a block inside is
+good and, on a page that has such an element, a block outside is bad.
+
+The good blocks, in page order, are the text.  A page is read once from front to back: each character is
+looked at a bounded number of times, whatever tags or quotes stay open, so time is linear in its length.
+An open tag at the end of a cut page is dropped; a quote that never closes ends with its tag.
 
 Edge cases: a null or empty page gives an empty text; repeated rows give equal rows; null ids and
-urls pass through; an empty table gives an empty result; extra columns are ignored.
+urls pass through; very long pages are read whole; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +36,8 @@ from tessera.llm.store import table
 
 #: Characters up to which a block is short, and from which it is long.
 SHORT, LONG = 70, 200
-#: Shares: link characters that make a block bad, stop-words that make one good or keep it open.
-LINKS, STOP_GOOD, STOP_OPEN = 0.33, 0.30, 0.15
+#: Shares: link characters that make a block bad, stop-words that make a long one good, and those that lean to it.
+LINKS, STOP_GOOD, STOP_NEAR = 0.33, 0.30, 0.15
 
 # fixed values: common function words of the languages the library knows
 STOP_WORDS = frozenset(
@@ -51,6 +59,16 @@ _BAD_WORD = re.compile(
     r"|comments?|commentlist|respond|replies|reply|disqus|discussion|contentinfo|complementary|search|toolbar|hidden|visually-hidden|sr-only)(?:$|[^a-z])"
 )
 _GOOD_WORD = re.compile(r"(?:^|[^a-z])(?:article-?(?:body|text|content)?|post-?(?:body|content)|entry-?content|main-?content|story)(?:$|[^a-z])")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: The end of a tag, or a quote that opens a value.
+_STOP = re.compile(r">|=\s*[\"']")
+_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
+_WORD = re.compile(
+    r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|notifications?|alerts?|popup|modal|overlay|subscribe|newsletter|signup|login|paywall"
+    r"|side-?bar\w*|widgets?|menus?|nav\w*|breadcrumbs?|crumbs|pagination|pager|toc|tags?|share|sharing|social|related|recommend\w*|trending|teasers?|masthead|header|footer|foot|copyright|legal|skip\w*"
+    r"|comments?|commentlist|respond|replies|reply|disqus|discussion|contentinfo|complementary|search|toolbar|hidden|visually-hidden|sr-only)(?:$|[^a-z])"
+)
+_GOOD_WORD = re.compile(r"(?:^|[^a-z])(?:article-?(?:body|text|content)?|post-?(?:body|content)|entry-?content|main-?content|story)(?:$|[^a-z])")
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[a-zA-Z/!?])[^<>]*\Z", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -74,135 +92,196 @@ def _bad_container(tag: str, attrs: str, inside: bool) -> bool:
     return bool(marks.strip()) and bool(_BAD_WORD.search(marks)) and not _GOOD_WORD.search(marks)
 
 
-def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
-    """(text, link characters, in a boilerplate container, in an article) of every block with text."""
+class _Scanner:
+    """Reads tags one by one.  What is looked for and missing once is never looked for again, so scanning is linear."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.missing: set[str] = set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        k = self.page.find(what, at)
+        if k < 0:
+            self.missing.add(what)
+        return k
+
+    def tag_end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag whose attributes begin at *at*; -1 if there is none."""
+        while m := _STOP.search(self.page, at):
+            if m[0] == ">":
+                return m.start()
+            close = self.find(m[0][-1], m.end())
+            at = m.end() if close < 0 else close + 1
+        return -1
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Place behind the closing tag of an element without markup; -1 if there is none."""
+        if f"</{tag}" in self.missing:
+            return -1
+        m = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(self.page, at)
+        if not m:
+            self.missing.add(f"</{tag}")
+            return -1
+        return m.end()
+
+    def __iter__(self) -> Iterator[tuple[str, str, str]]:
+        """(text before, tag, attributes); the tag is '' for what is no element, and begins with / if it closes one."""
+        page, at, begin = self.page, 0, 0
+        while (k := page.find("<", at)) >= 0:
+            after = page[k + 1 : k + 2]
+            name = None
+            if after == "!" or after == "?":
+                if page.startswith("<!--", k):
+                    end = page.find("-->", k + 2)
+                    stop = end + 3 if end >= 0 else -1
+                else:
+                    stop = page.find(">", k) + 1 or -1
+            else:
+                name = _NAME.match(page, k + 1 + (after == "/"))
+                if not name:  # a lone <
+                    at = k + 1
+                    continue
+                stop = self.tag_end(name.end()) + 1 or -1
+            if stop < 0:  # the page ends inside
+                yield page[begin:k], "", ""
+                return
+            tag = name[0].lower() if name else ""
+            attrs = page[name.end() : stop - 1] if name and after != "/" else ""
+            if tag in _RAW and after != "/" and not attrs.endswith("/"):
+                end = self.raw_end(tag, stop)
+                if end >= 0 or tag in ("script", "style", "textarea"):
+                    yield page[begin:k], "", ""
+                    if end < 0:
+                        return
+                    begin = at = end
+                    continue
+            yield page[begin:k], f"/{tag}" if after == "/" else tag, attrs
+            begin = at = stop
+        yield page[begin:], "", ""
+
+
+class Block(NamedTuple):
+    text: str
+    links: int  # characters in links
+    bad: bool  # in a boilerplate container
+    inside: bool  # in an article
+
+
+def blocks(page: str) -> Iterator[Block]:
+    """Every block with text, in page order."""
     scope: list[tuple[str, bool, bool]] = []  # tag, bad, inside an article, of each open container
+    depth: Counter[str] = Counter()
     parts: list[str] = []
-    links = 0
-    linked = 0
-    at = 0
-
-    def close() -> Iterator[tuple[str, int, bool, bool]]:
-        nonlocal parts, links
-        text = " ".join(html.unescape("".join(parts)).split())
-        if text:
-            bad, inside = (scope[-1][1], scope[-1][2]) if scope else (False, False)
-            yield text, min(links, len(text)), bad, inside
-        parts, links = [], 0
-
-    while True:
-        m = _TOKEN.search(page, at)
-        piece = page[at : m.start() if m else len(page)]
+    links = linked = 0
+
+    def pop(k: int) -> None:
+        depth.subtract([x[0] for x in scope[k:]])
+        del scope[k:]
+
+    def close() -> Iterator[Block]:
+        nonlocal links
+        if parts:
+            text = " ".join(html.unescape("".join(parts)).split())
+            if text:
+                yield Block(text, min(links, len(text)), *(scope[-1][1:] if scope else (False, False)))
+            parts.clear()
+            links = 0
+
+    for piece, tag, attrs in _Scanner(page):
         if piece:
             parts.append(piece)
             if linked:
                 links += len(" ".join(html.unescape(piece).split()))
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:  # closing
+        if tag.startswith("/"):
+            tag = tag[1:]
             if tag == "a":
                 linked = 0
             elif tag in _SCOPE or tag in _BLOCK:
                 if tag != "span":
                     yield from close()
-                for k in range(len(scope) - 1, -1, -1):
-                    if scope[k][0] == tag:
-                        if tag == "span" and scope[k][1]:
-                            yield from close()
-                        del scope[k:]
-                        break
-            continue
-        if tag in _RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if tag == "a":
+                if depth[tag]:
+                    k = next(k for k in range(len(scope) - 1, -1, -1) if scope[k][0] == tag)
+                    if tag == "span" and scope[k][1]:
+                        yield from close()
+                    pop(k)
+        elif tag == "a":
             linked = 1
-            continue
-        if tag == "br":
+        elif tag == "br":
             parts.append(" ")
-            continue
-        if tag in _BLOCK or tag in _SCOPE:
-            inside = scope[-1][2] if scope else False
-            bad = (scope[-1][1] if scope else False) or _bad_container(tag, m[3] or "", inside)
+        elif tag in _BLOCK or tag in _SCOPE:
+            around, inside = scope[-1][1:] if scope else (False, False)
+            bad = around or _bad_container(tag, attrs, inside)
             if tag != "span" or bad:
                 yield from close()
             if tag in _BLOCK:
                 linked = 0
-            if tag in _SCOPE and not (m[3] or "").endswith("/"):
+            if tag in _SCOPE and not attrs.endswith("/"):
                 scope.append((tag, bad, inside or tag in ("article", "main")))
-            elif bad and not (scope and scope[-1][1]):
+                depth[tag] += 1
+            elif bad and not around:
                 # a bad leaf (such as <p class="ad">) lasts until it closes or the next block begins
                 scope.append((tag, True, inside))
+                depth[tag] += 1
             elif scope and scope[-1][0] in _BLOCK and scope[-1][0] not in _SCOPE:
-                scope.pop()
+                pop(len(scope) - 1)
     yield from close()
 
 
-def _first_pass(text: str, links: int, bad: bool, inside: bool, listed: bool = True) -> str:
-    """The label of a block by itself; where the stop-words are of no listed language, by length and links alone."""
-    if bad:
-        return "bad"
-    if links > LINKS * len(text):
-        return "bad"
-    if inside:
-        return "short" if len(text) < SHORT else "good"
-    if "\xa9" in text or "copyright" in text.lower():
+def _alone(b: Block, listed: bool = True) -> str:
+    """Pass one: good, bad, or ambiguous (near, far, short); without *listed* stop-words, length stands in for them."""
+    if b.bad or b.links > LINKS * len(b.text):
         return "bad"
-    if len(text) < SHORT:
-        return "bad" if links else "short"
+    if len(b.text) < SHORT:
+        return "short"
     if not listed:
-        return "good" if len(text) > LONG else "open"
-    words = [w.lower() for w in _WORD.findall(text)]
+        return "good" if len(b.text) > LONG else "near"
+    words = [w.lower() for w in _WORD.findall(b.text)]
     stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stop >= STOP_GOOD:
-        return "good" if len(text) > LONG else "open"
-    return "open" if stop >= STOP_OPEN else "bad"
+    if stop >= STOP_GOOD and len(b.text) > LONG:
+        return "good"
+    return "near" if stop >= STOP_NEAR else "far"
 
 
-def _inherit(own: list[int], label: list[str], speaks: list[bool], prefer: bool) -> dict[int, bool]:
-    """Whether each open block of one region is good, by its nearest decided neighbours."""
-    before: dict[int, int | None] = {}
-    after: dict[int, int | None] = {}
-    for near, walk in ((before, own), (after, own[::-1])):
-        last = None
+def _inherit(own: list[int], label: list[str], speaks: list[bool], alone: dict[str, bool]) -> Iterator[int]:
+    """Pass two: the ambiguous blocks of one side of an article's edge that are good; *alone* holds where no neighbour decides."""
+    near: list[list[int | None]] = []
+    for walk in (own, own[::-1]):
+        last, seen = None, []
         for k in walk:
-            near[k] = last
+            seen.append(last)
             last = k if speaks[k] else last
-    out = {}
-    for k in own:
+        near.append(seen)
+    for k, p, n in zip(own, near[0], near[1][::-1]):
         if label[k] in ("good", "bad"):
             continue
-        p, n = before[k], after[k]
-        if p is None or n is None:
-            one = n if p is None else p
-            out[k] = (prefer or label[k] == "open") if one is None else label[one] == "good"
-        elif label[p] == label[n]:
-            out[k] = label[p] == "good"
-        elif k - p == n - k:
-            out[k] = prefer or label[k] == "open"
-        else:
-            out[k] = label[p if k - p < n - k else n] == "good"
-    return out
+        if p is None and n is None:
+            good = alone[label[k]]
+        elif p is None or n is None:
+            good = label[n if p is None else p] == "good"
+        elif label[p] == label[n] or k - p != n - k:
+            good = label[p if k - p <= n - k else n] == "good"
+        else:  # between a good and a bad one, at equal distance
+            good = label[k] == "near"
+        if good:
+            yield k
 
 
 def extract(page: str | None) -> str:
     """The main text of a page."""
     found = list(blocks(page or ""))
-    label = [_first_pass(*b) for b in found]
+    label = [_alone(b) for b in found]
     if "good" not in label:
-        label = [_first_pass(*b, False) for b in found]
+        label = [_alone(b, False) for b in found]
     good = {k for k, x in enumerate(label) if x == "good"}
-    # a boilerplate container speaks for its own blocks, not for those around it
-    speaks = [x == "good" or x == "bad" and not bad for x, (_, _, bad, _) in zip(label, found)]
-    for region in (True, False):
-        own = [k for k, b in enumerate(found) if b[3] == region]
-        good |= {k for k, yes in _inherit(own, label, speaks, region).items() if yes}
-    return " ".join(found[k][0] for k in sorted(good))
+    speaks = [x == "good" or x == "bad" and not b.bad for x, b in zip(label, found)]
+    inside = [k for k, b in enumerate(found) if b.inside]
+    outside = [k for k, b in enumerate(found) if not b.inside]
+    good |= {*_inherit(inside, label, speaks, dict.fromkeys(("near", "far", "short"), True))}
+    # without an article, a page with nothing decided is all that there is
+    good |= {*_inherit(outside, label, speaks, dict.fromkeys(("near", "far", "short"), not inside))}
+    return " ".join(found[k].text for k in sorted(good))
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
