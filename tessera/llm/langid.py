@@ -1,7 +1,7 @@
 """Language identification by rank-order profiles.
 
-A profile is the list of the ``PROFILE`` most frequent n-grams (1 to 3 bytes of lower-cased letters,
-words set apart by one blank), by rank.  A document's own list, counted over its whole text, is
+A profile is the list of the ``PROFILE`` most frequent n-grams (1 to 3 bytes of lower-cased letters and
+their combining marks, words set apart by one blank), by rank.  A document's own list, counted over its whole text, is
 compared with each language's by out-of-place distance: the difference of the ranks, or ``PROFILE``
 where a language does not have the n-gram.  The nearest language is the prediction, and the score is
 how much nearer it is than the second, ``1 - nearest / second``.
@@ -18,11 +18,11 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,7 +33,9 @@ from tessera.llm.store import table
 PROFILE = 400
 PER_LANGUAGE = 3000
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: The one test for a letter, in training and in prediction.
+_LETTER = r"\p{L}"
+_NO_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 _KEPT = np.full(256, 0x20, np.uint8)
 _KEPT[0x80:] = np.arange(0x80, 0x100)
 _KEPT[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -41,7 +43,10 @@ _KEPT[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(codes, counts) of the n-grams of *text*; a code holds the bytes and, above them, their number."""
-    b = _KEPT[np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8)]
+    low = text.lower()
+    if not low.isascii():
+        low = _NO_LETTERS.sub(" ", low)
+    b = _KEPT[np.frombuffer(f" {low} ".encode("utf-8", "replace"), np.uint8)]
     blank = b == 0x20
     b = b[~(blank & np.concatenate([[False], blank[:-1]]))].astype(np.uint32)
     two = (b[:-1] << 8) | b[1:]
@@ -74,7 +79,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = PROFILE) -> dict[str, list[int]]:
     """Profiles by language from the rows (id, text, lang) of *docs*."""
     small_batches(docs.sparkSession)
-    known = docs.where("lang IS NOT NULL AND id IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
+    known = docs.where("lang IS NOT NULL AND id IS NOT NULL").where(F.col("text").rlike(_LETTER))
     # one row for each language; a language of many documents keeps one of every so many, by hash
     steps = {r.lang: max(1, r.n // per_language) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not steps:
@@ -96,8 +101,8 @@ def _predict(profiles: dict[str, list[int]], most: int):
     for k, p in enumerate(profiles.values()):
         place[np.searchsorted(codes, p), k] = np.arange(len(p))
 
-    def one(text: str | None) -> tuple[str, float]:
-        if not names or not text or not _LETTER.search(text):
+    def one(text: str, lettered: bool) -> tuple[str, float]:
+        if not names or not lettered:
             return "und", 0.0
         own = ranked(*grams(text), most)
         at = np.searchsorted(codes, own)
@@ -111,7 +116,7 @@ def _predict(profiles: dict[str, list[int]], most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [one(t.as_py()) for t in batch.column(2)]
+            found = [one(t.as_py(), x) for t, x in zip(batch.column(2), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
@@ -124,7 +129,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 def predict(docs: DataFrame, profiles: dict[str, list[int]], most: int = PROFILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row of *docs*; only the text decides."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"), F.col(text_col).rlike(_LETTER).alias("lettered")).mapInArrow(
         _predict(profiles, most), "doc_id long, held_out boolean, lang_pred string, score double"
     )
 
