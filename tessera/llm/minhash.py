@@ -18,7 +18,8 @@ So no bucket is ever expanded into rows of pairs, none is capped, and only the c
 
 Edge cases: a null, empty or blank text has no shingles and is linked with nothing; a text of fewer
 words than the shingle width, but not none, has its whole word sequence as one shingle; an empty
-table gives an empty result; ``doc_id`` names a document, so repeated rows of one share its class;
+table gives an empty result; ``doc_id`` names a document, so repeated rows of one share its class, and
+rows of one id with several texts are one node with the links of all of them;
 a row with a null id is never linked and kept; extra columns are ignored, or pass through in
 :func:`drop_near_duplicates`.
 """
@@ -139,13 +140,15 @@ def _verify(width: int, threshold: int):
         for group in by_key(batches, ["u", "chunk"]):
             docs = group.column("doc").to_pylist()
             sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
-            centre = sets[0]  # role 0 sorts first
+            centres = sum(r == 0 for r in group.column("role").to_pylist())  # role 0 sorts first; more than one for an id of several texts
             u, v = [], []
-            for d, s in zip(docs[1:], sets[1:]):
-                both = _overlap(centre, s)
-                if 100 * both >= threshold * (len(centre) + len(s) - both):
-                    u.append(docs[0])
-                    v.append(d)
+            for d, s in zip(docs[centres:], sets[centres:]):
+                for c in sets[:centres]:
+                    both = _overlap(c, s)
+                    if 100 * both >= threshold * (len(c) + len(s) - both):
+                        u.append(docs[0])
+                        v.append(d)
+                        break
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
@@ -335,13 +338,14 @@ def _settle(texts: DataFrame, members: DataFrame, reps: DataFrame, labels: DataF
         labelled.join(open_keys, "key", "left_semi")
         .select("key", "doc", "was", F.expr(f"(m + {BLOCK - 1}) div {BLOCK}").alias("g"))
         .withColumn("block", F.expr("pmod(xxhash64(doc), g)"))
-        .join(reps, "doc").withColumn("o", F.explode(F.expr("sequence(0L, g - 1L)")))
+        .join(reps, "doc").where(F.array_contains("bands", F.col("key"))).withColumn("o", F.explode(F.expr("sequence(0L, g - 1L)")))
         .select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "doc", "was", "block", "sketch", "bands")
         .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     )
     rows = stage(blocks.mapInArrow(_undecided(least), _BLOCK_ROW), "undecided")
-    wanted = rows.groupBy("doc").agg(
-        F.first("was").alias("was"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.collect_list(F.struct("key", "i", "j", "block")).alias("roles")
+    # an id of several texts has a row for each of its signatures, and meets each of its texts below
+    wanted = rows.groupBy("doc", "bands").agg(
+        F.first("was").alias("was"), F.first("sketch").alias("sketch"), F.collect_set(F.struct("key", "i", "j", "block")).alias("roles")
     )
     if rows.isEmpty():
         return None
@@ -365,6 +369,13 @@ def _counted(pairs: DataFrame) -> DataFrame:
     return pairs.join(pairs.groupBy("u").agg(F.count("*").alias("n")), "u")
 
 
+def _same_id(some: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (u, v) between an id that has several sets and the representatives of their classes."""
+    by = ["n_shingles", "f1", "f2"]
+    several = some.groupBy("doc").agg(F.min(F.struct(*by)).alias("a"), F.max(F.struct(*by)).alias("b")).where("a <> b").select("doc")
+    return some.select("doc", *by).join(several, "doc").join(classes, by).where("doc <> rep").select(F.col("doc").alias("u"), F.col("rep").alias("v")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -375,7 +386,7 @@ def near_duplicates(
     # classes of equal sets; the least id stands for the class
     classes = stage(some.groupBy("n_shingles", "f1", "f2").agg(F.min("doc").alias("rep"), F.count("*").alias("n")), "classes")
     reps = stage(
-        some.join(classes, ["n_shingles", "f1", "f2"]).where("doc = rep").select("doc", "bands", "sketch").dropDuplicates(["doc"]), "reps"
+        some.join(classes, ["n_shingles", "f1", "f2"]).where("doc = rep").select("doc", "bands", "sketch").dropDuplicates(["doc", "bands"]), "reps"
     )
     banded = reps.select("doc", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("doc").alias("least"), F.count("*").alias("m")).where("m > 1")
@@ -393,7 +404,7 @@ def near_duplicates(
         .select("u", "v", "su", "sv").mapInArrow(_agreeing(least), "u long, v long")
     )
     links = confirm(texts(), _counted(star), width, threshold)
-    labels = components(links)
+    labels = components(links.unionByName(_same_id(some, classes)))
     # step 2: buckets that still hold several components
     more = _settle(texts(), members, reps, labels, width, threshold, least)
     if more is not None:
