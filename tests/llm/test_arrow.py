@@ -91,6 +91,34 @@ def test_repeated_rows_and_null_ids(spark):
     assert minhash.drop_near_duplicates(d).columns == d.columns
 
 
+def test_one_id_with_several_texts(spark):
+    """Links of every text of an id hold, and join its classes."""
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (5, "c d e f g"), (5, a), (6, "c d e f g"), (9, "z y x w v")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for _ in range(2):
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(d.repartition(3), 4, 80).collect()}
+        assert got == {1: 1, 2: 1, 3: 1, 5: 1, 6: 1, 9: 9}
+
+
+def test_banding_keeps_pairs_at_the_threshold():
+    """Recall of bands and sketch over pairs of exactly 80 percent, for small and large sets."""
+    r = np.random.default_rng(8)
+    least = int(minhash.COORDS * (0.80 - minhash.SLACK))
+    for union in (5, 10, 50, 200):
+        kept = 0
+        for _ in range(300):
+            every = np.unique(r.integers(0, 1 << 63, union, dtype=np.uint64))
+            both = union * 4 // 5
+            one = every[: both + (union - both) // 2]
+            two = np.concatenate([every[:both], every[len(one) :]])
+            sig = minhash.signatures(np.concatenate([np.sort(one), np.sort(two)]), np.array([0, len(one), union + both]))
+            same = sig[0] == sig[1]
+            bands = any(same[k * minhash.ROWS : (k + 1) * minhash.ROWS].all() for k in range(minhash.BANDS))
+            kept += bands and ((sig[0] & 255) == (sig[1] & 255)).sum() >= least
+        assert kept >= 299
+
+
 def test_permutations_are_bijections():
     x = np.arange(1 << 16, dtype=np.uint32) * np.uint32(65537)
     assert len(np.unique(minhash._pi(x, np.empty_like(x)))) == len(x)
@@ -338,14 +366,105 @@ def test_extraction_never_fails(page):
     assert isinstance(html.extract(page), str)
 
 
+def article_of(page):
+    """The text of the generator's article: its template is known, the operator's rules are not used."""
+    import html as h
+
+    body = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S)[1]
+    body = re.sub(r"<[a-zA-Z/!][^<>]*\Z", "", re.sub(r"</?b>", "", body))
+    return " ".join(h.unescape(re.sub(r"<[^>]*>", " ", body)).split())
+
+
 def test_extraction_of_pages(spark, sf):
     rows = html.op3_html(spark, sf).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect()
-    for r in rows:
-        body = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.S)[1]
-        body = re.sub(r"<[a-zA-Z/!][^<>]*\Z", "", re.sub(r"</?b>", "", body))
-        import html as h
-
-        assert r.text == " ".join(h.unescape(re.sub(r"<[^>]*>", " ", body)).split()) and r.n_chars == len(r.text)
+    assert all(r.text == article_of(r.html) and r.n_chars == len(r.text) for r in rows)
+
+
+def test_pages_without_article():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    same = [html.extract(re.sub("(</?)article", r"\1div", p)) == article_of(p) for p in pages]
+    assert sum(same) >= 0.95 * len(same)
+
+
+def plain_rules(found):
+    """The two passes, as their definition says, on (text, link characters, bad container, inside)."""
+    def alone(listed):
+        out = []
+        for text, links, bad, _ in found:
+            w = re.findall(r"[^\W\d_]+", text.lower())
+            share = sum(x in html.STOP_WORDS for x in w) / max(1, len(w))
+            long = len(text) > html.LONG
+            ambiguous = "short" if len(text) < html.SHORT else "near" if not listed or share >= html.STOP_NEAR else "far"
+            good = ambiguous != "short" and long and (not listed or share >= html.STOP_GOOD)
+            out.append("bad" if bad or links > html.LINKS * len(text) else "good" if good else ambiguous)
+        return out
+
+    label = alone(True) if "good" in alone(True) else alone(False)
+    kept = []
+    for k, (text, _, bad, inside) in enumerate(found):
+        if label[k] in ("good", "bad"):
+            kept += [text] * (label[k] == "good")
+            continue
+        # only neighbours on the same side and those that speak
+        before = next(((k - i, label[i]) for i in range(k - 1, -1, -1) if found[i][3] == inside and (label[i] == "good" or label[i] == "bad" and not found[i][2])), None)
+        after = next(((i - k, label[i]) for i in range(k + 1, len(found)) if found[i][3] == inside and (label[i] == "good" or label[i] == "bad" and not found[i][2])), None)
+        some = [x for x in (before, after) if x]
+        if not some:
+            good = inside or not any(b[3] for b in found)
+        elif len(some) == 1 or before[1] == after[1]:
+            good = some[0][1] == "good"
+        else:
+            good = min(some)[1] == "good" if before[0] != after[0] else label[k] == "near"
+        kept += [text] * good
+    return " ".join(kept)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["good", "near", "far", "short", "link", "note", "ad"]), st.booleans()), max_size=9), st.booleans())
+def test_two_passes_by_definition(kinds, article):
+    texts = {"good": LONG, "near": LONG[:150], "far": "Zork blim vanto kresh plom dralt sniv. " * 4, "short": "Short one.", "link": "", "note": "See the note here.", "ad": LONG}
+    found, parts = [], []
+    for kind, inside in kinds:
+        text, linked = texts[kind].strip(), ""
+        if kind == "link":
+            text = linked = "More of the same"
+        if kind == "note":
+            linked = "here"
+        found.append((text, len(linked), kind == "ad", inside and article))
+        body = text.replace(linked, f"<a href='x'>{linked}</a>") if linked else text
+        body = f"<div class=ad>{body}</div>" if kind == "ad" else f"<p>{body}</p>"
+        parts.append(f"<article>{body}</article>" if inside and article else body)
+    assert html.extract(f"<body>{''.join(parts)}</body>") == plain_rules(found)
+
+
+def test_words_and_links_that_mark_nothing():
+    law = LONG.replace("main text", "copyright law")
+    assert html.extract(f"<body><p>{LONG}</p><p>See the note <a href=x>here</a>.</p><p>{law}</p></body>") == f"{LONG} See the note here. {law}"
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a b="', "<a x='\"'", "<svg>", "<!--", "&", "<", "<p class='ad'>", "<div></p>", "x<b =\"y "])
+def test_long_pages_in_linear_time(piece):
+    import time
+
+    took = []
+    for n in (1 << 18, 1 << 20):
+        began = time.process_time()
+        html.extract(piece * (n // len(piece)))
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * max(took[0], 0.05) and took[1] < 10
+
+
+def test_edge_pages(spark):
+    long = f"<p>{LONG}</p>" * 5000
+    rows = [(1, "u", None, "x", 1), (2, None, "", "x", 1), (None, "u", f"<p>{LONG}</p>", "x", 1), (3, "u", long, "x", 1), (3, "u", long, "x", 1)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    out = html.extract_pages(d)
+    assert out.columns == ["page_id", "url", "text", "n_chars"] and html.extract_pages(d.limit(0)).count() == 0
+    got = sorted(map(tuple, out.collect()), key=str)
+    whole = " ".join([LONG] * 5000)
+    assert got == sorted([(1, "u", "", 0), (2, None, "", 0), (None, "u", LONG, len(LONG)), *[(3, "u", whole, len(whole))] * 2], key=str)
 
 
 # --- languages --------------------------------------------------------------------------------------
@@ -356,6 +475,57 @@ def test_held_out_accuracy(spark, sf):
     assert sum(r.lang_pred == r.lang for r in out) >= 0.97 * len(out) and all(0 <= r.score <= 1 for r in rows)
 
 
+def plain_grams(text):
+    """Counts of 1- to 3-byte strings over lower-cased letters and marks, runs of anything else as one blank."""
+    import unicodedata
+
+    b = re.sub(b" +", b" ", " ".join(["", "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower()), ""]).encode())
+    return collections.Counter(b[i : i + n] for n in (1, 2, 3) for i in range(len(b) - n + 1) if b[i : i + n] != b" ")
+
+
+def plain_profile(counts, most):
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], len(x[0]), x[0]))[:most]]
+
+
+def plain_language(text, profiles, most):
+    if not re.search(r"[^\W\d_]", re.sub(r"[^\w]|[²³¹½ⅣⅫ①]", " ", text or "")):
+        return "und", 0.0
+    own = plain_profile(plain_grams(text), most)
+    far = {k: sum(abs(i - p.index(g)) if g in p else most for i, g in enumerate(own)) for k, p in profiles.items()}
+    first, *rest = sorted(far, key=lambda k: (far[k], k))
+    second = far[rest[0]] if rest else most * len(own)
+    return first, 1 - far[first] / second if second else 0.0
+
+
+def test_language_by_definition(spark, sf):
+    """Profiles, ranks, distances and scores in plain Python, over whole texts."""
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    learned = table.where(~langid.held_out()).select(F.col("doc_id").alias("id"), "text", "lang")
+    profiles = langid.learn(learned, most=120)
+    counts = collections.defaultdict(collections.Counter)
+    for r in learned.collect():
+        if r.lang and r.text and re.search(r"[^\W\d_]", r.text):
+            counts[r.lang].update(plain_grams(r.text))
+    plain = {k: plain_profile(c, 120) for k, c in sorted(counts.items())}
+    code = lambda g: int.from_bytes(bytes([len(g)]) + g.rjust(3, b"\0"), "big")
+    assert profiles == {k: [code(g) for g in p] for k, p in plain.items()}
+    extra = spark.createDataFrame([(-1, "½ ² 12"), (-2, "Ⅳ ① ³"), (-3, "«Où» – “là”…"), (-4, "x"), (-5, None), (-6, " "), (-7, "é²"), (-7, "é²")], "doc_id long, text string")
+    some = table.where("doc_id % 4 = 1").select("doc_id", "text").unionByName(extra)
+    texts = {r.doc_id: r.text for r in some.collect()}
+    for r in langid.predict(some, profiles, 120).collect():
+        lang, score = plain_language(texts[r.doc_id], plain, 120)
+        assert (r.lang_pred, r.score) == (lang, pytest.approx(score)), texts[r.doc_id]
+
+
+def test_language_ties_repeats_and_empty_tables(spark):
+    d = spark.createDataFrame([(1, "same words", "b"), (2, "same words", "a"), (2, "same words", "a")], "doc_id long, text string, lang string")
+    profiles = langid.learn(d.select(F.col("doc_id").alias("id"), "text", "lang"))
+    assert profiles["a"] == profiles["b"]
+    rows = langid.predict(d, profiles).collect()
+    assert len(rows) == 3 and {r.lang_pred for r in rows} == {"a"}
+    assert langid.learn(d.limit(0).withColumnRenamed("doc_id", "id")) == {} and langid.predict(d.limit(0), profiles).count() == 0
+
+
 def test_no_letters_no_language(spark):
     d = spark.createDataFrame([(1, "the cat is on the mat", "en"), (2, "le chat est sur la table", "fr"), (3, None, "en"), (4, "123 !!", None), (None, "the", "en")], "doc_id long, text string, lang string")
     profiles = langid.learn(d.select(F.col("doc_id").alias("id"), "text", "lang"))

@@ -75,8 +75,8 @@ def brute(text, items):
             for i in range(len(w) - len(g) + 1):
                 if tuple(w[i : i + len(g)]) == g:
                     hit.update(range(i, i + len(g)))
-                    found.add(str(item_id))
-    return len(w), len(hit), sorted(found)
+                    found.add(item_id)
+    return len(w), len(hit), len(found), sorted(str(x) for x in found if x is not None)
 
 
 def test_decontamination(spark):
@@ -90,15 +90,21 @@ def test_decontamination(spark):
     d = d.unionByName(d.where("doc_id = 3")).unionByName(d.where("doc_id = 6").withColumn("doc_id", F.lit(None).cast("long")))
     got = decontam.judged(d, spark.createDataFrame(items, "item_id long, text string"), ["doc_id", "text"]).collect()
     assert len(got) == len(texts) + 2
-    want_items = [(str(i) if i is not None else None, t) for i, t in items]
     for r in got:
-        text = r.row__.text
-        n, hit, found = brute(text, [x for x in want_items if x[0] is not None])
-        nh = brute(text, want_items)[1]
-        assert (r.n_words, r.n_hit, list(r["items"])) == (n, nh, found), text
+        n, nh, k, named = brute(r.row__.text, items)
+        assert (r.n_words, r.n_hit, r.n_items, list(r["items"])) == (n, nh, k, named), r.row__.text
         assert r.contaminated == (nh > 0 and 20 * nh >= n)
 
 
+def test_joins_that_do_not_broadcast(spark, monkeypatch):
+    items = spark.createDataFrame([(k, " ".join(f"t{j}" for j in range(k, k + 16))) for k in range(0, 60, 4)], "item_id long, text string")
+    texts = ["pad " + " ".join(f"t{j}" for j in range(k, k + 20)) + " pad" for k in range(0, 60, 7)]
+    found = lambda: sorted(map(tuple, decontam.judged(docs(spark, texts), items, ["doc_id"]).collect()), key=str)
+    small = found()
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
+    assert found() == small and any(r[-1] for r in small)
+
+
 def test_decontamination_of_empty_tables(spark):
     some, none = docs(spark, ["a b"]), spark.createDataFrame([], "item_id long, text string")
     assert decontam.judged(some, none, ["doc_id"]).first().n_hit == 0
@@ -106,10 +112,21 @@ def test_decontamination_of_empty_tables(spark):
 
 
 def test_proximity(spark):
-    d = decontam.keyed(docs(spark, ["red x x blue", "red x x x x blue", "blue red", None]))
-    items = spark.createDataFrame([(1, "red blue")], "item_id long, text string")
-    got = {(r.key.id, r.start, r.stop) for r in decontam.proximity_matches(d, items, 4).collect()}
-    assert got == {(0, 0, 3), (2, 0, 1)}
+    texts = ["red x x blue", "red x x x x blue", "blue red", None, "the red the the blue the red", "the the the", "RED, Blue!", ""]
+    d = docs(spark, texts)
+    d = d.unionByName(d.where("doc_id = 2").withColumn("doc_id", F.lit(None).cast("long")))
+    items = [(1, "red blue"), (2, "the"), (None, "the red"), (4, "blue nowhere"), (5, ""), (6, None), (7, "Red red BLUE")]
+    got = sorted(((r.key.id, r.item_id, r.start, r.stop) for r in decontam.proximity_matches(decontam.keyed(d), spark.createDataFrame(items, "item_id long, text string"), 4).collect()), key=str)
+    want = []
+    for r in d.collect():
+        w = ALNUM.findall((r.text or "").translate(LOW))
+        for item_id, text in items:
+            terms = set(ALNUM.findall((text or "").translate(LOW)))
+            for i in range(len(w)):
+                at = [k for k in range(i, min(i + 4, len(w))) if w[k] in terms]
+                if w[i] in terms and {w[k] for k in at} == terms:
+                    want.append((r.doc_id, item_id, i, at[-1]))
+    assert got == sorted(want, key=str) and len(want) > 10
 
 
 def plan(sizes, n):
@@ -145,6 +162,51 @@ def test_sharding(spark, n):
     assert sharding.shard(docs(spark, []), n).count() == 0
 
 
+def balanced(sizes, n, cap):
+    """Loads of the shards, cut as the operator's docstring says, one group after another."""
+    sizes = sorted(sizes, reverse=True)
+    at = [0]
+    for s in sizes:
+        at.append(at[-1] + s)
+    m, back = len(sizes), [len(sizes)]
+    for _ in range(n):
+        back.append(next(r for r in range(m + 1) if at[r] >= at[back[-1]] - cap))
+    cuts = [0]
+    for j in range(n - 1):
+        r = cuts[-1]
+        fair = at[r] + (at[-1] - at[r]) // (n - j)
+        q = max(k for k in range(m + 1) if at[k] <= fair)
+        q += q < m and 2 * fair > at[q] + at[q + 1]
+        most = min(max(k for k in range(m + 1) if at[k] <= at[r] + cap), max(r + 1, m - (n - 1 - j)))
+        cuts.append(max(back[n - 1 - j], min(r + 1, m), min(most, q)))
+    return [at[b] - at[a] for a, b in zip(cuts, [*cuts[1:], m])]
+
+
+def test_a_large_group_leaves_no_shard_empty(spark):
+    texts = [f"text {k:06d}" for k in range(2000)] + ["copy 000000"] * 100
+    rows = sharding.shard(docs(spark, texts), 40).collect()
+    loads = [0] * 40
+    for r in rows:
+        loads[r.shard] += r.size
+    assert max(loads) == rows[0].capacity == 2700 and loads == balanced([27] * 2000 + [2700], 40, 2700)
+    assert min(loads) > 0.9 * sum(loads[1:]) / 39 and max(loads[1:]) < 1.1 * sum(loads[1:]) / 39
+
+
+@pytest.mark.parametrize("n", [2, 5, 7])
+def test_balanced_cuts(spark, n):
+    import random
+
+    r = random.Random(n)
+    texts = [f"{k} " + "x" * r.choice([0, 3, 3, 40, 200, 900]) for k in range(30)] + ["same"] * r.choice([1, 60])
+    rows = sharding.shard(docs(spark, texts), n).collect()
+    groups, loads = {}, [0] * n
+    for x in rows:
+        groups[x.text_crc32] = groups.get(x.text_crc32, 0) + x.size
+        loads[x.shard] += x.size
+    cap = plan(list(groups.values()), n)
+    assert loads == balanced(list(groups.values()), n, cap) and max(loads) <= cap
+
+
 def labelled(spark):
     texts = [f"fine prose number {k} with words" if k % 3 else f"idiot clown {k} with words" for k in range(120)] + [None, ""]
     d = docs(spark, texts)
