@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import house_ids, phonetic_class
 
+# fixed values: key families, their groups, frequency caps and candidate budgets
 NAME = ("n", "s", "np", "sp", "nl", "sl", "nx", "fn", "fs")
 ADDRESS = ("a1", "a2", "a4", "aa", "h0", "h1")
 FAMILIES = (*NAME, *ADDRESS)
@@ -25,12 +26,10 @@ CAP_SINGLE, CAP_PAIR, CAP_FULL = 300, 600, 2000
 BUDGETS = {"bs": 50, "bs_name": 20, "bs_pure": 15, "bs_addr": 25, "bs_num": 15}
 
 
-def first_tokens(tokens: Column, limit: int, least: int = 1, prefix: int | None = None) -> Column:
-    """First *limit* distinct tokens of at least *least* letters; cut to *prefix* letters if given."""
-    kept = F.filter(tokens, lambda t: F.length(t) >= least)
-    if prefix:
-        kept = F.transform(kept, lambda t: F.substring(t, 1, prefix))
-    return F.slice(F.array_distinct(kept), 1, limit)
+def first_tokens(tokens: Column, limit: int, least: int = 2, prefix: int | None = None) -> Column:
+    """Of the first *limit* distinct tokens, those of at least *least* letters; cut to *prefix* letters if given."""
+    kept = F.filter(F.slice(F.array_distinct(tokens), 1, limit), lambda t: F.length(t) >= max(least, prefix or 0))
+    return F.array_distinct(F.transform(kept, lambda t: F.substring(t, 1, prefix))) if prefix else kept
 
 
 def _singles(fam: str, tokens: Column) -> Column:
@@ -53,14 +52,15 @@ def _whole(fam: str, tokens: Column, least: int) -> Column:
 
 def key_array(families: tuple[str, ...] = FAMILIES) -> Column:
     """Array of (fam, key) of a record with core, skel, loc, street, nums (arrays) and raw_addr."""
-    core, skel2, skel3 = first_tokens(F.col("core"), 4), first_tokens(F.col("skel"), 4, 2), first_tokens(F.col("skel"), 4, 3)
-    loc, street, nums = first_tokens(F.col("loc"), 2), first_tokens(F.col("street"), 3, 3), first_tokens(F.col("nums"), 3)
-    pooled = first_tokens(F.concat("street", "loc"), 5, 3)
+    core, skel2, skel3 = first_tokens(F.col("core"), 4), first_tokens(F.col("skel"), 4), first_tokens(F.col("skel"), 4, 3)
+    loc, street, nums = first_tokens(F.col("loc"), 2), first_tokens(F.col("street"), 3, 3), first_tokens(F.col("nums"), 3, 1)
+    pooled = first_tokens(F.concat(F.slice("street", 1, 3), F.slice("loc", 1, 3)), 5, 3)
+    classes = F.transform(F.filter("skel", lambda t: F.length(t) >= 2), phonetic_class)
     ids = house_ids(F.coalesce("raw_addr", F.lit("")))
     build = {
         "n": lambda: _singles("n", core), "s": lambda: _singles("s", skel3), "np": lambda: _pairs("np", core), "sp": lambda: _pairs("sp", skel2),
-        "nl": lambda: _cross("nl", core, loc), "sl": lambda: _cross("sl", skel3, loc), "nx": lambda: _cross("nx", first_tokens(F.col("core"), 4, 4, 4), loc),
-        "fn": lambda: _whole("fn", F.col("core"), 3), "fs": lambda: _whole("fs", F.transform("skel", phonetic_class), 4),
+        "nl": lambda: _cross("nl", core, loc), "sl": lambda: _cross("sl", skel3, loc), "nx": lambda: _cross("nx", first_tokens(F.col("core"), 4, prefix=4), loc),
+        "fn": lambda: _whole("fn", F.col("core"), 3), "fs": lambda: _whole("fs", classes, 4),
         "a1": lambda: _cross("a1", nums, street), "a2": lambda: _cross("a2", nums, loc), "a4": lambda: _pairs("a4", nums), "aa": lambda: _pairs("aa", pooled),
         "h0": lambda: _singles("h0", ids), "h1": lambda: _cross("h1", ids, loc),
     }

@@ -66,17 +66,11 @@ def n10(spark: SparkSession, sf: str) -> DataFrame:
     """Alias markers between two part names."""
     names = run_sql(spark, sf, "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN concat(p_name, ' d/b/a ', p_type) WHEN 1 THEN concat(p_name, ' formerly known as ', p_type) WHEN 2 THEN concat('dba ', p_name) ELSE concat(p_name, ' aka ', p_type) END AS raw FROM part")
 
-    @F.pandas_udf("main string, alias string")
-    def run(s):
-        import pandas as pd
-
-        return pd.DataFrame([split_alias(x) for x in s.str.lower()], columns=["main", "alias"])
-
-    return names.select("p_partkey", run("raw").alias("x")).select("p_partkey", "x.main", "x.alias")
+    return names.select("p_partkey", split_alias(F.lower("raw")).alias("x")).select("p_partkey", "x.main", "x.alias")
 
 
 def n12(spark: SparkSession, sf: str) -> DataFrame:
-    vocab = {r.tok: r.n for r in run_sql(spark, sf, "SELECT tok, count(*) AS n FROM (SELECT explode(split(p_name, ' ')) AS tok FROM part) GROUP BY tok ORDER BY n DESC, tok LIMIT 1000").collect()}
+    vocab = {r.tok: r.n for r in run_sql(spark, sf, "SELECT tok, count(*) AS n FROM (SELECT explode(split(p_name, ' ')) AS tok FROM part) GROUP BY tok").collect()}
 
     @F.pandas_udf("string")
     def run(s):

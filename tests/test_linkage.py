@@ -19,6 +19,23 @@ def test_block_survives_typos_and_swaps(spark):
     assert got[1, 3].bs_name == 0 and got[1, 3].bs_addr > 0 and got[1, 2].nk_name > 0
 
 
+def test_key_families(spark):
+    """Every family on one record: the first tokens count, then their length."""
+    row = (1, "US", ["a", "bakery", "blue", "of", "river", "bakeries"], ["bkr", "bl", "rvr", "k", "zz"], ["salem", "x", "oregon"], ["oak", "st", "elm", "pine"], ["12", "7", "305", "9"], "C-0346 and 19-b, c12")
+    r = spark.createDataFrame([row], "idx long, country string, core array<string>, skel array<string>, loc array<string>, street array<string>, nums array<string>, raw_addr string")
+    got = {}
+    for x in blocking.keys(r, hashed=False).collect():
+        got.setdefault(x.fam, set()).add(x.key)
+    core, loc, nums, ids = ["bakery", "blue", "of"], ["salem"], ["12", "7", "305"], ["c346", "19b", "c12"]
+    pairs = lambda t: {f"{a}|{b}" for a in t for b in t if a < b}
+    cross = lambda a, b: {f"{x}|{y}" for x in a for y in b}
+    assert got == {
+        "n": set(core), "s": {"bkr", "rvr"}, "np": pairs(core), "sp": pairs(["bkr", "bl", "rvr"]), "nl": cross(core, loc), "sl": cross(["bkr", "rvr"], loc),
+        "nx": cross(["bake", "blue"], loc), "fn": {"a bakeries bakery blue of river"}, "fs": {"12r 1l 22 r1r"},
+        "a1": cross(nums, ["oak", "elm"]), "a2": cross(nums, loc), "a4": pairs(nums), "aa": pairs(["oak", "elm", "salem"]), "h0": set(ids), "h1": cross(ids, loc),
+    }
+
+
 def test_hashed_and_readable_keys_agree(spark):
     r = recs(spark, [(k, 1 + k % 3, "US", f"name{k % 5} word{k % 3}", f"{k % 4} Elm Road, Town{k % 2}") for k in range(60)])
     a, b = (blocking.block(r.where("src = 1"), r.where("src > 1"), hashed=h).select("s1_idx", "src", "t_idx", F.round("bs", 6), "nkeys").collect() for h in (True, False))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import similarity as sim
 from tessera.functions import text
-from tessera.functions.normalize import Learned, normalize, normalize_address, normalize_name, segment, split_alias
+from tessera.functions.normalize import Learned, normalize, segment, split_alias
 
 
 @pytest.mark.parametrize("raw, want", [
@@ -33,22 +33,61 @@ def test_ocr(spark):
     assert got == ["b00k", "smith", "clty", "a1", "abc1230", "500", "ab3c0"]
 
 
-def test_names():
-    assert normalize_name("ACME Private Limited") == ("acme private limited", ["acme"], ["ltd", "pvt"])
-    assert normalize_name("Zzyx d/b/a Blue Moon Cafe")[1] == ["blue", "moon", "cafe"]
-    assert normalize_name("| The Company") == ("the company", ["company"], ["co"])
-    assert normalize_name("bsservicescom")[0] == "bsservices"
-    assert normalize_name("A.B. Foods & Co.")[0] == "ab foods and co"
-    assert normalize_name(None) == ("", [], [])
-    assert split_alias("blue aka red") == ("blue aka red", "") and split_alias("dba red") == ("dba red", "")
-
-
-def test_addresses():
-    tokens, nums, hno, state, loc, street = normalize_address("12 1/2 Main Street, 1st floor, Springfield, IL", "US")
-    assert (hno, state, loc) == ("12", "st_illinois", ["springfield"]) and "main" in street and nums == ["12", "1"]
-    assert normalize_address("2nd Street 007", "US")[2] == "7"
-    assert normalize_address(None, None) == ([], [], "", "", [], [])
-    assert normalize_address("5 rue X, Bretagne", "France", Learned(admin={"France": frozenset({"bretagne"})}))[4] == []
+def normal(spark, rows, learned=Learned()):
+    """Normalised records of (name, address, country) rows, in order."""
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "idx int, business_name string, business_address string, country string")
+    return sorted(normalize(df, learned=learned).collect(), key=lambda r: r.idx)
+
+
+def test_names(spark):
+    want = {
+        "ACME Private Limited": ("acme private limited", ["acme"], ["ltd", "pvt"]),
+        "Zzyx d/b/a Blue Moon Cafe": ("blue moon cafe", ["blue", "moon", "cafe"], []),
+        "| The Company": ("the company", ["company"], ["co"]),
+        " | ": ("", [], []),
+        "bsservicescom": ("bsservices", ["bsservices"], []),
+        "telecom": ("telecom", ["telecom"], []),
+        "https://www.bluemoon.co.in": ("bluemoon", ["bluemoon"], []),
+        "A.B. Foods & Co.": ("ab foods and co", ["ab", "foods"], ["co"]),
+        "Foods Foods Inc Foods": ("foods inc", ["foods"], ["inc"]),
+        "The Of And": ("the of and", ["the", "of", "and"], []),
+        "Pvt Ltd": ("pvt ltd", ["pvt", "ltd"], ["ltd", "pvt"]),
+        "Crème Brûlée SARL": ("creme brulee sarl", ["creme", "brulee"], ["sarl"]),
+        "राम प्राइवेट लिमिटेड": ("ram praivet limited", ["ram"], ["ltd", "pvt"]),
+        None: ("", [], []), "": ("", [], []),
+    }
+    got = normal(spark, [(n, None, "US") for n in want])
+    assert [(r.name_norm, r.core, r.legal) for r in got] == list(want.values())
+    words = normal(spark, [("राम", None, None), ("ram", None, None)], Learned(words={"ram": "rama"}))
+    assert [r.core for r in words] == [["rama"], ["ram"]]
+
+
+def test_alias_markers(spark):
+    want = {
+        "zzyx d/b/a blue moon": ("zzyx", "blue moon"), "zzyx (formerly known as blue)": ("zzyx", "blue"), "blue aka red": ("blue aka red", ""), "dba red": ("dba red", ""),
+        "dba red dba blue": ("dba red", "blue"), "red trading as: blue fka green": ("red", "blue fka green"), "red dba": ("red dba", ""), "red dbase blue": ("red dbase blue", ""), "": ("", ""),
+    }
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate(want)], "k int, n string").select("k", split_alias(F.col("n")).alias("x")).collect()
+    assert [tuple(r.x) for r in sorted(rows)] == list(want.values())
+
+
+def test_addresses(spark):
+    rows = {
+        ("12 1/2 Main Street, 1st floor, Springfield, IL", "US"): ("12 main st 1st fl springfield st_illinois", ["12", "1"], "12", "st_illinois", ["springfield"], ["main"]),
+        ("2nd Street 007", "US"): ("2nd st 007", ["2", "7"], "7", "", [], []),
+        ("2nd Street", "US"): ("2nd st", ["2"], "2", "", [], []),
+        ("Plot 4-B, Shop No 00, Near City Mall, Anna Nagar, Chennai, Tamil Nadu, 600040", "India"): (
+            "4 b 00 nr mall anna ngr chennai st_tamilnadu 600040", ["4", "0", "600040"], "4", "st_tamilnadu", ["chennai", "anna", "mall"], []),
+        ("New York, NY, newyork", "US"): ("st_newyork ny newyork", [], "", "st_newyork", ["newyork", "ny"], []),
+        ("5 rue X, Bretagne", "France"): ("5 rue x bretagne", ["5"], "5", "", ["bretagne"], []),
+        ("Goa, Goa", None): ("goa goa", [], "", "", ["goa"], []),
+        (" , ,", "US"): ("", [], "", "", [], []), (None, "US"): ("", [], "", "", [], []),
+    }
+    got = normal(spark, [(None, a, c) for a, c in rows])
+    for (address, _), want, r in zip(rows, rows.values(), got):
+        assert (r.addr_norm, r.nums, r.hno, r.state, r["loc"], r.street) == want, address
+    got = normal(spark, [(None, "5 rue X, Bretagne, Autre", "France")], Learned(admin={"France": frozenset({"bretagne"})}, states={"France": {"autre": "st_autre"}}))
+    assert (got[0]["loc"], got[0].state) == ([], "st_autre")
 
 
 def test_clashing_names_give_way(spark):
