@@ -7,6 +7,8 @@ lineage and survives lost executors: a lost task is simply run again from the fi
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{LOCAL_FALLBACK}"
 
 
+#: Paths made in the scopes that are open, innermost last.
+_scopes: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex[:12]}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """The paths made inside; those that are still listed at the end are deleted.  Nothing lazy may read them any more."""
+    _scopes.append(made := [])
+    try:
+        yield made
+    finally:
+        _scopes.pop()
+        for path in made:
+            forget(spark, path)
 
 
 def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
