@@ -1,7 +1,7 @@
 """Corpus preparation: five stages over the documents table.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; :func:`run` writes each result to the
-shared folder and gives it, read again, to the next stage.
+shared folder and gives it, read again, to the next stage; what a stage wrote besides is deleted then.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from tessera.llm.minhash import minhash_stage
 from tessera.llm.mixing import mixing_stage
 from tessera.llm.quality import quality_stage
 from tessera.llm.sharding import shard_stage
-from tessera.llm.store import stage, table
+from tessera.llm.store import forget, scratch, stage, table
 
 STAGES = [
     ("quality rules", quality_stage),
@@ -28,7 +28,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, apply in STAGES:
-        docs = stage(apply(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as made:  # only the stage's result outlives it
+            docs = stage(apply(spark, docs, sf_dir), name.replace(" ", "-"))
+            result = made.pop()
+        if before:
+            forget(spark, before)
+        before = result
     return docs
