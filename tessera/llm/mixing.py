@@ -4,10 +4,11 @@ A multinomial logistic regression, fitted on the labelled table, gives every doc
 domains.  A document then belongs to every domain by its posterior, and nonnegative document rates
 are fitted so that the expected domain token totals  S_k = sum_i rate_i * tokens_i * p_ik  meet the
 targets in the least-squares sense, by projected gradient.  Squares are weighted by the inverse Gram
-matrix of the posteriors of documents that are free to move, which is the scale on which one step
-settles every total that the bounds do not hold back.  Each round is one aggregate over a compact
-table (id, tokens, posteriors): a sum for each domain and each pair of domains.  The rates are an
-expression of those sums.  Nothing else leaves the executors.
+matrix of the posteriors of all documents; on that scale a gradient step of length one never raises the
+sum of squares.  Where rates are at their bound, longer steps pay off: each round tries ``STEPS`` of that
+gradient and of the one scaled by the Gram matrix of the free documents, all in one aggregate over a
+compact table (id, tokens, posteriors), and takes the best.  The rates are an expression of such sums.
+Nothing else leaves the executors.
 
 The classifier is fitted on about ``MAX_LABELLED`` labelled documents (all, if they are fewer), chosen by
 a hash of their id, and keeps the ``VOCABULARY`` most telling features; both bounds hold at every input size.
@@ -15,7 +16,8 @@ Everything else (scores, totals, gradients) covers all documents.
 
 Edge cases: labels that are null in the id or in either label are ignored; without any label every
 posterior is uniform; a null or empty text has no tokens, its prior as posterior, and no weight in
-the totals; a domain without mass is left out of the fit, and a total that misses its target is warned of; an empty table gives an empty result;
+the totals; a domain without documents of its own (``LEAST_OWN``) is left out of the fit, and every total that
+misses its target is warned of; an empty table gives an empty result;
 repeated rows get equal rates; repeated labels of one id count once (the least); null document ids
 pass through; extra columns are ignored, or pass through in :func:`mix`.
 """
@@ -40,12 +42,19 @@ VOCABULARY, LEAST_DOCS, LEAST_NATS = 400, 5, 20.0
 FIT_ROUNDS, RIDGE = 60, 1e-3
 #: Rounds of the rates, at most; they end when every total is this near to its target, as a share of the budget.
 ROUNDS, TOLERANCE = 30, 1e-5
+#: Mean posterior, over a domain's own expected tokens, below which it has no documents of its own: its mass is what the
+#: classifier spreads over documents of other domains, and lifting it would only repeat those.
+LEAST_OWN = 0.1
+#: Lengths tried by the Gram matrix of the free documents, and by that of all.
+STEPS = (1.0, 0.5, 0.2, 0.05), (1.0, 3.0, 10.0, 40.0)
 #: A total further than this from its target, as a share of the budget, is warned of.
 MISS = 1e-3
 #: Upper end of the projection: rates are only nonnegative, so that a domain of little mass meets its target too.
 MAX_RATE = math.inf
 #: Target share of tokens by domain (quality, toxic).
 TARGETS = {"clean": 0.95, "toxic": 0.03, "low": 0.015, "low_toxic": 0.005}
+#: Target shares in the pipeline, where documents of low quality have gone already: by toxicity alone.
+STAGE_TARGETS = {"clean": 0.965, "toxic": 0.035}
 #: The budget makes clean documents, as they stand, this many times their tokens.
 CLEAN_RATE = 1.1
 
@@ -139,45 +148,57 @@ def fit_rates(scored: DataFrame, targets: list[float], budget: float | None = No
 
     p, t = F.col("p"), F.col("n_tokens")
 
-    def sums(rate: Column) -> tuple[list[float], list[list[float]]]:
-        """Totals at *rate*, and the Gram matrix of the documents that it leaves between the bounds."""
-        free = F.when(F.col("_r") > 0, t)
+    def totals(rates: list[Column]) -> list[list[float]]:
+        """Totals at each of *rates*."""
+        rows = scored.select("p", "n_tokens", *[r.alias(f"_r{i}") for i, r in enumerate(rates)])
+        row = rows.agg(*[F.sum(F.col(f"_r{i}") * t * p[j]) for i in range(len(rates)) for j in range(k)]).first()
+        return [[x or 0.0 for x in row[i * k : (i + 1) * k]] for i in range(len(rates))]
+
+    def gram_of(rate: Column) -> list[list[float]]:
+        """Gram matrix of the documents that *rate* leaves above the bound."""
         cells = [(i, j) for i in range(k) for j in range(i, k)]
-        row = scored.select("p", "n_tokens", rate.alias("_r")).agg(
-            *[F.sum(F.col("_r") * t * p[j]) for j in range(k)], *[F.sum(free * p[i] * p[j]) for i, j in cells]
-        ).first()
-        row = [x or 0.0 for x in row]
+        free = F.when(F.col("_r") > 0, t)
+        row = scored.select("p", "n_tokens", rate.alias("_r")).agg(*[F.sum(free * p[i] * p[j]) for i, j in cells]).first()
         gram = [[0.0] * k for _ in range(k)]
-        for (i, j), x in zip(cells, row[k:]):
-            gram[i][j] = gram[j][i] = x
-        return row[:k], gram
+        for (i, j), x in zip(cells, row):
+            gram[i][j] = gram[j][i] = x or 0.0
+        return gram
 
     rate: Column = F.lit(1.0)
-    now, gram = sums(rate)
+    (now,), full = totals([rate]), gram_of(rate)
+    gram = full
     budget = clean_rate * now[0] / targets[0] if budget is None else budget
     want = [w * budget for w in targets]
+    fitted = [x > 0 and full[j][j] >= LEAST_OWN * x for j, x in enumerate(now)]
+
+    def miss(totals: list[float]) -> list[float]:
+        return [a - b if f else 0.0 for a, b, f in zip(totals, want, fitted)]
+
+    def squares(totals: list[float]) -> float:
+        return sum(a * b for a, b in zip(miss(totals), _solve(full, miss(totals), fitted)))
+
     for _ in range(ROUNDS):
-        if all(abs(a - b) <= TOLERANCE * budget for a, b in zip(now, want)):
-            break
-        move = _solve(gram, [a - b for a, b in zip(now, want)])
-        if not any(move):
+        if all(abs(x) <= TOLERANCE * budget for x in miss(now)):
             break
-        rate = F.greatest(F.lit(0.0), rate - sum((p[j] * m for j, m in enumerate(move)), F.lit(0.0)))
-        before = now
-        now, gram = sums(rate)
-        if all(abs(a - b) <= 1e-9 * budget for a, b in zip(now, before)):
+        moves = [[x * step for x in _solve(matrix, miss(now), fitted)] for matrix, steps in zip((gram, full), STEPS) for step in steps]
+        tried = [F.greatest(F.lit(0.0), rate - sum((p[j] * m for j, m in enumerate(move)), F.lit(0.0))) for move in moves]
+        reached = totals(tried)
+        best = min(range(len(tried)), key=lambda i: squares(reached[i]))
+        if squares(reached[best]) >= (1 - 1e-6) * squares(now):
             break
+        rate, now = tried[best], reached[best]
+        gram = gram_of(rate)
     return rate, now, want
 
 
-def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
-    """The solution of a small system; directions in which the matrix has no weight are left alone."""
+def _solve(matrix: list[list[float]], right: list[float], fitted: list[bool]) -> list[float]:
+    """The solution of a small system over the *fitted* domains; directions in which the matrix has no weight are left alone."""
     n = len(right)
-    top = max((matrix[i][i] for i in range(n)), default=0.0)
+    top = max((matrix[i][i] for i in range(n) if fitted[i]), default=0.0)
     rows = [[*matrix[i], right[i]] for i in range(n)]
     for i in range(n):
         rows[i][i] += 1e-9 * top
-    used = [i for i in range(n) if matrix[i][i] > 1e-9 * top]
+    used = [i for i in range(n) if fitted[i] and matrix[i][i] > 1e-9 * top]
     for i in used:
         for r in used:
             if r != i:
@@ -215,6 +236,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document appears as often as its copies say, which may be never."""
-    mixed = mix(docs, _labels(spark, sf_dir)).where("copies > 0")
+    """Pipeline stage: each document appears as often as its copies say, which may be never; domains are those of STAGE_TARGETS."""
+    labels = table(spark, sf_dir, "labels").where("toxic IS NOT NULL").select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("domain"))
+    mixed = mix(docs, labels, STAGE_TARGETS).where("copies > 0")
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row__.*")

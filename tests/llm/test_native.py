@@ -251,6 +251,58 @@ def test_mixing_warns_of_missed_targets(spark):
         mixing.mix(d, lab, {"clean": 0.6, "toxic": 0.2, "none": 0.2})
 
 
+def least_squares(t, p, want, rounds=1000):
+    """Totals of the nonnegative rates of least weighted squares, one rate after another (coordinate descent)."""
+    import numpy as np
+
+    a = (t[:, None] * p).T
+    weight = np.linalg.inv(a @ p)
+    r, s = np.ones(len(t)), a.sum(1)
+    for _ in range(rounds):
+        for j in np.flatnonzero(t):
+            g, h = a[:, j] @ weight @ (s - want), a[:, j] @ weight @ a[:, j]
+            new = max(0.0, r[j] - g / h)
+            s, r[j] = s + a[:, j] * (new - r[j]), new
+    return s
+
+
+@pytest.mark.parametrize("targets", [[0.6, 0.3, 0.1], [0.05, 0.05, 0.9], [0.98, 0.0, 0.02], [0.2, 0.8, 0.0]])
+def test_rates_are_the_least_squares(spark, targets):
+    """Totals against an independent solution, with rates at their bound and targets out of reach."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    p = r.dirichlet([0.5, 0.4, 0.3], 40) * 0.7 + 0.1
+    p /= p.sum(1, keepdims=True)
+    t = r.integers(0, 300, 40)
+    scored = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(t, p)], "n_tokens long, p array<double>")
+    budget = 1.3 * float(t.sum())
+    rate, reached, want = mixing.fit_rates(scored, targets, budget)
+    rates = np.array([x.r for x in scored.select(rate.alias("r")).collect()])
+    assert rates.min() >= 0 and ((t * rates)[:, None] * p).sum(0) == pytest.approx(reached)
+    best = least_squares(t.astype(float), p, np.array(want))
+    weight = np.linalg.inv((t[:, None] * p).T @ p)
+    cost = lambda s: (s - np.array(want)) @ weight @ (s - np.array(want))
+    start = cost((t[:, None] * p).sum(0))
+    assert cost(np.array(reached)) <= cost(best) + 2e-3 * start
+    assert reached == pytest.approx(best, abs=0.02 * budget)
+
+
+def test_domains_without_documents_are_not_lifted(spark):
+    """Mass that the classifier spreads thinly over documents of other domains is no reason to repeat them."""
+    scored = spark.createDataFrame([(100, [0.98 - 0.0001 * k, 0.02 + 0.0001 * k]) for k in range(100)], "n_tokens long, p array<double>")
+    rate, reached, want = mixing.fit_rates(scored, [0.7, 0.3])
+    rates = [x.r for x in scored.select(rate.alias("r")).collect()]
+    assert max(rates) < 1.5 and min(rates) > 0.8 and reached[0] == pytest.approx(want[0], rel=1e-3)
+
+
+def test_repeated_labels(spark):
+    d, lab = labelled(spark)
+    once = mixing.mix(d, lab, {"clean": 0.8, "toxic": 0.2}).collect()
+    twice = mixing.mix(d, lab.unionByName(lab).unionByName(lab.where("doc_id = 0").withColumn("domain", F.lit("zz"))), {"clean": 0.8, "toxic": 0.2}).collect()
+    assert {r.row__.doc_id: round(r.rate, 6) for r in once} == {r.row__.doc_id: round(r.rate, 6) for r in twice}
+
+
 def test_mixing_without_labels_or_rows(spark):
     d, lab = labelled(spark)
     rows = mixing.mix(d, lab.limit(0), {"clean": 0.5, "toxic": 0.5}).collect()
