@@ -81,8 +81,8 @@ def d05(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("s1_idx", *[F.round(F.coalesce(F.get("d", F.lit(k)), F.lit(0.0)) + 1.23e-7, 5).alias(f"p{k}") for k in range(3)])
 
 
-#: the chance of each subset of at most six pairs: the oracle enumerates what the operator folds
-_SUBSETS = """sets AS (SELECT s1_idx, list(p ORDER BY p DESC, src, t_idx)[1:6] AS ps FROM scores GROUP BY s1_idx),
+#: the chance of each subset of a record's pairs: the oracle enumerates what the operator folds
+_SUBSETS = """sets AS (SELECT s1_idx, list(p ORDER BY p DESC, src, t_idx) AS ps FROM scores GROUP BY s1_idx),
   sub AS (SELECT s1_idx, ps, len(ps) AS n, m, list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(len(ps)), lambda i: CASE WHEN (m >> i::INTEGER) & 1 = 1 THEN ps[i + 1] ELSE 1 - ps[i + 1] END)), lambda a, b: a * b) AS w
     FROM (SELECT s1_idx, ps, unnest(range((1 << len(ps)::INTEGER)::BIGINT)) AS m FROM sets))"""
 
