@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.metric import f05
+
 BETA2 = 0.25
 PAIR = ["s1_idx", "src", "t_idx"]
 
@@ -136,11 +138,119 @@ def select_exact(scores: DataFrame, prm: Params = Params(), max_n: int = 40) ->
     return rows.join(best, "s1_idx").where((F.col("k") <= F.col("best_k")) & F.col("ok") & (F.col("p") >= prm.floor)).select(*PAIR, "p")
 
 
+#: Points of a grid, at most: they travel in the plan as literals.
+MAX_POINTS = 10_000
+
+
+def _points(points: DataFrame) -> list[dict]:
+    """The points as rows of the driver: a parameter list that somebody wrote, of at most MAX_POINTS."""
+    rows = [{"coh": 0.0, **r.asDict()} for r in points.limit(MAX_POINTS + 1).collect()]
+    if len(rows) > MAX_POINTS:
+        raise ValueError(f"a grid has at most {MAX_POINTS} points")
+    return rows
+
+
+def _record_sets(scores: DataFrame, points: list[dict]) -> DataFrame:
+    """One row a record: for each weight of competing odds in *points*, its pairs in order of preference, the sum and the chance of none.
+
+    One window over the targets serves all weights: p' rises with p among the pairs of a target, so the best
+    and the runner-up are the same at each, and what p' is follows from three numbers (odds, the runner-up's
+    odds, the target's total).
+    """
+    p = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), F.col("p")))
+    rows = scores.select(*PAIR, "p").withColumn("_o", p / (1 - p))
+    best = W.partitionBy("src", "t_idx").orderBy(F.desc("p"), "s1_idx")
+    whole = best.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = rows.withColumns({
+        "_first": F.row_number().over(best) == 1, "_p2": F.nth_value("p", 2).over(whole), "_o2": F.nth_value("_o", 2).over(whole), "_total": F.sum("_o").over(whole),
+    })
+    aggs = []
+    for n, c in enumerate(sorted({pt["coh"] for pt in points})):
+        def at(odds: str, plain: str, c: float = c) -> Column:
+            return F.col(odds) / (1 + F.col(odds) + F.lit(c) * (F.col("_total") - F.col(odds))) if c else F.col(plain)
+
+        mine = at("_o", "p")
+        lead = F.when(F.col("_first"), F.round(mine - F.coalesce(at("_o2", "_p2"), F.lit(0.0)), 9))
+        pair = F.struct((-mine).alias("np"), "src", "t_idx", mine.alias("p"), lead.alias("lead"))
+        none = F.when(F.max(mine) >= 1, F.lit(0.0)).otherwise(F.exp(F.sum(F.log1p(-mine))))
+        aggs += [F.array_sort(F.collect_list(pair)).alias(f"ps{n}"), F.sum(mine).alias(f"sum{n}"), none.alias(f"none{n}")]
+    return rows.groupBy("s1_idx").agg(*aggs)
+
+
+def _fold(pairs: Column, total: Column, none: Column, pt: dict, hit=None) -> Column:
+    """(value, -k, kept, hits) of the best prefix of *pairs* at point *pt*: k is 0 where the empty set is no worse."""
+    zero = F.lit(0)
+    empty = F.struct(F.round(none * F.lit(float(pt["empty_bias"])), 9).alias("value"), zero.alias("k"), zero.alias("kept"), zero.alias("hits"))
+    start = F.struct(F.lit(0.0).alias("gain"), zero.alias("k"), zero.alias("kept"), zero.alias("hits"), empty.alias("best"))
+    share = BETA2 * (total + F.lit(float(pt["m0"])))
+
+    def step(s: Column, x: Column) -> Column:
+        keep = x["p"] >= F.lit(float(pt["floor"]))
+        gain, k, kept = s["gain"] + x["p"], s["k"] + 1, s["kept"] + F.when(keep, 1).otherwise(0)
+        hits = s["hits"] + (F.when(keep & hit(x), 1).otherwise(0) if hit else zero)
+        value = F.round((1 + BETA2) * gain / (share + k), 9)
+        best = F.greatest(s["best"], F.struct(value.alias("value"), (-k).alias("k"), kept.alias("kept"), hits.alias("hits")))
+        return F.struct(gain.alias("gain"), k.alias("k"), kept.alias("kept"), hits.alias("hits"), best.alias("best"))
+
+    return F.aggregate(_usable(pairs, pt), start, step, lambda s: s["best"])
+
+
+def _usable(pairs: Column, pt: dict) -> Column:
+    return F.filter(pairs, lambda x: x["lead"] >= F.lit(float(pt["margin"])))
+
+
 def grid(scores: DataFrame, points: DataFrame) -> DataFrame:
-    """Choices for every parameter point at once; *points* has point, margin, floor, m0, empty_bias (a few rows)."""
-    # a stated, bounded list of points: each scored pair is seen once for each of them
-    rows = scores.select(*PAIR, "p").join(F.broadcast(points))
-    return select_with(rows, F.col("margin"), F.col("floor"), F.col("m0"), F.col("empty_bias"), keys=["point"]).select("point", *PAIR, "p")
+    """point, pair and p of the choices at every point; *points* has point, margin, floor, m0, empty_bias and maybe coh.
+
+    Points are weighed inside the row of a record, whose pairs are a few dozen; neither shuffle nor sort grows with the grid.
+    """
+    pts = _points(points)
+    if not pts:
+        return scores.select(F.lit(0).alias("point"), *PAIR, "p").where("false")
+    sets = _record_sets(scores, pts)
+    which = sorted({pt["coh"] for pt in pts})
+
+    def chosen(pt: dict) -> Column:
+        n = which.index(pt["coh"])
+        k = -_fold(F.col(f"ps{n}"), F.col(f"sum{n}"), F.col(f"none{n}"), pt)["k"]
+        kept = F.filter(F.slice(_usable(F.col(f"ps{n}"), pt), F.lit(1), k), lambda x: x["p"] >= F.lit(float(pt["floor"])))
+        return F.transform(kept, lambda x: F.struct(F.lit(pt["point"]).alias("point"), x["src"].alias("src"), x["t_idx"].alias("t_idx"), x["p"].alias("p")))
+
+    return sets.select("s1_idx", F.explode(F.concat(*map(chosen, pts))).alias("c")).select("c.point", "s1_idx", "c.src", "c.t_idx", "c.p")
+
+
+def tune(scores: DataFrame, truth: DataFrame, ids: DataFrame, points: DataFrame, by: str | None = None) -> DataFrame:
+    """(by, point, n, f05): macro F0.5 over the records of *ids* at every point of a grid, by column *by* of *ids* if given.
+
+    Scores and truth meet in the row of a record; each task sends one partial sum for each point and group.
+    Records without scores count with the empty set; scores of records that *ids* does not have are left out.
+    """
+    pts = _points(points)
+    which = sorted({pt["coh"] for pt in pts})
+    wanted = truth.select(*PAIR).distinct().groupBy("s1_idx").agg(F.collect_list(F.struct("src", "t_idx")).alias("_true"))
+    keep = ["s1_idx"] + ([by] if by else [])
+    rows = ids.select(*keep).join(_record_sets(scores, pts), "s1_idx", "left").join(wanted, "s1_idx", "left")
+    n_true = F.coalesce(F.size("_true"), F.lit(0))
+
+    def hit(x: Column) -> Column:
+        return F.coalesce(F.array_contains("_true", F.struct(x["src"].alias("src"), x["t_idx"].alias("t_idx"))), F.lit(False))
+
+    values = []
+    for pt in pts:
+        n = which.index(pt["coh"])
+        pairs = F.coalesce(F.col(f"ps{n}"), F.array().cast("array<struct<np:double,src:int,t_idx:bigint,p:double,lead:double>>"))
+        values.append(_fold(pairs, F.col(f"sum{n}"), F.col(f"none{n}"), pt, hit))
+    rows = rows.select(*keep[1:], n_true.alias("n_true"), F.posexplode(F.array(*values)).alias("_i", "_b"))
+    scored = rows.select(*keep[1:], "_i", "n_true", F.col("_b.kept").alias("n_pred"), F.col("_b.hits").alias("tp"))
+    sums = scored.groupBy(*keep[1:], "_i").agg(F.count("*").alias("n"), F.avg(f05()).alias("f05"))
+    point = F.element_at(F.array(*[F.lit(pt["point"]) for pt in pts]), F.col("_i") + 1)
+    return sums.select(*keep[1:], point.alias("point"), "n", "f05")
+
+
+def best_points(tuned: DataFrame, by: str | None = None) -> DataFrame:
+    """The best point of each group of :func:`tune`'s result, the smaller of equals."""
+    best = F.min_by(F.struct(*tuned.columns), F.struct(-F.col("f05"), F.col("point"))).alias("b")
+    return tuned.groupBy(*([by] if by else [])).agg(best).select("b.*")
 
 
 def select_by_country(scores: DataFrame, countries: DataFrame, points: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from tessera.plans.roles import role, run_sql, sql_query, with_roles
 BEST = Params(margin=0.1, m0=0.5, empty_bias=2.5, coh=1.0)
 PLAIN = Params(m0=0.5, empty_bias=2.5)
 POINTS = [(i, m, 0.0, m0, b) for i, (m, m0, b) in enumerate((m, m0, b) for m in (0.0, 0.1) for m0 in (0.2, 0.5) for b in (1.0, 2.5))]
+#: (point, margin, floor, m0, empty_bias, coh)
+COH_POINTS = [(0, 0.0, 0.0, 0.5, 2.5, 0.0), (1, 0.1, 0.0, 0.5, 2.5, 1.0), (2, 0.0, 0.3, 0.2, 1.0, 1.0), (3, 0.05, 0.0, 0.5, 1.5, 0.5)]
 BY_COUNTRY = [("1-URGENT", 0.1, 0.0, 0.5, 2.5), ("2-HIGH", 0.0, 0.0, 0.2, 1.0), ("3-MEDIUM", 0.05, 0.3, 0.5, 1.5), ("4-NOT SPECIFIED", 0.0, 0.0, 0.0, 1.0), ("5-LOW", 0.1, 0.2, 0.75, 2.0)]
 
 
@@ -98,33 +100,27 @@ def _ef_sql(k: int) -> str:
     return f"CASE WHEN max(n) >= {k} THEN round(sum(w * 1.25::DOUBLE * bit_count(m & {2**k - 1}) / ({k} + 0.25::DOUBLE * (bit_count(m) + 0.5))), 5) ELSE -1 END"
 
 
+def _tuned(spark: SparkSession, sf: str, by: str | None = None) -> DataFrame:
+    ids = role(spark, sf, "s1").withColumn("half", decide.half_of("s1_idx"))
+    return _r(decide.tune(role(spark, sf, "scores"), role(spark, sf, "truth"), ids, points(spark), by), "f05")
+
+
 def d09(spark: SparkSession, sf: str) -> DataFrame:
-    """Every point of the grid scored in one job, best first."""
-    chosen = decide.grid(role(spark, sf, "scores"), points(spark))
-    truth, ids = role(spark, sf, "truth"), role(spark, sf, "s1")
-    hits = chosen.join(truth.withColumn("_t", F.lit(1)), ["s1_idx", "src", "t_idx"], "left").groupBy("point", "s1_idx").agg(F.count("*").alias("n_pred"), F.sum(F.coalesce("_t", F.lit(0))).alias("tp"))
-    n_true = truth.groupBy("s1_idx").agg(F.count("*").alias("n_true"))
-    # records without a choice add the same amount at every point: 1 if they have no match
-    every = ids.join(n_true, "s1_idx", "left").fillna(0, ["n_true"])
-    base = every.agg(F.count("*").alias("n"), F.count_if(F.col("n_true") == 0).alias("n0"))
-    got = hits.join(every.select("s1_idx", "n_true"), "s1_idx").groupBy("point").agg(F.sum(metric.f05()).alias("f"), F.count_if(F.col("n_true") == 0).alias("taken"))
-    out = points(spark).join(got, "point", "left").fillna(0, ["f", "taken"]).join(F.broadcast(base))
-    return out.select("point", "margin", "m0", "empty_bias", F.round((F.col("f") + F.col("n0") - F.col("taken")) / F.col("n"), 6).alias("f05"))
+    """Every point of the grid scored in one job."""
+    return points(spark).drop("floor").join(F.broadcast(_tuned(spark, sf).select("point", "f05")), "point")  # a row a point
+
+
+def d09_coherent(spark: SparkSession, sf: str) -> DataFrame:
+    """A grid with the weight of competing odds as a parameter."""
+    pts = spark.createDataFrame(COH_POINTS, "point int, margin double, floor double, m0 double, empty_bias double, coh double")
+    return _r(decide.tune(role(spark, sf, "scores"), role(spark, sf, "truth"), role(spark, sf, "s1"), pts), "f05").select("point", "f05")
 
 
 def d12(spark: SparkSession, sf: str) -> DataFrame:
     """The best point of one hash half, scored on the other."""
-    chosen = decide.grid(role(spark, sf, "scores"), points(spark))
-    ids = role(spark, sf, "s1")
-    truth = role(spark, sf, "truth")
-    pts = points(spark).select("point")
-    every = ids.select("s1_idx", decide.half_of("s1_idx").alias("half")).join(F.broadcast(pts))
-    n_true = truth.groupBy("s1_idx").agg(F.count("*").alias("n_true"))
-    hits = chosen.join(truth.withColumn("_t", F.lit(1)), ["s1_idx", "src", "t_idx"], "left").groupBy("point", "s1_idx").agg(F.count("*").alias("n_pred"), F.sum(F.coalesce("_t", F.lit(0))).alias("tp"))
-    rows = every.join(n_true, "s1_idx", "left").join(hits, ["point", "s1_idx"], "left").fillna(0, ["n_true", "n_pred", "tp"])
-    by = rows.groupBy("half", "point").agg(F.round(F.avg(metric.f05()), 6).alias("f05"))
-    best = by.groupBy("half").agg(F.min_by("point", F.struct(-F.col("f05"), F.col("point"))).alias("point"))
-    return best.select((1 - F.col("half")).alias("half"), "point").join(by, ["half", "point"]).select(F.col("half").cast("int").alias("half"), "point", "f05")
+    by = _tuned(spark, sf, "half")
+    best = decide.best_points(by, "half")
+    return best.select((1 - F.col("half")).alias("half"), "point").join(by, ["half", "point"]).select("half", "point", "f05")
 
 
 def d13(spark: SparkSession, sf: str) -> DataFrame:
@@ -218,6 +214,10 @@ _GRID_REC = f"""{_GRID}, h AS (SELECT point, c.s1_idx, count(*) AS n_pred, count
   n AS (SELECT s1_idx, count(*) AS n_true FROM truth GROUP BY s1_idx),
   r AS (SELECT pts.point, margin, m0, empty_bias, (s1.s1_idx * 2654435761) % 1000 < 500 AS half, CASE WHEN coalesce(n_pred, 0) + coalesce(n_true, 0) = 0 THEN 1.0 WHEN coalesce(tp, 0) = 0 THEN 0.0 ELSE 1.25::DOUBLE * tp / (0.25::DOUBLE * coalesce(n_true, 0) + n_pred) END AS f
     FROM s1 CROSS JOIN pts LEFT JOIN n ON n.s1_idx = s1.s1_idx LEFT JOIN h ON h.point = pts.point AND h.s1_idx = s1.s1_idx)"""
+_COH_GS = "pts AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {m}::DOUBLE, {f}::DOUBLE, {m0}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for i, m, f, m0, b, c in COH_POINTS) + """) v(point, margin, floor, m0, empty_bias, coh)),
+  gs AS (SELECT s1_idx, src, t_idx, CASE WHEN coh = 0 THEN p0 ELSE o / (1 + o + coh * (tt - o)) END AS p, point, margin, floor, m0, empty_bias
+    FROM (SELECT s1_idx, src, t_idx, p AS p0, p / (1 - p) AS o, sum(p / (1 - p)) OVER (PARTITION BY src, t_idx) AS tt FROM scores) CROSS JOIN pts)"""
+_COH_REC = _GRID_REC.replace(_JOIN_POINTS, _COH_GS)
 _COUNTRY = "cp AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {m}::DOUBLE, {f}::DOUBLE, {m0}::DOUBLE, {b}::DOUBLE)" for c, m, f, m0, b in BY_COUNTRY) + ") v(country, margin, floor, m0, empty_bias)), cs AS (SELECT s.*, cp.* FROM scores s JOIN s1 ON s.s1_idx = s1.s1_idx JOIN cp ON cp.country = s1.country)"
 _Q0 = "SELECT s1_idx, round(CAST((s1_idx % 10) / 10.0 AS DOUBLE), 1) AS q0 FROM s1 WHERE s1_idx % 3 = 0"
 
@@ -233,6 +233,7 @@ QUERIES = {
     "d07_select_exact": lambda s, d: _pairs(decide.select_exact(role(s, d, "scores"), Params(m0=0.5, empty_bias=1.5), max_n=6)),
     "d08_select_q": lambda s, d: _pairs(decide.select_q(role(s, d, "scores"), run_sql(s, d, _Q0), PLAIN)),
     "d09_grid": d09,
+    "d09_coherent_grid": d09_coherent,
     "d10_by_country": lambda s, d: _pairs(decide.select_by_country(role(s, d, "scores"), role(s, d, "s1"), s.createDataFrame(BY_COUNTRY, "country string, margin double, floor double, m0 double, empty_bias double"))),
     "d11_quick": lambda s, d: _macro(s, d, decide.select(role(s, d, "scores2"), PLAIN)),
     "d12_half_tuning": d12,
@@ -265,6 +266,7 @@ ORACLES = {
       SELECT o6.s1_idx, src, t_idx FROM o6 JOIN bk ON bk.s1_idx = o6.s1_idx WHERE n <= kk AND ok""",
     "d08_select_q": f"WITH e0 AS ({_Q0}), sq AS (SELECT s.*, q0 FROM scores s LEFT JOIN e0 ON e0.s1_idx = s.s1_idx), {select_sql('sq', m0='0.5', bias='2.5', empty='q0')} {PAIRS}",
     "d09_grid": f"WITH {_GRID_REC} SELECT point, margin, m0, empty_bias, round(avg(f), 6) AS f05 FROM r GROUP BY ALL",
+    "d09_coherent_grid": f"""WITH {_COH_REC} SELECT point, round(avg(f), 6) AS f05 FROM r GROUP BY point""",
     "d10_by_country": f"WITH {_COUNTRY}, {select_sql('cs', 'margin', 'floor', 'm0', 'empty_bias')} {PAIRS}",
     "d11_quick": f"WITH {select_sql('scores2', m0='0.5', bias='2.5')}, {macro_sql('chosen')} {MACRO}",
     "d12_half_tuning": f"WITH {_GRID_REC}, hp AS (SELECT half, point, round(avg(f), 6) AS f05 FROM r GROUP BY half, point), best AS (SELECT half, point FROM (SELECT *, row_number() OVER (PARTITION BY half ORDER BY f05 DESC, point) AS k FROM hp) WHERE k = 1) SELECT (NOT best.half)::INT AS half, best.point, hp.f05 FROM best JOIN hp ON hp.half = NOT best.half AND hp.point = best.point",
