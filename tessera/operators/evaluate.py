@@ -20,7 +20,8 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, by: str, replicates: int = 2000
         term /= k
     d = a.select("s1_idx", by, F.col("f05").alias("fa")).join(b.select("s1_idx", F.col("f05").alias("fb")), "s1_idx")
     rows = d.withColumn(by, F.explode(F.array(F.lit("ALL"), F.col(by)))).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "r", "s1_idx"), F.lit(1 << 30)) / float(1 << 30)
+    # md5, so that other engines can repeat the draws
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "r", "s1_idx")), 1, 8), 16, 10).cast("double") / float(1 << 32)
     weight = F.when(F.col("r") == 0, 1).otherwise(sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0)))
     reps = rows.withColumn("w", weight).groupBy(by, "r").agg(
         F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("fa")) / F.sum("w")).alias("fa"), (F.sum(F.col("w") * F.col("fb")) / F.sum("w")).alias("fb")

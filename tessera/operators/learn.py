@@ -22,7 +22,7 @@ def feature_columns(df: DataFrame) -> list[str]:
 def roles(ids: DataFrame, n_val: int, n_fit: int, seed: int = 42) -> DataFrame:
     """(s1_idx, role, fold): *n_val* validation and *n_fit* fitting records in hash order of the id; fold is by parity."""
     order = W.orderBy("h", "s1_idx")
-    few = ids.select("s1_idx", F.xxhash64(F.lit(seed), "s1_idx").alias("h")).orderBy("h", "s1_idx").limit(n_val + n_fit)
+    few = ids.select("s1_idx", F.md5(F.concat_ws(":", F.lit(seed), "s1_idx")).alias("h")).orderBy("h", "s1_idx").limit(n_val + n_fit)
     ranked = few.withColumn("r", F.row_number().over(order))  # bounded by the two sizes
     return ranked.select("s1_idx", F.when(F.col("r") <= n_val, "val").otherwise("fit").alias("role"), (F.col("s1_idx") % 2).cast("int").alias("fold"))
 

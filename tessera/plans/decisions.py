@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import decide, metric
+from tessera.operators import analysis, decide, metric
 from tessera.operators.decide import Params
-from tessera.plans.roles import role, run_sql, sql_query, with_roles
+from tessera.plans.roles import role, run_sql, with_roles
 
 BEST = Params(margin=0.1, m0=0.5, empty_bias=2.5, coh=1.0)
 PLAIN = Params(m0=0.5, empty_bias=2.5)
@@ -177,6 +177,12 @@ EV = {
         SELECT CAST(lo > 0 AS INT) AS has_lo, CAST(mid > 0 AS INT) AS has_mid, CAST(hi > 0 AS INT) AS has_hi, count(*) AS n FROM b GROUP BY 1, 2, 3""",
     "e20_rule_probe": """WITH a AS (SELECT *, count(*) OVER (PARTITION BY src, t_idx) AS claims FROM scores WHERE p > 0.5), r AS (SELECT *, CASE WHEN claims > 1 AND p < 0.8 THEN 'removed' ELSE 'kept' END AS what FROM a)
         SELECT what, src, count(*) AS n, round(avg(p), 6) AS p FROM r GROUP BY what, src""",
+    "e20_twin_probe": """WITH a AS (SELECT *, max(p) OVER (PARTITION BY s1_idx, src, t_idx % 7) AS best FROM scores), r AS (SELECT *, CASE WHEN p < best THEN 'removed' ELSE 'kept' END AS what FROM a)
+        SELECT what, src, count(*) AS n, round(avg(p), 6) AS p FROM r GROUP BY what, src""",
+    "e20_band_probe": """WITH r AS (SELECT *, CASE WHEN t_idx % 100 >= 45 AND t_idx % 100 < 80 THEN 'removed' ELSE 'kept' END AS what FROM scores)
+        SELECT what, src, count(*) AS n, round(avg(p), 6) AS p FROM r GROUP BY what, src""",
+    "e20_number_profile": """WITH r AS (SELECT *, CAST(t_idx % 5 AS INT) AS status, CASE WHEN p < 0.4 THEN 'removed' ELSE 'kept' END AS what FROM scores)
+        SELECT what, status, count(*) AS n, round(avg(p), 6) AS p FROM r GROUP BY what, status""",
     "e21_projection": """WITH m AS (SELECT country, count(*) AS n FROM s1 GROUP BY country), known AS (SELECT country, n, CASE country WHEN '1-URGENT' THEN CAST(0.98 AS DOUBLE) WHEN '2-HIGH' THEN CAST(0.97 AS DOUBLE) ELSE CAST(0.95 AS DOUBLE) END AS f FROM m)
         SELECT round((CAST(0.96 AS DOUBLE) * sum(n) - sum(CASE WHEN country <> '5-LOW' THEN n * f ELSE 0 END)) / sum(CASE WHEN country = '5-LOW' THEN n END), 6) AS f_unknown FROM known""",
 }
@@ -221,6 +227,40 @@ _COH_REC = _GRID_REC.replace(_JOIN_POINTS, _COH_GS)
 _COUNTRY = "cp AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {m}::DOUBLE, {f}::DOUBLE, {m0}::DOUBLE, {b}::DOUBLE)" for c, m, f, m0, b in BY_COUNTRY) + ") v(country, margin, floor, m0, empty_bias)), cs AS (SELECT s.*, cp.* FROM scores s JOIN s1 ON s.s1_idx = s1.s1_idx JOIN cp ON cp.country = s1.country)"
 _Q0 = "SELECT s1_idx, round(CAST((s1_idx % 10) / 10.0 AS DOUBLE), 1) AS q0 FROM s1 WHERE s1_idx % 3 = 0"
 
+def _roles(spark: SparkSession, sf: str, *names: str) -> list[DataFrame]:
+    return [role(spark, sf, n) for n in names]
+
+
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis.with_label(*_roles(spark, sf, "scores", "truth"))
+
+
+def _over(spark: SparkSession, sf: str) -> list[DataFrame]:
+    return [df.where("p > 0.6") for df in _roles(spark, sf, "scores", "scores2")]
+
+
+#: the SQL of EV is the oracle of these
+ANALYSIS = {
+    "e06_layer_recall": lambda s, d: analysis.layer_recall(*_roles(s, d, "scores", "truth", "s1"), {"blocked": 0.0, "stage1": 0.2, "scored": 0.5}),
+    "e07_calibration": lambda s, d: analysis.calibration(_labelled(s, d)),
+    "e09_errors": lambda s, d: analysis.errors(*_roles(s, d, "scores", "truth")),
+    "e10_anatomy": lambda s, d: analysis.anatomy(*_roles(s, d, "scores", "truth", "s1")),
+    "e11_siblings": lambda s, d: analysis.siblings(_labelled(s, d)),
+    "e12_slices": lambda s, d: analysis.slices(_labelled(s, d).withColumn("slice", F.col("t_idx") % 3), ["src", "slice"]),
+    "e13_fn_origin": lambda s, d: analysis.origin(role(s, d, "truth"), dict(zip(("base", "dense"), _over(s, d)))),
+    "e14_structure": lambda s, d: analysis.structure(*_over(s, d), role(s, d, "s1")),
+    "e15_progression": lambda s, d: analysis.progression(*_over(s, d), F.expr("CASE WHEN p < 0.7 THEN '0.6-0.7' WHEN p < 0.8 THEN '0.7-0.8' ELSE '0.8+' END")),
+    "e16_transfer": lambda s, d: analysis.transfer(_labelled(s, d), role(s, d, "scores2")),
+    "e17_band": lambda s, d: analysis.bands(role(s, d, "scores")),
+    "e18_pifit": lambda s, d: analysis.false_share(role(s, d, "truth"), _over(s, d)[0]),
+    "e19_tv_distance": lambda s, d: analysis.tv_distance(role(s, d, "truth"), _over(s, d)[0]),
+    "e20_rule_probe": lambda s, d: analysis.probe(role(s, d, "scores").where("p > 0.5"), analysis.claimed(0.8), ["src"]),
+    "e20_twin_probe": lambda s, d: analysis.probe(role(s, d, "scores").withColumn("place", F.col("t_idx") % 7), analysis.twin("place", "p"), ["src"]),
+    "e20_band_probe": lambda s, d: analysis.probe(role(s, d, "scores").withColumn("likeness", F.col("t_idx") % 100), analysis.band("likeness", 45, 80), ["src"]),
+    "e20_number_profile": lambda s, d: analysis.probe(role(s, d, "scores").withColumn("status", (F.col("t_idx") % 5).cast("int")), F.col("p") < 0.4, ["status"]),
+    "e21_projection": lambda s, d: analysis.projection(role(s, d, "s1"), {"1-URGENT": 0.98, "2-HIGH": 0.97}, 0.96, "5-LOW", rest=0.95),
+}
+
 QUERIES = {
     "flagship_select_macro": flagship,
     "d01_coherent": lambda s, d: _r(decide.coherent(role(s, d, "scores"), 1.0), "p"),
@@ -244,7 +284,7 @@ QUERIES = {
     "e04_bootstrap": e04,
     "e05_gate": e05,
     "e08_segments": lambda s, d: metric.per_record(decide.threshold_select(role(s, d, "scores"), 0.5), role(s, d, "truth"), role(s, d, "s1")).groupBy(F.least("n_true", F.lit(5)).cast("int").alias("segment")).agg(F.count("*").alias("n"), F.round(F.avg("f05"), 6).alias("f05")),
-    **{k: sql_query(v) for k, v in EV.items()},
+    **ANALYSIS,
 }
 
 _THRESH = "th AS (SELECT s1_idx, src, t_idx, p FROM (SELECT *, row_number() OVER (PARTITION BY src, t_idx ORDER BY p DESC, s1_idx) AS r FROM scores WHERE p >= {x}) WHERE r = 1)"
