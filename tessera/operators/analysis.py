@@ -179,3 +179,14 @@ def projection(ids: DataFrame, known: Mapping[str, float], target: float, unknow
     n = ids.groupBy(by).agg(F.count("*").alias("n")).withColumn("_m", mean)
     own = F.col(by) == unknown
     return n.agg(F.round((F.lit(target) * F.sum("n") - F.sum(F.when(own, 0.0).otherwise(F.col("n") * F.col("_m")))) / F.sum(F.when(own, F.col("n"))), 6).alias("f_unknown"))
+
+
+def add_rules(candidates: DataFrame, by: Sequence[str], floors: Sequence[float], cost: float = 0.25) -> DataFrame:
+    """Rules (columns *by*, p at least fl) that would add pairs: hits less *cost* for each false pair in both halves; a rule holds if it gains in both.
+
+    *candidates* has p, y, half (0 or 1) and *by*; a pair counts for every floor that it reaches.
+    """
+    rows = candidates.withColumn("fl", F.explode(F.filter(F.array(*[F.lit(float(x)) for x in floors]), lambda x: F.col("p") >= x)))
+    gain = F.col("y") - cost * (1 - F.col("y"))
+    half = [F.sum(F.when(F.col("half") == k, gain).otherwise(0.0)).alias(f"g{k}") for k in (0, 1)]
+    return rows.groupBy(*by, "fl").agg(F.count("*").alias("n"), *half).withColumn("keep", (F.col("g0") > 0) & (F.col("g1") > 0))

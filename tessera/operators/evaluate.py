@@ -2,30 +2,31 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+from math import exp, factorial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Chances that a Poisson(1) draw is at most 0, 1, .. 7; a uniform draw becomes the number of them it passes.
+POISSON = tuple(accumulate(exp(-1) / factorial(k) for k in range(8)))
+
+
 def paired_bootstrap(a: DataFrame, b: DataFrame, by: str, replicates: int = 2000, seed: int = 42) -> DataFrame:
     """By group and overall ('ALL'): f05 of both runs, their difference, and its 95 % interval.
 
     Each record weighs in each replicate by a Poisson(1) draw from a hash of its id, so records are
     resampled where they are: replicate sums are combined before the shuffle, and none is collected.
     """
-    # cumulative Poisson(1) chances; a uniform draw becomes the number of them it passes
-    cuts, total, term = [], 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        total += term
-        cuts.append(total)
-        term /= k
     d = a.select("s1_idx", by, F.col("f05").alias("fa")).join(b.select("s1_idx", F.col("f05").alias("fb")), "s1_idx")
-    rows = d.withColumn(by, F.explode(F.array(F.lit("ALL"), F.col(by)))).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    # md5, so that other engines can repeat the draws
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "r", "s1_idx")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    weight = F.when(F.col("r") == 0, 1).otherwise(sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0)))
-    reps = rows.withColumn("w", weight).groupBy(by, "r").agg(
-        F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("fa")) / F.sum("w")).alias("fa"), (F.sum(F.col("w") * F.col("fb")) / F.sum("w")).alias("fb")
-    )
+    # md5, so that other engines can repeat the draws; one draw a record and replicate, read by each cut
+    rows = d.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    rows = rows.withColumn("u", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "r", "s1_idx")), 1, 8), 16, 10).cast("double") / float(1 << 32))
+    rows = rows.withColumn("w", F.when(F.col("r") == 0, 1).otherwise(sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in POISSON), F.lit(0))))
+    sums = rows.groupBy(by, "r").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("fa")).alias("a"), F.sum(F.col("w") * F.col("fb")).alias("b"))
+    sums = sums.withColumn(by, F.explode(F.array(F.lit("ALL"), F.col(by))))  # a row for each group and replicate
+    reps = sums.groupBy(by, "r").agg(F.sum("n").alias("n"), (F.sum("a") / F.sum("n")).alias("fa"), (F.sum("b") / F.sum("n")).alias("fb"))
     diff = F.when(F.col("r") > 0, F.col("fb") - F.col("fa"))
     return reps.groupBy(by).agg(
         F.max(F.when(F.col("r") == 0, F.col("n"))).alias("n"), F.max(F.when(F.col("r") == 0, F.col("fa"))).alias("f05_a"), F.max(F.when(F.col("r") == 0, F.col("fb"))).alias("f05_b"),

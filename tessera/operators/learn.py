@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,18 +42,40 @@ def _chance(model, rows: DataFrame, features: list[str], name: str) -> DataFrame
     return out.select(*rows.columns, F.get(vector_to_array("probability"), F.lit(1)).alias(name))
 
 
-def fit_folds(rows: DataFrame, features: list[str] | None = None, kind: str = "gbt", rounds: int = 20, depth: int = 4, seed: int = 42) -> tuple[list, list[str]]:
-    """Two models, each fitted on one fold of *rows* (y, fold, weight, features)."""
+def fit_folds(rows: DataFrame, features: list[str] | None = None, kind: str = "gbt", rounds: int = 20, depth: int = 4, seed: int = 42, held: float = 0.0) -> tuple[list, list[str]]:
+    """Two models, each fitted on one fold of *rows* (y, fold, weight, features).
+
+    With *held*, boosting stops when the loss over that share of the records, chosen by a hash of s1_idx, no longer falls.
+    """
     features = features or feature_columns(rows)
     rows = rows if "weight" in rows.columns else rows.withColumn("weight", F.lit(1.0))
+    stop = {}
+    if held and kind == "gbt":
+        stop = {"validationIndicatorCol": "_held"}
+        rows = rows.withColumn("_held", F.pmod(F.xxhash64(F.lit(seed), "s1_idx"), F.lit(1 << 20)) < int(held * (1 << 20)))
     make = {
-        "gbt": lambda: GBTClassifier(labelCol="y", weightCol="weight", maxIter=rounds, maxDepth=depth, seed=seed),
+        "gbt": lambda: GBTClassifier(labelCol="y", weightCol="weight", maxIter=rounds, maxDepth=depth, seed=seed, **stop),
         "forest": lambda: RandomForestClassifier(labelCol="y", weightCol="weight", numTrees=rounds, maxDepth=depth, seed=seed),
         "logistic": lambda: LogisticRegression(labelCol="y", weightCol="weight", maxIter=rounds),
     }[kind]
     return [make().fit(_vectors(rows.where(F.col("fold") == k), features)) for k in (0, 1)], features
 
 
+def save_models(spark: SparkSession, models: list, features: list[str], path: str) -> None:
+    """Write fitted models (of any kind, calibrators included) and the names of their features below *path*."""
+    for k, model in enumerate(models):
+        model.write().overwrite().save(f"{path}/{k}")
+    about = [(k, f"{type(m).__module__}.{type(m).__name__}", features) for k, m in enumerate(models)]
+    spark.createDataFrame(about, "k int, kind string, features array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+
+
+def load_models(spark: SparkSession, path: str) -> tuple[list, list[str]]:
+    """What :func:`save_models` wrote."""
+    about = spark.read.parquet(f"{path}/about").orderBy("k").collect()  # a row a model
+    load = {f"{c.__module__}.{c.__name__}": c.load for c in (GBTClassificationModel, RandomForestClassificationModel, LogisticRegressionModel, IsotonicRegressionModel)}
+    return [load[r.kind](f"{path}/{r.k}") for r in about], list(about[0].features) if about else []
+
+
 def predict_folds(models: list, rows: DataFrame, features: list[str], name: str = "p1") -> DataFrame:
     """Out-of-fold predictions: a row of fold k by the other fold's model, a row without fold by the mean."""
     both = _chance(models[1], _chance(models[0], rows, features, "_m0"), features, "_m1")
@@ -74,16 +96,28 @@ def prune(rows: DataFrame, score: str = "p1", most: int = 20, floor: float = 0.0
     return rows.withColumn("r1", r).where((F.col("r1") <= most) & (F.col(score) >= floor))
 
 
-def calibrate(fitted: DataFrame, rows: DataFrame, score: str = "p1", name: str = "p") -> DataFrame:
-    """Isotonic calibration by source, fitted on out-of-fold scores and clipped to 0..1."""
-    out = None
-    for src in (2, 3):  # the two target sources
-        model = IsotonicRegression(featuresCol=score, labelCol="y", predictionCol="_p").fit(fitted.where(F.col("src") == src))
-        part = model.transform(rows.where(F.col("src") == src)).withColumn(name, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_p")))).drop("_p")
-        out = part if out is None else out.unionByName(part)
+def fit_calibrators(fitted: DataFrame, score: str = "p1") -> dict:
+    """An isotonic model for each source of *fitted* that has labels; sources are a handful."""
+    labelled = fitted.where(F.col("src").isNotNull() & F.col("y").isNotNull() & F.col(score).isNotNull())
+    found = sorted(r.src for r in labelled.select("src").distinct().collect())
+    return {src: IsotonicRegression(featuresCol=score, labelCol="y", predictionCol="_p").fit(labelled.where(F.col("src") == src)) for src in found}
+
+
+def apply_calibrators(models: dict, rows: DataFrame, score: str = "p1", name: str = "p") -> DataFrame:
+    """*rows* with *name*, clipped to 0..1; rows of a source without a model, or without a score, keep their score, clipped."""
+    known = F.coalesce(F.col("src").isin(list(models)), F.lit(False)) & F.col(score).isNotNull()
+    clip = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    out = rows.where(~known).withColumn(name, F.when(F.col(score).isNotNull(), clip(F.col(score))))
+    for src, model in models.items():
+        out = out.unionByName(model.transform(rows.where(known & (F.col("src") == src))).withColumn(name, clip(F.col("_p"))).drop("_p"))
     return out
 
 
+def calibrate(fitted: DataFrame, rows: DataFrame, score: str = "p1", name: str = "p") -> DataFrame:
+    """Isotonic calibration by source, fitted on out-of-fold scores."""
+    return apply_calibrators(fit_calibrators(fitted, score), rows, score, name)
+
+
 def group_softmax(score: Column, *keys: str) -> Column:
     e = F.exp(score - F.max(score).over(W.partitionBy(*keys)))
     return e / F.sum(e).over(W.partitionBy(*keys))

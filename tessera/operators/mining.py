@@ -66,15 +66,38 @@ def part_aliases(pairs: DataFrame, min_count: int = 5, min_purity: float = 0.6)
     return pure(both, "part", "alias", min_count, min_purity, total)
 
 
-def admin_parts(parts: DataFrame, implied_by: int = 4, chance: float = 0.3) -> DataFrame:
-    """(part, n_implying): parts that at least *implied_by* others imply; *parts* has rec and part."""
+def admin_parts(parts: DataFrame, implied_by: int = 4, chance: float = 0.3, min_count: int = 1) -> DataFrame:
+    """(part, n_implying): parts that at least *implied_by* others of *min_count* records or more imply; *parts* has rec and part."""
     own = parts.select("rec", "part").distinct()
-    n = own.groupBy("part").agg(F.count("*").alias("n"))
+    n = own.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
     pairs = own.join(own.withColumnRenamed("part", "other"), "rec").where("part <> other").groupBy("part", "other").agg(F.count("*").alias("both"))
     implied = pairs.join(n.withColumnRenamed("part", "other"), "other").where(F.col("both") >= chance * F.col("n"))
     return implied.groupBy("part").agg(F.count("*").alias("n_implying")).where(F.col("n_implying") >= implied_by)
 
 
+def source_parts(parts: DataFrame, min_count: int = 1000, min_reference: int = 50, share: float = 0.01, variant: float = 80.0) -> DataFrame:
+    """(part, f1, f23): frequent parts of the targets that the reference has not, nor any spelling of them; *parts* has rec, src (1: reference) and part.
+
+    A ratio of 80 or more leaves at most a third of the letters of one side without a partner, so such strings share
+    a pair of neighbouring letters, ends included, and their lengths are within two to three; only those are compared.
+    Null parts are ignored.
+    """
+    seen = parts.where("part IS NOT NULL").select("rec", "src", "part").distinct()
+    freq = seen.groupBy("part").agg(F.count_if(F.col("src") == 1).alias("f1"), F.count_if(F.col("src") > 1).alias("f23"))
+    known = freq.where(F.col("f1") >= min_reference).select(F.col("part").alias("ref"))
+    fresh = freq.where((F.col("f23") >= min_count) & (F.col("f1") <= share * F.col("f23")))
+    if variant < 80:
+        raise ValueError("neighbouring letters prove nothing below a ratio of 80")
+
+    def grams(df: DataFrame, c: str) -> DataFrame:
+        text = F.concat(F.lit("\x02"), c, F.lit("\x03"))
+        return df.select(c, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substring(text, i, F.lit(2))))).alias("g"))
+
+    near = grams(fresh.select("part"), "part").join(grams(known, "ref"), "g").where("3 * length(part) >= 2 * length(ref) AND 3 * length(ref) >= 2 * length(part)").select("part", "ref").distinct()
+    like = near.where(all_metrics(F.col("part"), F.col("ref"), ("ratio",))["ratio"] >= variant).select("part").distinct()
+    return fresh.join(like, "part", "left_anti")
+
+
 def transliterations(pairs: DataFrame, min_count: int = 2, min_share: float = 0.7) -> DataFrame:
     """(tok, word, n, total): words at equal places of equally long token arrays a (word) and b (romanised)."""
     same = pairs.where("size(a) = size(b)").select(F.explode(F.arrays_zip("a", "b")).alias("z")).select(F.col("z.b").alias("tok"), F.col("z.a").alias("word")).where("tok <> word")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import analysis, decide, metric
+from tessera.operators import analysis, decide, evaluate, metric
 from tessera.operators.decide import Params
 from tessera.plans.roles import role, run_sql, with_roles
 
@@ -125,7 +125,8 @@ def d12(spark: SparkSession, sf: str) -> DataFrame:
 
 def d13(spark: SparkSession, sf: str) -> DataFrame:
     """Add-rules (status, bin, floor): the gain in hits and misses by half; a rule holds if it gains on both."""
-    return run_sql(spark, sf, _ADD_RULES)
+    cand = _labelled(spark, sf).where("p < 0.9").select(F.col("src").alias("status"), F.floor(F.col("p") * 5).cast("int").alias("bin"), "p", "y", decide.half_of("s1_idx").alias("half"))
+    return _r(analysis.add_rules(cand, ["status", "bin"], [0.1, 0.3, 0.5]), "g0", "g1", digits=4)
 
 
 _ADD_RULES = """WITH cand AS (SELECT s.s1_idx, s.src AS status, CAST(floor(s.p * 5) AS INT) AS bin, s.p, CASE WHEN t.s1_idx IS NULL THEN 0 ELSE 1 END AS y, CAST((s.s1_idx * 2654435761) % 1000 < 500 AS INT) AS half
@@ -135,19 +136,22 @@ _ADD_RULES = """WITH cand AS (SELECT s.s1_idx, s.src AS status, CAST(floor(s.p *
   SELECT status, bin, fl, n, round(g0, 4) AS g0, round(g1, 4) AS g1, g0 > 0 AND g1 > 0 AS keep FROM g"""
 
 
-def e04(spark: SparkSession, sf: str) -> DataFrame:
-    from tessera.operators.evaluate import paired_bootstrap
+REPLICATES = 200
+
 
+def _compared(spark: SparkSession, sf: str) -> DataFrame:
     truth, ids = role(spark, sf, "truth"), role(spark, sf, "s1")
     a = metric.per_record(decide.select(role(spark, sf, "scores"), PLAIN), truth, ids)
     b = metric.per_record(decide.select(role(spark, sf, "scores2"), PLAIN), truth, ids)
-    return paired_bootstrap(a, b, "country", 200)
+    return evaluate.paired_bootstrap(a, b, "country", REPLICATES)
 
 
-def e05(spark: SparkSession, sf: str) -> DataFrame:
-    from tessera.operators.evaluate import gate
+def e04(spark: SparkSession, sf: str) -> DataFrame:
+    return _r(_compared(spark, sf), "f05_a", "f05_b", "ci_low", "ci_high", "p_b_better", "delta")
+
 
-    return gate(e04(spark, sf))
+def e05(spark: SparkSession, sf: str) -> DataFrame:
+    return _r(evaluate.gate(_compared(spark, sf)), "ci_low", "worst_group")
 
 
 EV = {
@@ -287,6 +291,16 @@ QUERIES = {
     **ANALYSIS,
 }
 
+_CUTS = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in evaluate.POISSON)
+#: both runs by record, the same draws, the replicates' differences
+_BOOT = f"""fa AS (WITH {select_sql('scores', m0='0.5', bias='2.5')}, {macro_sql('chosen')} SELECT s1_idx, country, f05 FROM rec),
+  fb AS (WITH {select_sql('scores2', m0='0.5', bias='2.5')}, {macro_sql('chosen')} SELECT s1_idx, f05 FROM rec),
+  d AS (SELECT fa.s1_idx, fa.country, fa.f05 AS fa, fb.f05 AS fb FROM fa JOIN fb ON fa.s1_idx = fb.s1_idx),
+  u AS (SELECT *, CAST('0x' || substr(md5('42:' || r || ':' || s1_idx), 1, 8) AS BIGINT)::DOUBLE / {1 << 32} AS u FROM d, (SELECT unnest(range({REPLICATES + 1})) AS r)),
+  w AS (SELECT *, CASE WHEN r = 0 THEN 1 ELSE {_CUTS} END AS w FROM u),
+  rp AS (SELECT coalesce(country, 'ALL') AS country, r, sum(w) AS n, sum(w * fa) / sum(w) AS fa, sum(w * fb) / sum(w) AS fb FROM w GROUP BY GROUPING SETS ((country, r), (r))),
+  bt AS (SELECT country, max(CASE WHEN r = 0 THEN n END)::BIGINT AS n, max(CASE WHEN r = 0 THEN fa END) AS f05_a, max(CASE WHEN r = 0 THEN fb END) AS f05_b,
+    quantile_cont(fb - fa, 0.025) FILTER (r > 0) AS ci_low, quantile_cont(fb - fa, 0.975) FILTER (r > 0) AS ci_high, avg((fb > fa)::INT::DOUBLE) FILTER (r > 0) AS p_b_better FROM rp GROUP BY country)"""
 _THRESH = "th AS (SELECT s1_idx, src, t_idx, p FROM (SELECT *, row_number() OVER (PARTITION BY src, t_idx ORDER BY p DESC, s1_idx) AS r FROM scores WHERE p >= {x}) WHERE r = 1)"
 
 ORACLES = {
@@ -314,6 +328,9 @@ ORACLES = {
     "e01_macro": f"WITH {_THRESH.format(x=0.5)}, {macro_sql('th')} {MACRO}",
     "e02_closed_form": f"WITH {_THRESH.format(x=0.3)}, {macro_sql('th')} SELECT round(avg(f05), 6) AS f05, count(*) AS n FROM rec",
     "e03_per_record": f"WITH {_THRESH.format(x=0.5)}, {macro_sql('th')} SELECT s1_idx, country, n_pred, n_true, tp, round(f05, 6) AS f05 FROM rec",
+    "e04_bootstrap": f"WITH {_BOOT} SELECT country, n, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("f05_a", "f05_b", "ci_low", "ci_high", "p_b_better")) + ", round(f05_b - f05_a, 6) AS delta FROM bt",
+    "e05_gate": f"""WITH {_BOOT}, g AS (SELECT max(CASE WHEN country = 'ALL' THEN ci_low END) AS ci_low, min(CASE WHEN country <> 'ALL' THEN f05_b - f05_a END) AS worst_group FROM bt)
+      SELECT round(ci_low, 6) AS ci_low, round(worst_group, 6) AS worst_group, ci_low > 0 AND worst_group >= 0 AS accept FROM g""",
     "e08_segments": f"WITH {_THRESH.format(x=0.5)}, {macro_sql('th')} SELECT least(n_true, 5)::INT AS segment, count(*) AS n, round(avg(f05), 6) AS f05 FROM rec GROUP BY 1",
     **EV,
 }

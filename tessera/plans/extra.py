@@ -211,7 +211,19 @@ QUERIES = {
     "e03_by_half": lambda s, d: metric.per_record(decide.threshold_select(role(s, d, "scores"), 0.4), role(s, d, "truth"), role(s, d, "s1")).groupBy(decide.half_of("s1_idx").alias("half")).agg(F.count("*").alias("n"), F.round(F.avg("f05"), 6).alias("f05")),
 }
 
+_BEST = """WITH a AS (SELECT DISTINCT lower({x}) AS q FROM part {wx}), b AS (SELECT DISTINCT lower({y}) AS c FROM part {wy}), s AS (SELECT q, c, {r} AS r FROM a, b),
+  k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY r DESC, c DESC) AS n FROM s)"""
+_FIRST = f"SELECT ia, ib, string_split(a, ' ')[1] AS x, string_split(b, ' ')[1] AS y FROM ({NAME_PAIRS})"
+_COHERENT_PAIRS = """SELECT s1_idx, src, t_idx, pj, a.name AS a, nj AS b FROM rk a JOIN (SELECT s1_idx, src AS sj, t_idx AS tj, p AS pj, name AS nj FROM rk WHERE k <= 8) o USING (s1_idx) WHERE NOT (src = sj AND t_idx = tj)"""
+
 ORACLES = {
+    "t07_best_match": _BEST.format(x="p_name", y="p_type", wx="", wy="", r=linkage.ratio_sql("q", "c")) + " SELECT q, c AS best, round(r, 6) AS score FROM k WHERE n = 1",
+    "sim12_best_parts": _BEST.format(x="p_brand", y="p_brand", wx="WHERE p_partkey % 2 = 0", wy="WHERE p_partkey % 2 = 1", r=linkage.ratio_sql("q", "c")) + " SELECT q AS x, round(r, 6) AS best FROM k WHERE n = 1",
+    "sim09_alias_alignment": f"""SELECT ia, ib, round(CASE WHEN k = l AND k <> '' THEN 1 ELSE greatest(jaro_winkler_similarity(x, y), ({linkage.ratio_sql('k', 'l')}) / 100) END, 6) AS sim
+      FROM (SELECT *, {linkage._sql_skeleton('x')} AS k, {linkage._sql_skeleton('y')} AS l FROM ({_FIRST}))""",
+    "f17_target_coherence": f"""WITH rk AS (SELECT s.*, p_name AS name, row_number() OVER (PARTITION BY s1_idx ORDER BY p DESC, src, t_idx) AS k FROM scores s JOIN part ON p_partkey = t_idx),
+      z AS ({linkage.token_set_sql(_COHERENT_PAIRS, 's1_idx, src, t_idx, pj')})
+      SELECT s1_idx, src, t_idx, round(sum(pj * ts) / sum(pj), 4) AS coh, round(max(ts), 4) AS best, max(CASE WHEN pj > 0.5 THEN pj END) AS strong, count(CASE WHEN ts >= 80 THEN 1 END) AS n_close FROM z GROUP BY s1_idx, src, t_idx""",
     "p10_drop_by_suffix": "SELECT a.idx AS s1_idx, b.idx AS t_idx FROM records a JOIN records b ON a.brand = b.brand AND a.number = b.number AND a.idx < b.idx",
     "p15_numeric_columns": "SELECT unnest(['a_tset', 'bs', 'c_tset', 'h_eq']) AS feature",
     "f10_name_frequency": "SELECT idx, src, count(*) OVER (PARTITION BY src, business_name) AS nfreq FROM records",

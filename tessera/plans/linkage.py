@@ -126,6 +126,21 @@ def ml_scores(spark: SparkSession, sf: str) -> DataFrame:
     return ml02(spark, sf).select("s1_idx", "src", "t_idx", "y", "p1", "fold", "country")
 
 
+def ml06(spark: SparkSession, sf: str) -> DataFrame:
+    rows = ml_scores(spark, sf)
+    return learn.calibrate(rows, rows).select("s1_idx", "src", "t_idx", "p")
+
+
+def io12(spark: SparkSession, sf: str) -> DataFrame:
+    """Models fitted with early stop, saved, loaded and applied: equal scores."""
+    rows, path = labelled(spark, sf), _folder(spark, "models")
+    models, feats = learn.fit_folds(rows, rounds=5, depth=3, held=0.2)
+    learn.save_models(spark, models, feats, path)
+    loaded, names = learn.load_models(spark, path)
+    both = learn.predict_folds(loaded, learn.predict_folds(models, rows, feats, "one").drop("p1"), names, "two")
+    return both.groupBy("fold").agg(F.count("*").alias("n"), F.bool_and(F.abs(F.col("one") - F.col("two")) < 1e-12).alias("equal"))
+
+
 def ml15(spark: SparkSession, sf: str) -> DataFrame:
     models, feats = learn.fit_folds(labelled(spark, sf), rounds=5, depth=3)
     return spark.createDataFrame(learn.importances(models, feats), "feature string, gain double")
@@ -223,6 +238,11 @@ def tfidf(spark: SparkSession, sf: str) -> DataFrame:
     return run_sql(spark, sf, TFIDF.format(tri="explode(transform(sequence(1, length(name) - 2), i -> substr(name, i, 3)))"))
 
 
+#: parts of three sources: spelling variants of a reference part in source 2, other parts in source 3, and the same parts everywhere
+_SOURCE_PARTS = """SELECT p_partkey AS rec, 1 AS src, lower(p_type) AS part FROM part UNION ALL SELECT p_partkey, 2, concat(lower(p_type), 'x') FROM part
+  UNION ALL SELECT p_partkey, 3, lower(p_name) FROM part UNION ALL SELECT p_partkey, 1 + p_partkey % 3, lower(p_brand) FROM part UNION ALL SELECT p_partkey, 2, concat('zone ', p_size % 10) FROM part"""
+
+
 TFIDF = """WITH nm AS (SELECT DISTINCT p_name AS name FROM part), g AS (SELECT name, {tri} AS g FROM nm), tf AS (SELECT name, g, 1 + ln(count(*)) AS tf FROM g GROUP BY name, g),
   df AS (SELECT g, ln((1 + (SELECT count(*) FROM nm)) / CAST(1 + count(*) AS DOUBLE)) + 1 AS idf FROM tf GROUP BY g), v AS (SELECT name, tf.g, tf * idf AS x FROM tf JOIN df ON tf.g = df.g),
   n AS (SELECT name, sqrt(sum(x * x)) AS len FROM v GROUP BY name)
@@ -271,18 +291,20 @@ QUERIES = {
     "f16_stack_features": lambda s, d: _r(features.stack_features(run_sql(s, d, "SELECT s.s1_idx, s.src, s.t_idx, s.p, b.p AS ce FROM scores s JOIN scores2 b ON s.s1_idx = b.s1_idx AND s.src = b.src AND s.t_idx = b.t_idx")), "lp", "lce", "ce_gap_t", "dce", digits=5).select("s1_idx", "src", "t_idx", "lp", "lce", "ce_gap_t", "dce", F.col("ce_rank_s1").cast("long").alias("ce_rank_s1")),
     "m01_fillers": lambda s, d: _r(mining.filler_rates(token_pairs(s, d)), "rate"),
     "m02_split_fillers": lambda s, d: mining.split_fillers(mining.filler_rates(token_pairs(s, d)), run_sql(s, d, "SELECT DISTINCT explode(split(p_name, ' ')) AS tok FROM part"), 0.3).select("tok", "kind"),
-    "m03_weak_labels": lambda s, d: metrics(s, d).join(run_sql(s, d, NAME_PAIRS), ["ia", "ib"]).select("ia", "ib", mining.weak_labels(F.col("token_set"), F.col("b"), F.lit(False)).alias("y")),
+    "m03_weak_labels": lambda s, d: metrics(s, d).join(run_sql(s, d, NAME_PAIRS), ["ia", "ib"]).select("ia", "ib", F.coalesce(mining.weak_labels(F.col("token_set"), F.col("b"), F.lit(False)), F.lit(-1)).alias("y")),
     "m04_replaced_names": m04,
     "m05_token_aliases": lambda s, d: mining.token_aliases(token_pairs(s, d), max_known=10**9),
     "m06_part_aliases": lambda s, d: mining.part_aliases(run_sql(s, d, "SELECT array(p_type, p_brand) AS a, array(lower(p_type), p_brand) AS b FROM part")),
     "m07_purity": lambda s, d: mining.pure(run_sql(s, d, "SELECT l_partkey % 50 AS k, l_returnflag AS v FROM lineitem"), "k", "v", 5, 0.5).select("k", "v", "n", "total"),
     "m08_admin_parts": lambda s, d: mining.admin_parts(run_sql(s, d, "SELECT p_partkey AS rec, p_type AS part FROM part UNION ALL SELECT p_partkey, p_brand FROM part"), 4, 0.15),
+    "m08_source_parts": lambda s, d: mining.source_parts(run_sql(s, d, _SOURCE_PARTS), min_count=5, min_reference=3).select("part", "f1", "f23"),
     "m09_transliterations": lambda s, d: mining.transliterations(token_pairs(s, d)),
     "m10_enrich": lambda s, d: role(s, d, "records").select("idx", F.array_join(enrich(F.split("business_name", " "), F.create_map(F.lit("red"), F.lit("crimson")), F.array(F.lit("old"))), " ").alias("core_a")),
     "ml01_roles": lambda s, d: learn.roles(role(s, d, "s1"), 300, 700).groupBy("role", "fold").agg(F.count("*").alias("n")),
     "ml02_stage1": lambda s, d: ml_scores(s, d).groupBy("y").agg(F.count("*").alias("n"), F.avg("p1").alias("p")),
     "ml04_prune": lambda s, d: learn.prune(ml_scores(s, d), most=3).select("s1_idx", "src", "t_idx", "p1", "r1"),
-    "ml06_isotonic": lambda s, d: learn.calibrate(ml_scores(s, d), ml_scores(s, d)).select("s1_idx", "src", "t_idx", "p"),
+    "ml06_isotonic": ml06, "ml06_rows": lambda s, d: ml06(s, d).select("s1_idx", "src", "t_idx", F.col("p").between(0, 1).alias("valid")),
+    "io12_model_round_trip": io12,
     "ml07_ensemble": lambda s, d: learn.ensemble(labelled(s, d)).select("s1_idx", "src", "t_idx", "stacked"),
     "ml08_stack": ml08, "ml11_empty_model": ml11,
     "ml12_pseudo_labels": lambda s, d: learn.pseudo_labels(role(s, d, "scores"), 0.9, 0.1).select("s1_idx", "src", "t_idx", F.col("y").cast("int").alias("y")),
@@ -320,7 +342,45 @@ _DT = "dt AS (SELECT q.vec_id AS q_id, t.vec_id AS t_id FROM embeddings q JOIN e
 _Q = f"q AS ({PAIRS})"
 _LISTS = "SELECT 'S1-' || s1.s1_idx AS source1_entity_id, coalesce(string_agg('S' || src || '-' || t_idx, ',' ORDER BY 'S' || src || '-' || t_idx), '') AS {c} FROM s1 LEFT JOIN {t} ON {t}.s1_idx = s1.s1_idx GROUP BY s1.s1_idx"
 
+
+
+def lcs_sql(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two columns of at most 60 letters: one bit for each letter of *a*, folded over *b*."""
+    full = f"((1::BIGINT << length({a})::INTEGER) - 1)"
+    mask = f"coalesce(list_sum(list_transform(range(length({a})), lambda at_: CASE WHEN substr({a}, at_ + 1, 1) = ch_ THEN 1::BIGINT << at_::INTEGER ELSE 0 END)), 0)::BIGINT"
+    row = f"list_reduce(list_prepend({full}, list_transform(string_split({b}, ''), lambda ch_: {mask})), lambda v_, m_: ((v_ + (v_ & m_)) | (v_ - (v_ & m_))) & {full})"
+    return f"(length({a}) - bit_count({row}))"
+
+
+def ratio_sql(a: str, b: str) -> str:
+    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 100 ELSE 200.0::DOUBLE * {lcs_sql(a, b)} / (length({a}) + length({b})) END"
+
+
+def token_set_sql(rows: str, keep: str, a: str = "a", b: str = "b") -> str:
+    """Rows of *rows* with columns *keep* and ts, the token-set ratio of columns *a* and *b*."""
+    words = f"SELECT {keep}, list_distinct(list_filter(string_split({a}, ' '), lambda w: w <> '')) AS x, list_distinct(list_filter(string_split({b}, ' '), lambda w: w <> '')) AS y FROM ({rows})"
+    parts = f"""SELECT *, array_to_string(list_sort(list_filter(x, lambda w: list_contains(y, w))), ' ') AS c, array_to_string(list_sort(list_filter(x, lambda w: NOT list_contains(y, w))), ' ') AS o,
+      array_to_string(list_sort(list_filter(y, lambda w: NOT list_contains(x, w))), ' ') AS t FROM ({words})"""
+    sides = f"SELECT *, trim(c || ' ' || o) AS l, trim(c || ' ' || t) AS r FROM ({parts})"
+    return f"""SELECT {keep}, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 WHEN c <> '' AND (o = '' OR t = '') THEN 100 WHEN c = '' THEN {ratio_sql('l', 'r')}
+      ELSE greatest({ratio_sql('l', 'r')}, {ratio_sql('c', 'l')}, {ratio_sql('c', 'r')}) END::DOUBLE AS ts FROM ({sides})"""
+
+
+def _sorted_sql(c: str) -> str:
+    return f"array_to_string(list_sort(list_filter(string_split({c}, ' '), lambda w: w <> '')), ' ')"
+
+
 ORACLES = {
+    "sim01_ratio": f"SELECT ia, ib, round({ratio_sql('a', 'b')}, 6) AS ratio FROM ({NAME_PAIRS})",
+    "sim03_token_sort": f"SELECT ia, ib, round({ratio_sql('sa', 'sb')}, 6) AS token_sort FROM (SELECT *, {_sorted_sql('a')} AS sa, {_sorted_sql('b')} AS sb FROM ({NAME_PAIRS}))",
+    "sim04_token_set": f"SELECT ia, ib, round(ts, 6) AS token_set FROM ({token_set_sql(NAME_PAIRS, 'ia, ib')})",
+    "m03_weak_labels": f"SELECT ia, ib, CASE WHEN ts >= 80 OR regexp_matches(b, '[^\\x00-\\x7F]') THEN 0 WHEN ts < 45 THEN 1 ELSE -1 END::INT AS y FROM ({token_set_sql(NAME_PAIRS, 'ia, ib, b')})",
+    "ml01_roles": "SELECT role, (s1_idx % 2)::INT AS fold, count(*) AS n FROM (SELECT s1_idx, CASE WHEN r <= 300 THEN 'val' ELSE 'fit' END AS role FROM (SELECT s1_idx, row_number() OVER (ORDER BY md5('42:' || s1_idx), s1_idx) AS r FROM s1) WHERE r <= 1000) GROUP BY ALL",
+    "m08_source_parts": f"""WITH sp AS ({_SOURCE_PARTS}), f AS (SELECT part, count(DISTINCT rec) FILTER (src = 1) AS f1, count(DISTINCT (src, rec)) FILTER (src > 1) AS f23 FROM sp GROUP BY part),
+      k AS (SELECT * FROM f WHERE f23 >= 5 AND f1 <= 0.01 * f23), n AS (SELECT part AS ref FROM f WHERE f1 >= 3), v AS (SELECT DISTINCT part FROM k, n WHERE {ratio_sql('part', 'ref')} >= 80)
+      SELECT part, f1, f23 FROM k WHERE part NOT IN (SELECT part FROM v)""",
+    "ml06_rows": f"WITH q AS ({PAIRS}) SELECT q.s1_idx, q.src, q.t_idx, true AS valid FROM q JOIN s1 ON q.s1_idx = s1.s1_idx",
+    "io12_model_round_trip": f"WITH q AS ({PAIRS}) SELECT (q.s1_idx % 2)::INT AS fold, count(*) AS n, true AS equal FROM q JOIN s1 ON q.s1_idx = s1.s1_idx GROUP BY 1",
     "n01_fold": "SELECT doc_id, md5(strip_accents(lower(replace(coalesce(text, ''), 'ß', 'ss')))) AS folded FROM documents",
     "n03_skeleton": f"SELECT p_partkey, tok, {_sql_skeleton('tok')} AS k FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS tok FROM part)",
     "n04_names": "SELECT idx, array_to_string(CASE WHEN w[1] = w[2] THEN [w[1]] ELSE w END, ' ') AS name_norm, array_to_string(CASE WHEN w[1] = w[2] THEN [w[1]] ELSE w END, ' ') AS core, '' AS legal FROM (SELECT idx, string_split(lower(business_name), ' ') AS w FROM records)",

@@ -68,6 +68,32 @@ def test_grid_is_a_loop(spark):
         assert {(r.s1_idx, r.src, r.t_idx) for r in every if r.point == k} == chosen(decide.select(df, Params(margin, floor, m0, bias)))
 
 
+def test_tune_is_select_and_macro(spark):
+    df = scores(spark, [(i % 7, 2 + i % 2, i % 11, ((i * 37) % 90 + 5) / 100) for i in range(60)]).dropDuplicates(["s1_idx", "src", "t_idx"])
+    truth = df.where("(s1_idx + t_idx) % 3 = 0").select("s1_idx", "src", "t_idx").unionByName(spark.createDataFrame([(9, 2, 1)], "s1_idx long, src int, t_idx long"))
+    ids = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(11)], "s1_idx long, country string")
+    pts = [(0, 0.0, 0.0, 0.2, 1.0, 0.0), (1, 0.1, 0.4, 0.5, 2.0, 1.0), (2, 0.0, 0.0, 0.5, 0.0, 0.5)]
+    table = spark.createDataFrame(pts, "point int, margin double, floor double, m0 double, empty_bias double, coh double")
+    got = {(r.country, r.point): r.f05 for r in decide.tune(df, truth, ids, table, "country").collect()}
+    for k, margin, floor, m0, bias, coh in pts:
+        picked = decide.select(df, Params(margin, floor, m0, bias, coh=coh))
+        assert chosen(picked) == {(r.s1_idx, r.src, r.t_idx) for r in decide.grid(df, table).collect() if r.point == k}
+        for r in metric.macro_f05(picked, truth, ids, "country").where("country <> 'ALL'").collect():
+            assert got[r.country, k] == pytest.approx(r.f05)
+    none = decide.tune(df.limit(0), truth.limit(0), ids, table).collect()
+    assert [r.f05 for r in none] == [1.0, 1.0, 1.0] and decide.grid(df.limit(0), table).count() == 0
+
+
+def test_grid_shuffles_do_not_grow(spark):
+    df = scores(spark, [(1, 2, 10, 0.9)]).repartition(4)
+
+    def exchanges(n):
+        pts = spark.createDataFrame([(i, 0.0, 0.0, 0.5, 1.0 + i) for i in range(n)], "point int, margin double, floor double, m0 double, empty_bias double")
+        return decide.grid(df, pts)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    assert exchanges(1) == exchanges(12) == 2
+
+
 def test_macro_f05(spark):
     truth = spark.createDataFrame([(1, 2, 1), (1, 2, 2), (2, 2, 3)], "s1_idx long, src int, t_idx long")
     pred = spark.createDataFrame([(1, 2, 1), (1, 2, 2), (1, 3, 9), (3, 2, 5), (3, 2, 5)], "s1_idx long, src int, t_idx long")
