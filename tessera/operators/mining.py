@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.similarity import all_metrics
 from tessera.functions.text import skeleton
+from tessera.operators.learn import pseudo_labels
 
 
 def filler_rates(pairs: DataFrame, min_count: int = 30, prior: float = 0.5) -> DataFrame:
@@ -58,6 +59,16 @@ def token_aliases(pairs: DataFrame, min_count: int = 5, min_purity: float = 0.6,
     return found.join(known, "tok", "left").where(F.coalesce("f", F.lit(0)) <= max_known).drop("f")
 
 
+def pseudo_aliases(scores: DataFrame, tokens: DataFrame, confident: float = 0.97, **rules) -> DataFrame:
+    """:func:`token_aliases` without labels: learned from the pairs with p of *confident* or more that are best for their target.
+
+    *scores* has s1_idx, src, t_idx, p; *tokens* the arrays a (reference) and b (target) of each pair. Pairs that
+    tie for a target all count; a null p is never confident.
+    """
+    sure = pseudo_labels(scores.select("s1_idx", "src", "t_idx", "p"), hi=confident).where("y = 1").select("s1_idx", "src", "t_idx")
+    return token_aliases(tokens.join(sure, ["s1_idx", "src", "t_idx"], "left_semi").select("a", "b"), **rules)
+
+
 def part_aliases(pairs: DataFrame, min_count: int = 5, min_purity: float = 0.6) -> DataFrame:
     """(part, alias, n, total): address parts of the target that replace a part of the reference; arrays a, b of parts."""
     rest = pairs.select(F.array_except("b", "a").alias("x"), F.array_except("a", "b").alias("y"))

@@ -130,6 +130,15 @@ def ml05(spark: SparkSession, sf: str) -> DataFrame:
     return learn.predict_folds(models, rows, feats, "p2").select("s1_idx", "src", "t_idx", "y", "p2")
 
 
+def m11(spark: SparkSession, sf: str) -> DataFrame:
+    """Aliases from the confident pairs of the scores table; two targets of three misspell the last word, the others add a filler."""
+    tokens = run_sql(spark, sf, "SELECT s1_idx, src, t_idx, p_name AS name FROM scores JOIN part ON p_partkey = t_idx").withColumn("a", F.split("name", " "))
+    last = F.element_at("a", -1)
+    wrong = F.concat(F.slice("a", 1, F.size("a") - 1), F.array(F.concat(last, F.right(last, F.lit(1)))))
+    tokens = tokens.withColumn("b", F.when(F.col("s1_idx") % 3 == 0, F.concat("a", F.array(F.lit("shop")))).otherwise(wrong))
+    return mining.pseudo_aliases(role(spark, sf, "scores"), tokens)
+
+
 def ml09(spark: SparkSession, sf: str) -> DataFrame:
     """Dense stacker: new pairs get a score of their own and join the base by anti join."""
     base = role(spark, sf, "scores").where("t_idx % 3 > 0")
@@ -202,7 +211,7 @@ QUERIES = {
     "full_pair_features": lambda s, d: full_features(s, d).groupBy("src").agg(F.count("*").alias("n"), F.round(F.avg("n_wratio"), 3).alias("wratio"), F.round(F.avg("core_wjac"), 4).alias("wjac")),
     "t06_matrix_top_k": lambda s, d: dense.top_k(s.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 50 = 0"), s.read.parquet(f"{d}/embeddings.parquet"), 3).select("q_id", "t_id", F.col("rank").cast("int").alias("rank")),
     "b05_capped_weights": b05, "e22_recall_probe": e22,
-    "m11_pseudo_aliases": lambda s, d: mining.token_aliases(linkage.token_pairs(s, d), min_count=3, max_known=10**9),
+    "m11_pseudo_aliases": lambda s, d: mining.token_aliases(linkage.token_pairs(s, d), min_count=3), "m11_confident_aliases": m11,
     "ml03_out_of_fold": lambda s, d: linkage.ml02(s, d).groupBy("fold").agg(F.count("*").alias("n")),
     "ml05_stage2": ml05, "ml09_dense_stacker": ml09, "ml10_reranker": ml10, "ml14_adaptation": ml14,
     "ml17_score_hook": lambda s, d: learn.score_pairs(run_sql(s, d, NAME_PAIRS), lambda a, b: [float(len(x) + len(y)) for x, y in zip(a, b)]).select("ia", "ib", "ce"),
@@ -217,6 +226,9 @@ _FIRST = f"SELECT ia, ib, string_split(a, ' ')[1] AS x, string_split(b, ' ')[1]
 _COHERENT_PAIRS = """SELECT s1_idx, src, t_idx, pj, a.name AS a, nj AS b FROM rk a JOIN (SELECT s1_idx, src AS sj, t_idx AS tj, p AS pj, name AS nj FROM rk WHERE k <= 8) o USING (s1_idx) WHERE NOT (src = sj AND t_idx = tj)"""
 
 ORACLES = {
+    "m11_confident_aliases": """WITH k AS (SELECT s1_idx, t_idx FROM (SELECT *, max(p) OVER (PARTITION BY src, t_idx) AS best FROM scores) WHERE p >= 0.97 AND p >= best),
+      w AS (SELECT string_split(p_name, ' ')[-1] AS alias FROM k JOIN part ON p_partkey = t_idx WHERE s1_idx % 3 <> 0)
+      SELECT concat(alias, right(alias, 1)) AS tok, alias, count(*) AS n, count(*) AS total FROM w GROUP BY alias HAVING count(*) >= 5""",
     "t07_best_match": _BEST.format(x="p_name", y="p_type", wx="", wy="", r=linkage.ratio_sql("q", "c")) + " SELECT q, c AS best, round(r, 6) AS score FROM k WHERE n = 1",
     "sim12_best_parts": _BEST.format(x="p_brand", y="p_brand", wx="WHERE p_partkey % 2 = 0", wy="WHERE p_partkey % 2 = 1", r=linkage.ratio_sql("q", "c")) + " SELECT q AS x, round(r, 6) AS best FROM k WHERE n = 1",
     "sim09_alias_alignment": f"""SELECT ia, ib, round(CASE WHEN k = l AND k <> '' THEN 1 ELSE greatest(jaro_winkler_similarity(x, y), ({linkage.ratio_sql('k', 'l')}) / 100) END, 6) AS sim

@@ -293,7 +293,7 @@ QUERIES = {
     "m02_split_fillers": lambda s, d: mining.split_fillers(mining.filler_rates(token_pairs(s, d)), run_sql(s, d, "SELECT DISTINCT explode(split(p_name, ' ')) AS tok FROM part"), 0.3).select("tok", "kind"),
     "m03_weak_labels": lambda s, d: metrics(s, d).join(run_sql(s, d, NAME_PAIRS), ["ia", "ib"]).select("ia", "ib", F.coalesce(mining.weak_labels(F.col("token_set"), F.col("b"), F.lit(False)), F.lit(-1)).alias("y")),
     "m04_replaced_names": m04,
-    "m05_token_aliases": lambda s, d: mining.token_aliases(token_pairs(s, d), max_known=10**9),
+    "m05_token_aliases": lambda s, d: mining.token_aliases(token_pairs(s, d)),
     "m06_part_aliases": lambda s, d: mining.part_aliases(run_sql(s, d, "SELECT array(p_type, p_brand) AS a, array(lower(p_type), p_brand) AS b FROM part")),
     "m07_purity": lambda s, d: mining.pure(run_sql(s, d, "SELECT l_partkey % 50 AS k, l_returnflag AS v FROM lineitem"), "k", "v", 5, 0.5).select("k", "v", "n", "total"),
     "m08_admin_parts": lambda s, d: mining.admin_parts(run_sql(s, d, "SELECT p_partkey AS rec, p_type AS part FROM part UNION ALL SELECT p_partkey, p_brand FROM part"), 4, 0.15),
@@ -420,6 +420,8 @@ ORACLES = {
       SELECT s1_idx, q.src, q.t_idx, n1 - (h_eq = 1)::INT AS sib_heq_oth, coalesce(c_tset - hm, -999) AS sib_heq_cgap, c_tset - cm AS sib_cgap FROM q JOIN a ON a.src = q.src AND a.t_idx = q.t_idx""",
     "f16_stack_features": """WITH z AS (SELECT s.s1_idx, s.src, s.t_idx, s.p, b.p AS ce FROM scores s JOIN scores2 b ON s.s1_idx = b.s1_idx AND s.src = b.src AND s.t_idx = b.t_idx), y AS (SELECT *, count(*) OVER (PARTITION BY src, t_idx) AS n, max(ce) OVER (PARTITION BY src, t_idx) AS m1, nth_value(ce, 2) OVER (PARTITION BY src, t_idx ORDER BY ce DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS m2 FROM z)
       SELECT s1_idx, src, t_idx, round(ln(p / (1 - p)), 5) AS lp, round(ln(ce / (1 - ce)), 5) AS lce, round(CASE WHEN n = 1 THEN ce WHEN ce >= m1 THEN ce - m2 ELSE ce - m1 END, 5) AS ce_gap_t, round(ce - p, 5) AS dce, row_number() OVER (PARTITION BY s1_idx ORDER BY ce DESC, src, t_idx) AS ce_rank_s1 FROM y""",
+    "m05_token_aliases": f"""SELECT 'widgett' AS tok, 'widget' AS alias, count(*) AS n, count(*) AS total
+      FROM ({NAME_PAIRS}) WHERE ib % 3 <> 0 AND list_contains(string_split(a, ' '), 'widget') HAVING count(*) >= 5""",
     "m01_fillers": f"""WITH p AS ({NAME_PAIRS}), x AS (SELECT string_split(a, ' ') AS a, CASE WHEN ib % 3 = 0 THEN list_append(string_split(b, ' '), 'shop') ELSE list_transform(string_split(a, ' '), lambda t: CASE WHEN t = 'widget' THEN 'widgett' ELSE t END) END AS b FROM p),
       t AS (SELECT a, unnest(list_distinct(b)) AS tok FROM x) SELECT tok, count(CASE WHEN NOT list_contains(a, tok) THEN 1 END) AS k, count(*) AS n, round((count(CASE WHEN NOT list_contains(a, tok) THEN 1 END) + 0.5) / (count(*) + 1.0)::DOUBLE, 6) AS rate FROM t GROUP BY tok HAVING count(*) >= 30""",
     "f15_lexical_pack": f"SELECT ia, ib, CASE WHEN contains(ia::VARCHAR, ib::VARCHAR) OR contains(ib::VARCHAR, ia::VARCHAR) THEN 3 ELSE 4 END::INT AS h_status, round(least(length(a), length(b))::DOUBLE / greatest(length(a), length(b)), 6) AS len_ratio, 0 AS a_missing2 FROM ({NAME_PAIRS})",

@@ -97,12 +97,17 @@ def load_dictionary(path: str) -> dict:
 
 
 def read_submission(spark: SparkSession, path: str, column: str = "matched_entity_ids") -> DataFrame:
-    """A submission as (source1_entity_id, id) from a TSV file, a folder of them, or a zip of one TSV."""
+    """A submission as (source1_entity_id, id) from a TSV file, a folder of them, or a zip of one TSV.
+
+    A zip is unpacked on the driver, so one beyond ZIP_BYTES, packed or unpacked, is refused; its TSV can be read unpacked.
+    """
     head = spark.read.format("binaryFile").load(path).select("length", F.substring("content", 1, 2).alias("m"), "path").limit(2).collect()
     if len(head) == 1 and bytes(head[0].m) == b"PK":
+        _bounded(head[0].length, path)
         content = spark.read.format("binaryFile").load(path).select("content").first().content
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             name = next(n for n in z.namelist() if n.endswith((".tsv", ".csv", ".txt")))
+            _bounded(z.getinfo(name).file_size, path)
             lines = z.read(name).decode("utf-8", "replace").splitlines()
         header = lines[0].split("\t")
         rows = [tuple((x.split("\t") + [""] * len(header))[: len(header)]) for x in lines[1:] if x]
@@ -112,6 +117,11 @@ def read_submission(spark: SparkSession, path: str, column: str = "matched_entit
     return explode_ids(df, column).select("source1_entity_id", "id")
 
 
+def _bounded(size: int, path: str) -> None:
+    if size > ZIP_BYTES:
+        raise ValueError(f"{path}: {size} bytes, over the {ZIP_BYTES} that the driver unpacks")
+
+
 def zip_file(source: str, target: str) -> None:
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         z.write(source, source.rsplit("/", 1)[-1])

@@ -70,7 +70,16 @@ def test_mining(spark):
     assert mining.pure(pairs.limit(0).select(F.lit(1).alias("k"), F.lit(2).alias("v")), "k", "v", 1, 0.5).count() == 0
 
 
-def test_writer_and_validator(spark, tmp_path):
+def test_pseudo_aliases(spark):
+    keys = [(i, 2, i) for i in range(6)]
+    scores = spark.createDataFrame([(*k, 0.98) for k in keys] + [(9, 2, 0, 0.99), (7, 2, 7, 0.5), (8, 2, 8, None)], "s1_idx long, src int, t_idx long, p double")
+    tokens = spark.createDataFrame([(*k, ["red", "widget"], ["red", "widgett"]) for k in [*keys, (9, 2, 0), (7, 2, 7), (8, 2, 8)]], "s1_idx long, src int, t_idx long, a array<string>, b array<string>")
+    # (0, 2, 0) is not the best of its target; unsure and null scores do not count
+    assert [tuple(r) for r in mining.pseudo_aliases(scores, tokens).select("tok", "alias", "n", "total").collect()] == [("widgett", "widget", 6, 6)]
+    assert mining.pseudo_aliases(scores.limit(0), tokens).count() == 0
+
+
+def test_writer_and_validator(spark, tmp_path, monkeypatch):
     ids = spark.createDataFrame([("S1-1",), ("S1-2",), ("S1-3",)], "source1_entity_id string")
     pairs = spark.createDataFrame([("S1-1", "S3-9"), ("S1-1", "S2-4"), ("S1-1", "S2-4"), ("S1-2", "S2-7")], "source1_entity_id string, id string")
     output.write_submission(pairs, pairs.limit(0), ids, f"file://{tmp_path}/out")
@@ -81,6 +90,9 @@ def test_writer_and_validator(spark, tmp_path):
     back = files.read_submission(spark, f"file://{tmp_path}/out/matches")
     assert sorted(map(tuple, back.collect())) == [("S1-1", "S2-4"), ("S1-1", "S3-9"), ("S1-2", "S2-7")]
     files.zip_file(next(str(p) for p in (tmp_path / "out/matches").glob("part-*")), str(tmp_path / "r.zip"))
+    with monkeypatch.context() as m, pytest.raises(ValueError, match="unpacks"):
+        m.setattr(files, "ZIP_BYTES", 10)
+        files.read_submission(spark, f"file://{tmp_path}/r.zip")
     (tmp_path / "bad.tsv").write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS1-1,S2-4,S2-4\nS1-1\tS2-99\n")
     bad = {r.rule: r.violations for r in output.validate_file(spark, f"file://{tmp_path}/bad.tsv", ids, known).collect()}
     assert bad == {"header": 0, "columns": 0, "repeated_rows": 1, "repeated_ids": 1, "self_matches": 1, "wrong_prefix": 1, "unknown_ids": 2, "missing_records": 2, "extra_records": 0}
