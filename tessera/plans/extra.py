@@ -226,6 +226,7 @@ _FIRST = f"SELECT ia, ib, string_split(a, ' ')[1] AS x, string_split(b, ' ')[1]
 _COHERENT_PAIRS = """SELECT s1_idx, src, t_idx, pj, a.name AS a, nj AS b FROM rk a JOIN (SELECT s1_idx, src AS sj, t_idx AS tj, p AS pj, name AS nj FROM rk WHERE k <= 8) o USING (s1_idx) WHERE NOT (src = sj AND t_idx = tj)"""
 
 ORACLES = {
+    "m11_pseudo_aliases": linkage.ORACLES["m05_token_aliases"].replace(">= 5", ">= 3"),
     "m11_confident_aliases": """WITH k AS (SELECT s1_idx, t_idx FROM (SELECT *, max(p) OVER (PARTITION BY src, t_idx) AS best FROM scores) WHERE p >= 0.97 AND p >= best),
       w AS (SELECT string_split(p_name, ' ')[-1] AS alias FROM k JOIN part ON p_partkey = t_idx WHERE s1_idx % 3 <> 0)
       SELECT concat(alias, right(alias, 1)) AS tok, alias, count(*) AS n, count(*) AS total FROM w GROUP BY alias HAVING count(*) >= 5""",
