@@ -185,10 +185,13 @@ def o02(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder: below the shared one if the session names it, a temporary one otherwise."""
+    """A fresh folder: below the shared one if the session names it, a temporary one on a local master."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tessera-files"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or f"file://{tempfile.gettempdir()}/tessera-files"
     return f"{base}/{name}-{uuid.uuid4().hex[:8]}"
 
 

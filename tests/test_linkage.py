@@ -79,6 +79,20 @@ def test_pseudo_aliases(spark):
     assert mining.pseudo_aliases(scores.limit(0), tokens).count() == 0
 
 
+def test_files_go_to_the_shared_folder():
+    from types import SimpleNamespace as Fake
+
+    from tessera.plans.linkage import _folder
+
+    def session(shared, master):
+        return Fake(conf=Fake(get=lambda key, default: shared), sparkContext=Fake(master=master))
+
+    assert _folder(session("hdfs://shared", "spark://driver"), "x").startswith("hdfs://shared/x-")
+    assert _folder(session(None, "local[8]"), "x").startswith("file:///")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        _folder(session(None, "spark://driver"), "x")
+
+
 def test_writer_and_validator(spark, tmp_path, monkeypatch):
     ids = spark.createDataFrame([("S1-1",), ("S1-2",), ("S1-3",)], "source1_entity_id string")
     pairs = spark.createDataFrame([("S1-1", "S3-9"), ("S1-1", "S2-4"), ("S1-1", "S2-4"), ("S1-2", "S2-7")], "source1_entity_id string, id string")
