@@ -10,10 +10,18 @@ from tessera.functions.text import skeleton
 from tessera.operators.learn import pseudo_labels
 
 
+def _times(pairs: DataFrame) -> Column:
+    """How many pairs a row stands for: its ``n_pairs``, or one."""
+    return F.col("n_pairs") if "n_pairs" in pairs.columns else F.lit(1).cast("long")
+
+
 def filler_rates(pairs: DataFrame, min_count: int = 30, prior: float = 0.5) -> DataFrame:
-    """(tok, k, n, rate): how often a target token is not in the reference name; *pairs* has arrays a (reference), b (target)."""
-    toks = pairs.select("a", F.explode(F.array_distinct("b")).alias("tok")).groupBy("tok").agg(
-        F.count("*").alias("n"), F.count_if(~F.array_contains("a", F.col("tok"))).alias("k")
+    """(tok, k, n, rate): how often a target token is not in the reference name; *pairs* has arrays a (reference), b (target).
+
+    Here and below, rows with ``n_pairs`` stand for so many equal pairs.
+    """
+    toks = pairs.select("a", _times(pairs).alias("w"), F.explode(F.array_distinct("b")).alias("tok")).groupBy("tok").agg(
+        F.sum("w").alias("n"), F.sum(F.when(~F.array_contains("a", F.col("tok")), F.col("w")).otherwise(0)).alias("k")
     )
     return toks.where(F.col("n") >= min_count).select("tok", "k", "n", ((F.col("k") + prior) / (F.col("n") + 2 * prior)).alias("rate"))
 
@@ -32,7 +40,7 @@ def weak_labels(similarity: Column, raw: Column, marker: Column, low: float = 45
 
 def pure(pairs: DataFrame, key: str, value: str, min_count: int, min_purity: float, total: DataFrame | None = None) -> DataFrame:
     """(key, value, n, total): the most frequent value of each key, if frequent and pure enough."""
-    counts = pairs.groupBy(key, value).agg(F.count("*").alias("n"))
+    counts = pairs.groupBy(key, value).agg(F.sum(_times(pairs)).alias("n"))
     all_ = counts.groupBy(key).agg(F.sum("n").alias("total")) if total is None else total.select(key, "total")
     best = counts.groupBy(key).agg(F.min_by(F.struct(value, "n"), F.struct(-F.col("n"), F.col(value))).alias("b")).select(key, f"b.{value}", "b.n")
     return best.join(all_, key).where((F.col("n") >= min_count) & (F.col("n") >= min_purity * F.col("total")))
@@ -45,17 +53,18 @@ def token_aliases(pairs: DataFrame, min_count: int = 5, min_purity: float = 0.6,
     ratio (equal skeletons count as 1); a token's best partner counts, and words the reference knows well
     are no aliases.
     """
-    known = pairs.select(F.explode(F.array_distinct("a")).alias("tok")).groupBy("tok").agg(F.count("*").alias("f"))
-    rest = pairs.select(F.monotonically_increasing_id().alias("pid"), F.array_except("b", "a").alias("x"), F.array_except("a", "b").alias("y"))
-    both = rest.where("size(x) > 0 AND size(y) > 0").select("pid", F.explode("x").alias("tok"), "y").select("pid", "tok", F.explode("y").alias("alias"))
+    w = _times(pairs).alias("n_pairs")
+    known = pairs.select(w, F.explode(F.array_distinct("a")).alias("tok")).groupBy("tok").agg(F.sum("n_pairs").alias("f"))
+    rest = pairs.select(F.monotonically_increasing_id().alias("pid"), w, F.array_except("b", "a").alias("x"), F.array_except("a", "b").alias("y"))
+    both = rest.where("size(x) > 0 AND size(y) > 0").select("pid", "n_pairs", F.explode("x").alias("tok"), "y").select("pid", "n_pairs", "tok", F.explode("y").alias("alias"))
     # every distinct pair of words is scored once
     words = both.select("tok", "alias").distinct().withColumn("k1", skeleton(F.col("tok"))).withColumn("k2", skeleton(F.col("alias")))
     scored = words.withColumn("m", all_metrics(F.col("tok"), F.col("alias"), ("jaro_winkler",))).withColumn("s", all_metrics(F.col("k1"), F.col("k2"), ("ratio",)))
     sim = F.when((F.col("k1") == F.col("k2")) & (F.col("k1") != ""), 1.0).otherwise(F.greatest(F.col("m.jaro_winkler"), F.col("s.ratio") / 100))
     near = scored.select("tok", "alias", sim.alias("sim")).where(F.col("sim") >= min_similarity)
-    best = both.join(near, ["tok", "alias"]).groupBy("pid", "tok").agg(F.max_by("alias", F.struct("sim", "alias")).alias("alias"))
-    total = pairs.select(F.explode(F.array_distinct("b")).alias("tok")).groupBy("tok").agg(F.count("*").alias("total"))
-    found = pure(best.select("tok", "alias"), "tok", "alias", min_count, min_purity, total)
+    best = both.join(near, ["tok", "alias"]).groupBy("pid", "n_pairs", "tok").agg(F.max_by("alias", F.struct("sim", "alias")).alias("alias"))
+    total = pairs.select(w, F.explode(F.array_distinct("b")).alias("tok")).groupBy("tok").agg(F.sum("n_pairs").alias("total"))
+    found = pure(best.select("tok", "alias", "n_pairs"), "tok", "alias", min_count, min_purity, total)
     return found.join(known, "tok", "left").where(F.coalesce("f", F.lit(0)) <= max_known).drop("f")
 
 
@@ -71,9 +80,9 @@ def pseudo_aliases(scores: DataFrame, tokens: DataFrame, confident: float = 0.97
 
 def part_aliases(pairs: DataFrame, min_count: int = 5, min_purity: float = 0.6) -> DataFrame:
     """(part, alias, n, total): address parts of the target that replace a part of the reference; arrays a, b of parts."""
-    rest = pairs.select(F.array_except("b", "a").alias("x"), F.array_except("a", "b").alias("y"))
-    both = rest.select(F.explode("x").alias("part"), "y").select("part", F.explode("y").alias("alias"))
-    total = rest.select(F.explode("x").alias("part")).groupBy("part").agg(F.count("*").alias("total"))
+    rest = pairs.select(_times(pairs).alias("n_pairs"), F.array_except("b", "a").alias("x"), F.array_except("a", "b").alias("y"))
+    both = rest.select("n_pairs", F.explode("x").alias("part"), "y").select("n_pairs", "part", F.explode("y").alias("alias"))
+    total = rest.select("n_pairs", F.explode("x").alias("part")).groupBy("part").agg(F.sum("n_pairs").alias("total"))
     return pure(both, "part", "alias", min_count, min_purity, total)
 
 
@@ -111,5 +120,5 @@ def source_parts(parts: DataFrame, min_count: int = 1000, min_reference: int = 5
 
 def transliterations(pairs: DataFrame, min_count: int = 2, min_share: float = 0.7) -> DataFrame:
     """(tok, word, n, total): words at equal places of equally long token arrays a (word) and b (romanised)."""
-    same = pairs.where("size(a) = size(b)").select(F.explode(F.arrays_zip("a", "b")).alias("z")).select(F.col("z.b").alias("tok"), F.col("z.a").alias("word")).where("tok <> word")
+    same = pairs.where("size(a) = size(b)").select(_times(pairs).alias("n_pairs"), F.explode(F.arrays_zip("a", "b")).alias("z")).select("n_pairs", F.col("z.b").alias("tok"), F.col("z.a").alias("word")).where("tok <> word")
     return pure(same, "tok", "word", min_count, min_share)
